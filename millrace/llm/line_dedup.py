@@ -10,7 +10,7 @@ A document of which that would drop over half of the characters is a copy of oth
 boilerplate: it stays whole, for near-duplicate removal to judge.
 
 Only hashes of lines are shuffled for the counts. Texts of lines travel only where their leaf has enough documents, and
-each distinct one once; the leaves are broadcast while they are at most `broadcast_rows`, and joined by a shuffle beyond.
+written down once, as texts are parsed only for the leaves and for these lines; the leaves are broadcast while they are at most `broadcast_rows`, and joined by a shuffle beyond.
 
 Defined results: null texts stay null and empty ones empty; blank lines and lines under `min_tokens` tokens stay;
 repeated rows lose the same lines; an empty table gives an empty result; other columns are kept. Lines end at \\n; of a
@@ -30,7 +30,9 @@ VARIABLE = "<*>"
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     """One row per line: id, text_hash, at, tokens (with variable fields), leaf and line (hashes)."""
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), F.posexplode(F.split(docs[text_col], "\n")).alias("at", "raw"))
-    masked = F.regexp_replace(F.trim(F.regexp_replace("raw", r"\s+", " ")), r"[^ ]*[0-9][^ ]*", VARIABLE)
+    # single spaces are left alone, and a token is looked at from its first character only
+    spaced = F.trim(F.regexp_replace("raw", r"[\t\x0B\f\r]\s*| \s+", " "))
+    masked = F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
     tokens = rows.select("id", "text_hash", "at", F.split(masked, " ").alias("tokens")).where(F.size("tokens") >= min_tokens)
     leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, depth), " "))
     return tokens.withColumns({"leaf": leaf, "line": F.xxhash64(F.array_join("tokens", " "))})
@@ -42,11 +44,10 @@ def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leaves = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     leaves = checkpointed(leaves)
     hint = F.broadcast if leaves.count() <= broadcast_rows else (lambda df: df)
-    return _recurring(lines.join(hint(leaves), "leaf"), depth, similar, min_docs)
+    return _recurring(checkpointed(lines.join(hint(leaves), "leaf").select("id", "text_hash", "at", "leaf", "line", "tokens")), depth, similar, min_docs)
 
 
 def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int) -> DataFrame:
-    near = near.select("id", "text_hash", "at", "leaf", "line", "tokens")
     by_text = near.groupBy("leaf", "line", "text_hash").agg(F.any_value("tokens").alias("tokens"))
     distinct = by_text.groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     placed = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= depth)
