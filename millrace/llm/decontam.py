@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .util import lower_ascii
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words, before or after lower-casing: ASCII characters that are no letters or digits.
+SEPARATORS = r"[^\p{Alnum}\P{ASCII}]+"
 #: The same words before lower-casing, and what separates them.
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CASED_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -31,7 +32,11 @@ CASED_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 def words(text: Column | str) -> Column:
     """The words of a text: runs of digits, a to z and characters beyond ASCII, after lower-casing A to Z."""
-    return F.filter(F.split(lower_ascii(text), SEPARATORS), lambda w: w != "")
+    return _split(lower_ascii(text))
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     hits = find_hits(docs, benchmark, window=window, id_col=id_col, text_col=text_col).select(
         F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.size(_hit_words("spans")).cast("long").alias("_n"), F.sort_array("items").alias("_items")
     )
-    rows = docs.select(docs[id_col], F.xxhash64(docs[text_col]).alias("_h"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(CASED_WORD)).cast("long").alias("n_words"))
+    rows = docs.select(docs[id_col], F.xxhash64(docs[text_col]).alias("_h"), F.size(_split(F.coalesce(docs[text_col], F.lit("")))).cast("long").alias("n_words"))
     joined = rows.join(hits, rows[id_col].eqNullSafe(hits["_id"]) & (rows["_h"] == hits["_hash"]), "left")
     items = F.coalesce("_items", F.array().cast("array<string>"))
     return joined.select(rows[id_col], "n_words", F.coalesce("_n", F.lit(0).cast("long")).alias("n_hit"), items.alias("items"), F.col("_n").isNotNull().alias("contaminated"))
