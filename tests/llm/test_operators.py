@@ -280,7 +280,7 @@ def test_passages(spark):
 
 def test_passages_of_the_table(spark, docs):
     """Every run of 60 words that two documents share is inside a reported passage of both."""
-    texts = {r["doc_id"]: substring.words(r["text"]) for r in docs.collect()}
+    texts = {r["doc_id"]: substring.words((r["text"] or "").encode()) for r in docs.collect()}
     seen = defaultdict(set)
     for k, w in texts.items():
         for i in range(len(w) - 59):
