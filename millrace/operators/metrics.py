@@ -45,7 +45,7 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float) -> D
     """Linear interpolation inside the bucket that holds the rank; the last finite bound where that is +Inf."""
     order = Window.partitionBy(*labels).orderBy("le_no")  # as many rows as bounds
     total = F.max("n").over(Window.partitionBy(*labels))
-    rows = buckets.withColumns({"upper": F.try_to_number("le", F.lit("999999.999999")).cast("double"), "before": F.coalesce(F.lag("n").over(order), F.lit(0)), "rank": F.lit(q) * total})
+    rows = buckets.withColumns({"upper": F.col("le").try_cast("double"), "before": F.coalesce(F.lag("n").over(order), F.lit(0)), "rank": F.lit(q) * total})
     rows = rows.withColumn("lower", F.coalesce(F.lag("upper").over(order), F.lit(0.0)))
     inside = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("rank") - F.col("before")) / (F.col("n") - F.col("before"))
     value = F.when(F.col("le") == "+Inf", F.col("lower")).otherwise(inside)

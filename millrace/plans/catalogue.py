@@ -15,8 +15,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 QUERY_VECTOR = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
-_VECTOR_SQL = f"[{', '.join(map(str, QUERY_VECTOR))}]::float[]"
-_COS = f"round(list_cosine_similarity(embedding, {_VECTOR_SQL})::double, 4)"
+_VECTOR_SQL = f"[{', '.join(map(str, QUERY_VECTOR))}]::double[]"
+_COS = f"round(list_cosine_similarity(embedding::double[], {_VECTOR_SQL})::double, 4)"
 
 #: Keyword rules of the feature extractor and of the intent router, over the synthetic vocabulary.
 FEATURES = {"import": ["import", "anth", "erth"], "export": ["export", "tion"], "billing": ["invoice", "edth"], "search": ["search", "ou"], "sync": ["sync", "ngre"]}
@@ -40,26 +40,26 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # --- retrieval
 
 
-@query(f"select vec_id, label, {_COS} as score from embeddings order by list_cosine_similarity(embedding, {_VECTOR_SQL}) desc, vec_id limit 10")
+@query(f"select vec_id, label, {_COS} as score from embeddings order by list_cosine_similarity(embedding::double[], {_VECTOR_SQL}) desc, vec_id limit 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.top_k(_read(spark, sf_dir, "embeddings"), QUERY_VECTOR, 10, id_col="vec_id")
     return rows.select("vec_id", "label", F.round("score", 4).alias("score"))
 
 
-@query(f"select vec_id, label, {_COS} as score from embeddings where label in (1, 3, 5) order by list_cosine_similarity(embedding, {_VECTOR_SQL}) desc, vec_id limit 10")
+@query(f"select vec_id, label, {_COS} as score from embeddings where label in (1, 3, 5) order by list_cosine_similarity(embedding::double[], {_VECTOR_SQL}) desc, vec_id limit 10")
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = retrieval.payload_filter(among={"label": [1, 3, 5], "vec_id": []})
     rows = retrieval.top_k(_read(spark, sf_dir, "embeddings"), QUERY_VECTOR, 10, id_col="vec_id", where=where)
     return rows.select("vec_id", "label", F.round("score", 4).alias("score"))
 
 
-@query(f"select vec_id, {_COS} as score from embeddings where list_cosine_similarity(embedding, {_VECTOR_SQL}) >= 0.1")
+@query(f"select vec_id, {_COS} as score from embeddings where list_cosine_similarity(embedding::double[], {_VECTOR_SQL}) >= 0.1")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _read(spark, sf_dir, "embeddings").withColumn("score", arrays.cosine(F.col("embedding"), QUERY_VECTOR))
     return retrieval.above_threshold(scored, 0.1).select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query(f"select vec_id, label, score from (select vec_id, label, {_COS} as score, row_number() over (partition by label order by list_cosine_similarity(embedding, {_VECTOR_SQL}) desc, vec_id) as n from embeddings) where n <= 2")
+@query(f"select vec_id, label, score from (select vec_id, label, {_COS} as score, row_number() over (partition by label order by list_cosine_similarity(embedding::double[], {_VECTOR_SQL}) desc, vec_id) as n from embeddings) where n <= 2")
 def topk_per_label_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _read(spark, sf_dir, "embeddings").withColumn("score", arrays.cosine(F.col("embedding"), QUERY_VECTOR))
     return retrieval.cap_per_key(scored, "label", 2, [F.desc("score"), F.asc("vec_id")]).select("vec_id", "label", F.round("score", 4).alias("score"))
@@ -304,10 +304,10 @@ def histogram_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     with h as ({_HISTOGRAM}), r as (select *, coalesce(lag(n) over w, 0) as before, coalesce(lag(try_cast(le as double)) over w, 0) as lower, 0.95 * max(n) over (partition by event_type) as rank from h window w as (partition by event_type order by le_no))
-    select event_type, round(case when le = '+Inf' then lower else lower + (le::double - lower) * (rank - before) / (n - before) end, 4) as p95 from r where n >= rank and before < rank""")
+    select event_type, round(case when le = '+Inf' then lower else lower + (le::double - lower) * (rank - before) / (n - before) end, 6) as p95 from r where n >= rank and before < rank""")
 def histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = metrics.histogram(_read(spark, sf_dir, "events"), ["event_type"], "value", _BOUNDS)
-    return metrics.histogram_quantile(buckets, ["event_type"], 0.95).select("event_type", F.round("quantile", 4).alias("p95"))
+    return metrics.histogram_quantile(buckets, ["event_type"], 0.95).select("event_type", F.round("quantile", 6).alias("p95"))
 
 
 # --- windows over time
