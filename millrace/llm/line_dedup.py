@@ -19,7 +19,7 @@ document that loses lines the others are joined by \\n again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .util import checkpointed
@@ -27,15 +27,23 @@ from .util import checkpointed
 VARIABLE = "<*>"
 
 
+def masked(text: Column) -> Column:
+    """Tokens with a digit become variable fields; looked at from a token's first character only."""
+    return F.regexp_replace(text, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
+
+
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """One row per line: id, text_hash, at, tokens (with variable fields), leaf and line (hashes)."""
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), F.posexplode(F.split(docs[text_col], "\n")).alias("at", "raw"))
-    # single spaces are left alone, and a token is looked at from its first character only
-    spaced = F.trim(F.regexp_replace("raw", r"[\t\x0B\f\r]\s*| \s+", " "))
-    masked = F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
-    tokens = rows.select("id", "text_hash", "at", F.split(masked, " ").alias("tokens")).where(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, depth), " "))
-    return tokens.withColumns({"leaf": leaf, "line": F.xxhash64(F.array_join("tokens", " "))})
+    """One row per line: id, text_hash, at, spaced (the line with single spaces) and leaf (a hash).
+
+    White space and the text's hash are seen to once a text, before its lines become rows; of a line only the leading
+    tokens are masked, as the leaf asks for no more than these and the number of tokens.
+    """
+    spaced = F.regexp_replace(docs[text_col], r"[\t\x0B\f\r][ \t\x0B\f\r]*| [ \t\x0B\f\r]+", " ")
+    texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), F.split(spaced, "\n").alias("lines"))
+    rows = texts.select("id", "text_hash", F.posexplode("lines").alias("at", "raw")).withColumn("spaced", F.trim("raw")).drop("raw")
+    size = F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64(F.col("size"), masked(F.substring_index("spaced", " ", depth)))
+    return rows.withColumn("size", size).where(F.col("size") >= min_tokens).withColumn("leaf", leaf).drop("size")
 
 
 def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.7, min_docs: int = 8, min_tokens: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
@@ -44,7 +52,9 @@ def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leaves = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     leaves = checkpointed(leaves)
     hint = F.broadcast if leaves.count() <= broadcast_rows else (lambda df: df)
-    return _recurring(checkpointed(lines.join(hint(leaves), "leaf").select("id", "text_hash", "at", "leaf", "line", "tokens")), depth, similar, min_docs)
+    near = lines.join(hint(leaves), "leaf").select("id", "text_hash", "at", "leaf", masked(F.col("spaced")).alias("masked"))
+    near = near.select("id", "text_hash", "at", "leaf", F.xxhash64("masked").alias("line"), F.split("masked", " ").alias("tokens"))
+    return _recurring(checkpointed(near), depth, similar, min_docs)
 
 
 def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int) -> DataFrame:
