@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from millrace.plans import catalogue, intents
+from millrace.plans import catalogue, intents, streams
 from millrace.plans.views import BASE
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalogue.QUERIES | intents.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | intents.ORACLE_SQL
+QUERIES = catalogue.QUERIES | intents.QUERIES | streams.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | intents.ORACLE_SQL | streams.ORACLE_SQL
 
 
 def plain(value):
