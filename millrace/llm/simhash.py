@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
@@ -179,21 +179,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _with_first(prints: DataFrame, least: Column, **limits: int) -> DataFrame:
+    """The rows of `prints` (with fp) and `first`, the smallest `least` of all fingerprints that links reach."""
+    distinct = checkpointed(prints.groupBy("fp").agg(least.alias("first")))
+    roots = components(links(distinct.select("fp"), **limits))
+    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = of.groupBy("root").agg(F.min("first").alias("first"))
+    return prints.join(of.select("fp", "root").join(smallest, "root").select("fp", "first"), "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """Per input row: id, fp (the fingerprint as a signed long) and component_id, the smallest id that links reach."""
     prints = checkpointed(with_fingerprint(docs.select(docs[id_col].alias(id_col), docs[text_col].alias("t")), "t").select(id_col, "fp"))
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    distinct = checkpointed(least)
-    roots = components(links(distinct.select("fp"), **limits))
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(of.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return _with_first(prints, F.min(id_col), **limits).select(id_col, "fp", F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """The documents, all columns, of which each near-duplicate group keeps the one with the smallest id."""
-    groups = checkpointed(near_groups(docs, id_col, text_col, **limits))
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone_id"))
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
-    repeated = groups.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    """The documents, all columns, of which each near-duplicate group keeps the one with the smallest id.
+
+    A row is known by its id and its text's hash, so an id on several texts, or none, takes no other group's row along;
+    null ids come last, and of one id the smaller hash first.
+    """
+    texts = docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_hash"), docs[text_col].alias("t"))
+    prints = checkpointed(with_fingerprint(texts, "t").select("_id", "_hash", "fp"))
+    key = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    groups = checkpointed(_with_first(prints, F.min(key), **limits).select("_id", "_hash", "first"))
+    is_first = F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_hash") == F.col("first.hash"))
+    gone = groups.where(~is_first).select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash")).distinct()
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_hash"]), "left_anti")
+    repeated = groups.where(is_first).groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")

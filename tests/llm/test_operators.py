@@ -451,3 +451,12 @@ def test_simhash_edges(spark, edge):
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 6, None} and kept.count() == 4
     assert simhash.near_groups(edge.limit(0)).count() == 0
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    """A row that is redundant takes no row of another group along that has the same id, or none."""
+    prose = lambda n: " ".join(f"{'abcdefghij'[n]}{i * (n + 3) % 101}" for i in range(60))
+    rows = [(3, prose(1)), (5, prose(1)), (5, prose(2)), (None, prose(1)), (None, prose(3)), (None, prose(4)), (7, prose(5)), (7, prose(6)), (7, prose(6)), (None, prose(3))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(d).collect())
+    assert kept == Counter([(3, prose(1)), (5, prose(2)), (None, prose(3)), (None, prose(4)), (7, prose(5)), (7, prose(6))])
