@@ -1,11 +1,12 @@
 """Main-text extraction from HTML by the line-block distribution.
 
 Markup is stripped to lines, one per block element in page order. Lines inside menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, styles and comment sections are blank to the distribution, as is what stands
-outside of the article where the page marks one. The text lengths, without those of links, are summed over a sliding
-window of `window` lines. A surge point is a line with text whose window is not blank and holds at least `surge`
-characters (any, where the page marks its article), or as many as the page's fullest window where that is less; the dive point after it is the first line from
-which a whole window is blank. The lines with text between a surge and its dive are kept.
+sidebars, notices, adverts, forms, scripts, styles and comment sections are blank to the distribution. Where an article
+or main element outside of all these holds text, the page has marked its text: the lines in such elements are kept, all of
+them, and no others. Elsewhere the text lengths, without those of links, are summed over a sliding window of `window`
+lines. A surge point is a line with text whose window is not blank and holds at least `surge` characters, or as many as
+the page's fullest window where that is less; the dive point after it is the first line from which a whole window is
+blank. The lines with text between a surge and its dive are kept.
 
 Defined results: null or empty html gives an empty text and 0 characters; a page that ends inside a tag, an element or a
 character reference gives what it has; pages without block elements are one block; repeated rows are judged alike; no
@@ -33,27 +34,27 @@ BLOCKS = set("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbo
 DROPPED = set("nav footer aside form menu dialog button select label input head".split())
 #: Words of class, id and role that mark what isn't the article's own text.
 NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social related recommended comment comments reply replies respond disqus footer header masthead pagination pager popup modal widget toolbar search login signup complementary contentinfo form".split())
-MARKED = re.compile(r"<(?:article|main)\b", re.I)
+#: Of these, the words that inside of an article mark its own title.
+TITLES = {"header", "masthead"}
 WORDS = re.compile(r"[A-Za-z]+")
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """The page's blocks as (text, characters outside of links); a blank text where the block isn't content."""
-    out: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """The page's blocks as (text, characters outside of links, in an article); a blank text where it isn't content."""
+    out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     plain = [0]
     stack: list[tuple[str, bool]] = []  # open elements that make a difference, and whether they are dropped
     dropped = articles = link = 0
-    marked = MARKED.search(page) is not None
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(parts)).strip()
-        out.append((text, plain[0] if text else 0))
+        out.append((text, plain[0] if text else 0, articles > 0))
         parts.clear()
         plain[0] = 0
 
     def add(raw: str) -> None:
-        if raw and not dropped and (articles or not marked):
+        if raw and not dropped:
             text = html.unescape(raw)
             parts.append(text)
             if not link:
@@ -98,7 +99,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             dropped -= stack.pop()[1]
         cues = {w.lower() for c in CUE.findall(rest) for w in WORDS.findall(c)} if rest else ()
         page_header = name == "header" and not articles
-        drop = name in DROPPED or page_header or not NOISE.isdisjoint(cues) and name not in ("body", "html", "main")
+        noise = NOISE.intersection(cues) - (TITLES if articles else set())
+        drop = name in DROPPED or page_header or bool(noise) and name not in ("body", "html", "main")
         stack.append((name, drop))
         dropped += drop
         articles += name in ("article", "main") and not drop
@@ -109,15 +111,17 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
 def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
     lines = lines_of(page or "")
-    sizes = np.array([n for _, n in lines], np.int64)
+    marked = [text for text, _, inside in lines if inside and text]
+    if marked:
+        return "\n".join(marked)
+    sizes = np.array([n for _, n, _ in lines], np.int64)
     if not sizes.any():
         return ""
     # the window of line i is lines i to i + window - 1; blank lines that only part two blocks don't count as lines
-    full = np.array([i for i, (text, _) in enumerate(lines) if text])
+    full = np.array([i for i, (text, _, _) in enumerate(lines) if text])
     dense = sizes[full]
     sums = np.convolve(dense, np.ones(window, np.int64))[window - 1 :]
-    # inside a marked article any text is a surge; elsewhere it takes the height of running text
-    least = 1 if MARKED.search(page or "") else min(surge, int(sums.max()))
+    least = min(surge, int(sums.max()))
     kept, inside = [], False
     for k, i in enumerate(full.tolist()):
         if not inside and sums[k] >= max(least, 1) and dense[k]:

@@ -233,6 +233,17 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(d.limit(0)).count() == 0
 
 
+def test_only_articles_of_the_page_itself_mark_its_text():
+    long = "A paragraph that is long enough to be running text. " * 3
+    body = f"<div><p>{long}</p><p>And its end.</p></div>"
+    want = f"{long.strip()}\nAnd its end."
+    for other in ('<article class="comment-body"><p>Reader says a thing.</p></article>', '<article class="promo"><a>Teaser</a></article>', "<script>x='<article>'</script>", "<template><main>x</main></template>", "<!-- <article> -->", "<aside><article>Side</article></aside>", "<article></article>"):
+        assert html_extract.main_text(page(body + other)) == want, other
+    links = "<p><a>One link</a></p><p><a>Two</a></p><p><a>Three</a></p>"
+    text = html_extract.main_text(page(f'<article><div class="entry-header"><h1>Title</h1></div><p>{long}</p>{links}<p>More text.</p><p><a>Last link</a></p></article>'))
+    assert text == f"Title\n{long.strip()}\nOne link\nTwo\nThree\nMore text.\nLast link"
+
+
 # --- urls
 
 
