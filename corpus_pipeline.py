@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; every document stays."""
-    return line_dedup.dedup_lines(docs, dropped_col="_dropped").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Lines of recurring templates go, however short; every document stays."""
+    return line_dedup.dedup_lines(docs, dropped_col="_dropped", min_tokens=1).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

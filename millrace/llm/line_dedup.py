@@ -12,6 +12,9 @@ boilerplate: it stays whole, for near-duplicate removal to judge.
 Only hashes of lines are shuffled for the counts. Texts of lines travel only where their leaf has enough documents, and
 written down once, as texts are parsed only for the leaves and for these lines; the leaves are broadcast while they are at most `broadcast_rows`, and joined by a shuffle beyond.
 
+With `min_tokens` 1 every line that isn't blank is counted; one of `depth` tokens or fewer is its own template. A line of
+under five tokens that all hold a digit has no word to be a template by, and recurs only as it stands.
+
 Defined results: null texts stay null and empty ones empty; blank lines and lines under `min_tokens` tokens stay;
 repeated rows lose the same lines; an empty table gives an empty result; other columns are kept. Lines end at \\n; of a
 document that loses lines the others are joined by \\n again.
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .util import checkpointed
 
 VARIABLE = "<*>"
+#: Lines of one to four tokens with a digit in each.
+BARE = r"^[^ 0-9]*+[0-9][^ ]*(?: [^ 0-9]*+[0-9][^ ]*){0,3}$"
 
 
 def masked(text: Column) -> Column:
@@ -32,6 +37,11 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
 
 
+def fields(line: Column, part: Column, min_tokens: int) -> Column:
+    """A part of a line with its variable fields, or as it stands if the line is short and all of digits."""
+    return masked(part) if min_tokens > 4 else F.when(line.rlike(BARE), part).otherwise(masked(part))
+
+
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     """One row per line: id, text_hash, at, spaced (the line with single spaces) and leaf (a hash).
 
@@ -42,8 +52,8 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_to
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), F.split(spaced, "\n").alias("lines"))
     rows = texts.select("id", "text_hash", F.posexplode("lines").alias("at", "raw")).withColumn("spaced", F.trim("raw")).drop("raw")
     size = F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(F.col("size"), masked(F.substring_index("spaced", " ", depth)))
-    return rows.withColumn("size", size).where(F.col("size") >= min_tokens).withColumn("leaf", leaf).drop("size")
+    leaf = F.xxhash64(F.col("size"), fields(F.col("spaced"), F.substring_index("spaced", " ", depth), min_tokens))
+    return rows.withColumn("size", size).where((F.col("size") >= min_tokens) & (F.col("spaced") != "")).withColumn("leaf", leaf).drop("size")
 
 
 def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.7, min_docs: int = 8, min_tokens: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
@@ -52,7 +62,7 @@ def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leaves = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     leaves = checkpointed(leaves)
     hint = F.broadcast if leaves.count() <= broadcast_rows else (lambda df: df)
-    near = lines.join(hint(leaves), "leaf").select("id", "text_hash", "at", "leaf", masked(F.col("spaced")).alias("masked"))
+    near = lines.join(hint(leaves), "leaf").select("id", "text_hash", "at", "leaf", fields(F.col("spaced"), F.col("spaced"), min_tokens).alias("masked"))
     near = near.select("id", "text_hash", "at", "leaf", F.xxhash64("masked").alias("line"), F.split("masked", " ").alias("tokens"))
     return _recurring(checkpointed(near), depth, similar, min_docs)
 

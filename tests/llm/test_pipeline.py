@@ -22,3 +22,11 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_short_lines_recur_too(spark):
+    own = [f"{'abcdefghijkl'[i]}{'mnopqrstuvwx'[i]} begins a text of its own that is by far longer than what recurs in the texts" for i in range(12)]
+    rows = [(i, f"{own[i]}\n\nShare\n2024\nPage {i}\n1{i} 2{i}\n Only {'abcdefghijkl'[i]}q\nAll rights  reserved.", "en", "a", 1) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, d, SF).collect()}
+    assert got == {i: f"{own[i]}\n\n1{i} 2{i}\n Only {'abcdefghijkl'[i]}q" for i in range(12)}
