@@ -69,9 +69,13 @@ def topk_per_label_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joint_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source, its documents in order of id under caps on language and size class together."""
     docs = _read(spark, sf_dir, "documents").withColumn("size_class", F.when(F.col("n_chars") > 2000, "long").otherwise("short"))
-    ranked = docs.select("source", "doc_id", "lang", "size_class", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("pos"))
-    questions = ranked.where("pos <= 20").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id", "lang", "size_class"))).alias("rows"))
-    kept = arrays.joint_caps(F.col("rows"), {"lang": 2, "size_class": 3})
+    caps = {"lang": 2, "size_class": 3}
+    # of rows with equal keys no more than the smallest cap can be taken, and a blank language has none
+    within = F.row_number().over(Window.partitionBy("source", "lang", "size_class").orderBy("doc_id"))
+    most = F.when(F.coalesce("lang", F.lit("")) == "", caps["size_class"]).otherwise(min(caps.values()))
+    open_ = docs.select("source", "doc_id", "lang", "size_class", within.alias("nth")).where(F.col("nth") <= max(caps.values())).where(F.col("nth") <= most)
+    questions = open_.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang", "size_class"))).alias("rows"))
+    kept = arrays.joint_caps(F.col("rows"), caps)
     return questions.select("source", F.inline(kept)).select("source", "doc_id", "lang", "size_class")
 
 

@@ -38,3 +38,19 @@ def test_sql_agrees(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_others_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_joint_caps_takes_rows_wherever_they_stand(spark, tmp_path):
+    langs = ["en"] * 30 + ["de", None, "", None, "de", "fr", None, "en"]
+    docs = [(i, "ab"[i % 2], lang, 3000 if i % 3 else 10) for i, lang in enumerate(langs * 2)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for source in "ab":
+        kept = []
+        for i, s, lang, n in docs:
+            size = "long" if n > 2000 else "short"
+            if s == source and not (lang and sum(k[2] == lang for k in kept) >= 2) and sum(k[3] == size for k in kept) < 3:
+                kept.append((source, i, lang, size))
+        want.update(kept)
+    got = [tuple(r) for r in QUERIES["joint_caps"](spark, str(tmp_path)).select("source", "doc_id", "lang", "size_class").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
