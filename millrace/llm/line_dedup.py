@@ -6,13 +6,13 @@ at least `min_docs` documents have it in that place; any other is a variable fie
 if its fixed tokens are at least the share `similar` of all and it stands in at least `min_docs` documents, identical
 texts counting as one. Lines of recurring templates are dropped.
 
-A document of which that would drop over half of the characters is a copy of others rather than a carrier of
-boilerplate: it stays whole, for near-duplicate removal to judge.
+A document loses every recurring line, whatever share of it that is: the heavier it carries boilerplate, the more goes.
 
 Only hashes of lines are shuffled for the counts. Texts of lines travel only where their leaf has enough documents, and
-written down once, as texts are parsed only for the leaves and for these lines; the leaves are broadcast while they are at most `broadcast_rows`, and joined by a shuffle beyond.
+are written down once; the leaves are broadcast while they are at most `broadcast_rows`, and joined by a shuffle beyond.
+A line is known by two 64-bit hashes, its leaf's and its own, and a template by the hash of all its fields.
 
-With `min_tokens` 1 every line that isn't blank is counted; one of `depth` tokens or fewer is its own template. A line of
+Every line that isn't blank is counted (`min_tokens` 1); one of `depth` tokens or fewer is its own template. A line of
 under five tokens that all hold a digit has no word to be a template by, and recurs only as it stands.
 
 Defined results: null texts stay null and empty ones empty; blank lines and lines under `min_tokens` tokens stay;
@@ -56,7 +56,7 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_to
     return rows.withColumn("size", size).where((F.col("size") >= min_tokens) & (F.col("spaced") != "")).withColumn("leaf", leaf).drop("size")
 
 
-def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.7, min_docs: int = 8, min_tokens: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.7, min_docs: int = 8, min_tokens: int = 1, broadcast_rows: int = 500_000) -> DataFrame:
     """Per document with such lines: id, text_hash, drop (places of the lines to drop, from 0)."""
     lines = parsed_lines(docs, id_col, text_col, depth, min_tokens)
     leaves = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
@@ -73,13 +73,15 @@ def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int) -> Da
     placed = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= depth)
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("n").alias("docs"))
     fixed = support.where(F.col("docs") >= min_docs).select("leaf", "place", "token")
-    known = placed.join(fixed, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    places = F.coalesce("places", F.array().cast("array<int>"))
-    general = distinct.join(known, ["leaf", "line"], "left").select(
+    # each line's later fields in order, so a line costs as much as it has tokens
+    later = placed.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
+    fields_of = later.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("field")))).alias("fields"), F.count("fixed").alias("n_fixed"))
+    leading = F.least(F.lit(depth), F.size("tokens"))
+    general = distinct.join(fields_of, ["leaf", "line"], "left").select(
         "leaf",
         "line",
-        F.xxhash64("leaf", F.array_join(F.transform("tokens", lambda t, i: F.when((i < depth) | F.array_contains(places, i), t).otherwise(VARIABLE)), " ")).alias("template"),
-        ((F.size(places) + F.least(F.lit(depth), F.size("tokens"))) / F.size("tokens")).alias("share"),
+        F.xxhash64("leaf", F.slice("tokens", 1, depth), F.coalesce(F.col("fields.field"), F.array().cast("array<string>"))).alias("template"),
+        ((F.coalesce("n_fixed", F.lit(0)) + leading) / F.size("tokens")).alias("share"),
     )
     templates = general.where(F.col("share") >= similar).select("leaf", "line", "template")
     in_docs = by_text.select("leaf", "line", "text_hash").join(templates, ["leaf", "line"]).select("template", "text_hash").distinct()
@@ -89,16 +91,17 @@ def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int) -> Da
     return dropped.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
+def without_lines(text: Column, drop: Column) -> Column:
+    """The text without the lines at the sorted places `drop`: the stretches between them, each copied once."""
+    from_, to = F.concat(F.array(F.lit(-1)), drop), lambda lines: F.concat(drop, F.array(F.size(lines)))
+    kept = lambda lines: F.flatten(F.zip_with(from_, to(lines), lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+    # the lines are the one element of an array, so the text is split once
+    return F.array_join(F.transform(F.array(F.split(text, "\n")), kept)[0], "\n")
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", **limits: float) -> DataFrame:
     """The documents, all columns, with recurring lines dropped from the text, and their places in `dropped_col`."""
     drop = recurring_lines(docs, id_col=id_col, text_col=text_col, **limits).select(F.col("id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash"), F.col("drop").alias("_drop"))
     joined = docs.join(drop, docs[id_col].eqNullSafe(drop["_drop_id"]) & (F.xxhash64(docs[text_col]) == drop["_drop_hash"]), "left")
     none = F.array().cast("array<int>")
-    # the places are marked by their number in a string of flags, so each line is looked up at once
-    flags = F.aggregate("_drop", F.lit(""), lambda s, i: F.concat(F.rpad(s, i, "0"), F.lit("1")))
-    left = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: F.substring(F.col("_flags"), i + 1, F.lit(1)) != "1"), "\n")
-    flagged = joined.withColumn("_flags", F.when(F.col("_drop").isNotNull(), flags))
-    shorter = flagged.withColumn("_left", F.when(F.col("_drop").isNotNull(), left))
-    carrier = F.coalesce(F.length("_left") * 2 >= F.length(text_col), F.lit(False))
-    marked = shorter.withColumn("_carrier", carrier)
-    return marked.withColumn(dropped_col, F.when(F.col("_carrier"), F.col("_drop")).otherwise(none)).withColumn(text_col, F.when(F.col("_carrier"), F.col("_left")).otherwise(F.col(text_col))).drop("_drop_id", "_drop_hash", "_drop", "_flags", "_left", "_carrier")
+    return joined.withColumn(text_col, F.when(F.col("_drop").isNotNull(), without_lines(F.col(text_col), F.col("_drop"))).otherwise(F.col(text_col))).withColumn(dropped_col, F.coalesce("_drop", none)).drop("_drop_id", "_drop_hash", "_drop")

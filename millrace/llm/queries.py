@@ -109,8 +109,9 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_templates": r"""
         with doc as (select doc_id, text, string_split(text, chr(10)) as l from documents),
         line as (select doc_id, text, unnest(l) as raw, unnest(range(0, len(l))) as pos from doc),
-        masked as (select *, string_split(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as tokens from line),
-        parsed as (select *, (len(tokens), tokens[1:3]) as leaf from masked where len(tokens) >= 5),
+        spaced as (select doc_id, text, pos, trim(regexp_replace(raw, '\s+', ' ', 'g'), ' ') as s from line),
+        masked as (select *, string_split(case when regexp_matches(s, '^[^ ]*[0-9][^ ]*( [^ ]*[0-9][^ ]*){0,3}$') then s else regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g') end, ' ') as tokens from spaced where s <> ''),
+        parsed as (select *, (len(tokens), tokens[1:3]) as leaf from masked),
         leaves as (select leaf from parsed group by leaf having count(distinct text) >= 8),
         near as (select p.* from parsed p join leaves using (leaf)),
         lines as (select leaf, tokens, count(distinct text) as n from near group by all),
@@ -123,7 +124,6 @@ ORACLE_SQL: dict[str, str] = {
         templated as (select n.doc_id, n.text, n.pos, n.leaf, g.template from near n join general g on n.leaf = g.leaf and n.tokens = g.tokens where g.share >= 0.7),
         recurring as (select leaf, template from templated group by all having count(distinct text) >= 8),
         dropped as (select doc_id, list(distinct pos) as gone from templated join recurring using (leaf, template) group by doc_id),
-        cleaned as (select d.doc_id, d.text, x.gone, array_to_string(list_filter(d.l, lambda e, i: not coalesce(list_contains(x.gone, i - 1), false)), chr(10)) as t from doc d left join dropped x using (doc_id)),
-        judged as (select *, gone is not null and length(t) * 2 >= length(text) as carrier from cleaned)
-        select doc_id, (case when carrier then len(gone) else 0 end)::bigint as n_dropped, length(case when carrier then t else text end)::bigint as n_chars_left, sha256(case when carrier then t else text end) as text_sha256 from judged""",
+        cleaned as (select d.doc_id, coalesce(len(x.gone), 0) as n, case when x.gone is null then d.text else array_to_string(list_filter(d.l, lambda e, i: not list_contains(x.gone, i - 1)), chr(10)) end as t from doc d left join dropped x using (doc_id))
+        select doc_id, n::bigint as n_dropped, length(t)::bigint as n_chars_left, sha256(t) as text_sha256 from cleaned""",
 }

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -375,17 +376,32 @@ def test_line_templates(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as at", "2 as leaf", "3 as line", "4 as n")
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(d).collect()}
     assert all(got[i]["text"] == own[i] and got[i]["dropped_lines"] == [1, 2] for i in range(12))
-    assert all(got[100 + i]["dropped_lines"] == [] for i in range(20))
+    assert all(got[100 + i]["dropped_lines"] == [] for i in range(20))  # one text in twenty copies
     assert got[200]["text"] is None and got[201]["text"] == "" and got[202]["text"] == "\n\n"
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
     same = line_dedup.dedup_lines(d, broadcast_rows=0)
     assert {r["doc_id"]: r["text"] for r in same.collect()} == {k: r["text"] for k, r in got.items()}
 
 
-def test_whole_copies_keep_their_lines(spark):
-    texts = [f"One line that stands in every copy here\nThe second line of every copy is this one\nOnly {'abcdefghijkl'[i]} differs" for i in range(12)]
+def test_heavy_carriers_lose_their_lines(spark):
+    """Whatever share of a document recurs, it goes."""
+    texts = [f"Share this article\nThe first line of a notice that stands everywhere\nOnly {'abcdefghijkl'[i]}{'mnopqrstuvwx'[i]} differs\nThe last line of that notice is this" for i in range(12)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["text"] for r in line_dedup.dedup_lines(d).collect()} == set(texts)
+    rows = line_dedup.dedup_lines(d).collect()
+    assert {r["text"] for r in rows} == {t.split("\n")[2] for t in texts} and all(r["dropped_lines"] == [0, 1, 3] for r in rows)
+
+
+def test_lines_are_dropped_in_linear_time(spark):
+    """A document of 100,000 lines, half of which recur, among copies of its lines."""
+    notice = [f"notice {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} stands everywhere" for i in range(2000)]
+    long = "\n".join(f"{notice[i % 2000]}\nown{chr(97 + i % 26)} x{i}y line of this text {i * 7919 % 100003}z" for i in range(50_000))
+    rows = [(i, f"{'abcdefghijkl'[i]}\n" + "\n".join(notice)) for i in range(8)] + [(99, long)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(d).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[99]["dropped_lines"] == list(range(0, 100_000, 2)) and got[99]["text"].count("\n") == 49_999
+    assert all(got[i]["text"] == "abcdefghijkl"[i] for i in range(8))
 
 
 # --- exact copies
