@@ -8,6 +8,12 @@ lines. A surge point is a line with text whose window is not blank and holds at
 the page's fullest window where that is less; the dive point after it is the first line from which a whole window is
 blank. The lines with text between a surge and its dive are kept.
 
+What an element is goes by its tag and by the names in its class, id and role, each name as a whole: sidebar, left-sidebar
+and sidebar_box are sidebars, has-sidebar and search-trees are not. Only containers are judged by names, and paragraphs by
+their class; headings never are. A header inside of an article is its title.
+
+The page is read once from left to right: of a tag, a comment or a quoted value that doesn't end, no part is read again.
+
 Defined results: null or empty html gives an empty text and 0 characters; a page that ends inside a tag, an element or a
 character reference gives what it has; pages without block elements are one block; repeated rows are judged alike; no
 text is capped. Each page is judged by itself, so an empty table gives an empty result; other columns are kept.
@@ -17,6 +23,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,18 +33,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in ("script", "style", "textarea", "noscript", "template", "title", "iframe", "svg")}
-CUE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: What can end a tag, or begin a quoted value in it.
+IN_TAG = re.compile(r""">|=\s*+["']""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I) for name in ("script", "style", "textarea", "noscript", "template", "title", "iframe", "svg")}
+CUE = re.compile(r"""(?<![\w-])(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)""", re.I)
 SPACE = re.compile(r"\s+")
 VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "source", "area", "base", "col", "embed", "track"}
 BLOCKS = set("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre section article main aside header footer nav form figure figcaption address details summary fieldset legend body html head hr center".split())
 DROPPED = set("nav footer aside form menu dialog button select label input head".split())
+#: Elements that are judged by the names they bear.
+CONTAINERS = set("div section article aside nav header footer ul ol dl table form details figure p".split())
 #: Words of class, id and role that mark what isn't the article's own text.
-NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social related recommended comment comments reply replies respond disqus footer header masthead pagination pager popup modal widget toolbar search login signup complementary contentinfo form".split())
-#: Of these, the words that inside of an article mark its own title.
+NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social related recommended comment comments commentlist reply replies respond disqus footer pagination pager popup modal widget toolbar search login signup complementary contentinfo form".split())
+#: Words that mark a page's own head, but inside of an article its title.
 TITLES = {"header", "masthead"}
-WORDS = re.compile(r"[A-Za-z]+")
+#: Words that leave a name what it is when they stand in it beside the others.
+PARTS = set("site page main top bottom left right center primary secondary inner outer global fixed sticky floating area box bar block list item items link links wrap wrapper container section content panel group row col column button buttons icon icons slot unit text body user users reader readers post posts article articles story entry blog".split())
+OWN_TITLE = {"article", "articles", "post", "posts", "story", "entry", "blog", "content"}
+WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+
+
+@lru_cache(10_000)
+def kind_of(name: str) -> str:
+    """noise, title (noise outside of an article only) or nothing, by a name as a whole."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    if not words <= NOISE | TITLES | PARTS:
+        return ""
+    if words & TITLES and not words & NOISE:
+        return "" if words & OWN_TITLE else "title"
+    return "noise" if words & (NOISE | TITLES) else ""
+
+
+def is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+    for attribute, value in CUE.findall(attributes):
+        if tag == "p" and attribute.lower() != "class":
+            continue
+        for name in value.strip("\"'").split():
+            kind = kind_of(name[:80])
+            if kind == "noise" or kind == "title" and not in_article and tag != "p":
+                return True
+    return False
+
+
+def tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where the tag that is open at `at` ends; a quote that is nowhere closed is a character like any other."""
+    while found := IN_TAG.search(page, at):
+        quote = found[0][-1]
+        if quote == ">":
+            return found.end()
+        at = found.end()
+        if quote not in unclosed:
+            end = page.find(quote, at)
+            if end < 0:
+                unclosed.add(quote)
+            else:
+                at = end + 1
+    return len(page)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -45,6 +98,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     parts: list[str] = []
     plain = [0]
     stack: list[tuple[str, bool]] = []  # open elements that make a difference, and whether they are dropped
+    open_: Counter[str] = Counter()
     dropped = articles = link = 0
 
     def flush() -> None:
@@ -60,17 +114,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if not link:
                 plain[0] += len(text) - text.count(" ")
 
-    at = 0
+    at, unclosed = 0, set()
     while at < len(page):
-        found = TAG.search(page, at)
-        if not found:
+        start = page.find("<", at)
+        if start < 0:
             add(page[at:])
             break
-        add(page[at : found.start()])
-        at = found.end()
-        if not found[2]:
+        mark = page[start + 1 : start + 2]
+        closing = mark == "/"
+        named = NAME.match(page, start + 1 + closing)
+        if not named and mark not in ("!", "?", "/"):
+            add(page[at : start + 1])
+            at = start + 1
+            continue
+        add(page[at:start])
+        if not named:
+            end = page.find("-->", start + 4) + 3 if page.startswith("<!--", start) else page.find(">", start) + 1
+            at = end if end > 2 or end == 1 else len(page)
             continue
-        name, closing, rest = found[2].lower(), bool(found[1]), found[3]
+        at = tag_end(page, named.end(), unclosed)
+        name, rest = named[0].lower(), page[named.end() : at].rstrip(">")
         if name in RAW_END and not closing:
             if not rest.endswith("/"):
                 end = RAW_END[name].search(page, at)
@@ -87,20 +150,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID:
             continue
         if closing:
-            if name in (n for n, _ in stack):
+            if open_[name]:
                 while stack:
                     n, was = stack.pop()
+                    open_[n] -= 1
                     dropped -= was
                     articles -= n in ("article", "main") and not was
                     if n == name:
                         break
             continue
         while stack and stack[-1][0] == "p":  # a block ends an open paragraph
+            open_["p"] -= 1
             dropped -= stack.pop()[1]
-        cues = {w.lower() for c in CUE.findall(rest) for w in WORDS.findall(c)} if rest else ()
         page_header = name == "header" and not articles
-        noise = NOISE.intersection(cues) - (TITLES if articles else set())
-        drop = name in DROPPED or page_header or bool(noise) and name not in ("body", "html", "main")
+        drop = name in DROPPED or page_header or bool(rest) and name in CONTAINERS and is_noise(name, rest, articles > 0)
+        open_[name] += 1
         stack.append((name, drop))
         dropped += drop
         articles += name in ("article", "main") and not drop

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -249,6 +250,62 @@ def test_only_articles_of_the_page_itself_mark_its_text():
     assert text == f"Title\n{long.strip()}\nOne link\nTwo\nThree\nMore text.\nLast link"
 
 
+def test_names_are_judged_as_a_whole():
+    long = "A paragraph that is long enough to be running text. " * 3
+    want = long.strip()
+    assert html_extract.main_text(f'<script>var x="<main>";</script><p>{long}</p>') == want
+    assert html_extract.main_text(f'<article class="post has-sidebar"><p>{long}</p></article>') == want
+    body = f'<article><h2 id="search-trees">Trees</h2><p>{long}</p><section id="related-work"><h2 id="comments">Related work</h2><p class="share-price">Its price.</p></section></article>'
+    assert html_extract.main_text(page(body)) == f"Trees\n{want}\nRelated work\nIts price."
+    for noise in ('<div class="left-sidebar">x</div>', "<div id=comments>x</div>", '<div class="x cookieNotice">x</div>', '<ul class="share_buttons"><li>x</ul>', '<section role="search">x</section>', '<p class="ad">x</p>', '<ol class="comment-list"><li>x</li></ol>'):
+        assert html_extract.main_text(page(f"<article><p>{long}</p>{noise}<p>End.</p></article>")) == f"{want}\nEnd.", noise
+    assert html_extract.main_text(page(f'<div class="site-header">Site</div><div class="post-header"><h1>Title</h1></div><p>{long}</p>')) == f"Title\n{want}"
+
+
+@pytest.mark.parametrize("part", ["<a b='", "<div>", "</p>", "<div></p>", "<!--", "<", "<p class=\"", "&amp", "<script>", "<b =  ", "<article><div class=ad>"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.perf_counter()
+    html_extract.main_text(part * (2_000_000 // len(part)))
+    assert time.perf_counter() - began < 8
+    assert html_extract.main_text(f"<p>{'Text of a page. ' * 9}</p><p>5 < 6 &lt; 7</p>" + part * 3).startswith("Text of a page.")
+
+
+class Reference(HTMLParser):
+    """The text of an article by the standard library's parser, for pages that mark it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.now, self.inside, self.out = [], "", 0, 0
+
+    def flush(self):
+        self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "h2", "li", "ul", "div", "article"):
+            self.flush()
+        self.inside += tag == "article"
+        self.now += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "li", "ul", "div", "article"):
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now += data
+
+
+def test_pages_equal_a_reference_parser(spark):
+    for r in queries.op4_html_main_text(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
+        reference = Reference()
+        reference.feed(r["html"] or "")
+        reference.close()
+        reference.flush()
+        assert r["text"] == "\n".join(b for b in reference.blocks if b) and r["n_chars"] == len(r["text"])
+
+
 # --- urls
 
 
