@@ -4,12 +4,14 @@ Fingerprints: 4-word shingles (repeats included) hashed by XXH64 with seed 42; a
 hashes have it. Documents meet only through distinct fingerprints, so copies cost nothing after the first.
 
 Pairs: two fingerprints within `max_bits` = 4 differ by at most one bit in one of three thirds of the 64 bits. Each
-third has a vantage-point tree over the Hamming distance in that third, in which the search radius is therefore 1 and
-not 4. A tree is `depth` levels; a level has a vantage point and a radius (the median distance of a bounded sample), and
-a fingerprint goes inside or outside by its distance. By the triangle inequality a partner within the search radius lies
-on the other side only if the distance is that near to the level's radius; only then is the other side's shard queried as
-well. Of a pair that a level parts, the inner one visits the outer side, so residents cross in one direction only. The
-depth follows the logarithm of the number of fingerprints, so shards keep their size as the corpus grows.
+third has a vantage-point tree over Hamming distances, in which the search radius is therefore 1 and not 4. A level of
+the tree has a slice of the third's bits of its own, a vantage point and a radius: a fingerprint goes inside or outside
+by its distance to the point in that slice. By the triangle inequality a partner lies on the other side only if it
+differs in the slice by at least the distance to the radius; only then is the other side's shard queried as well. As the
+levels' slices don't overlap, these differences add up, and a query that has spent the radius on one level crosses no
+other: a fingerprint is sent to 1 + levels shards at most, not to a number that doubles with each level. Of a pair that a
+level parts, the inner one visits the outer side, so residents cross in one direction only. The radius of a level is the
+one that parts a bounded sample most evenly. The number of levels follows the logarithm of the number of fingerprints, so shards keep their size as the corpus grows, up to one level a bit.
 
 A shard with more than `shard_rows` residents (thousands of near copies) is cut into chunks, and its residents visit the
 chunks after their own: no task holds a shard whole. A task compares its rows by 64-bit exclusive-or and bit counts, in
@@ -70,25 +72,38 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp") -
     return docs.withColumn(out, _fingerprints.asNondeterministic()(docs[text_col]))
 
 
-def plan_trees(sample: np.ndarray, count: int, leaf_rows: int, seed: int = 7) -> list[list[tuple[int, int]]]:
-    """For each third, the levels' (vantage point, radius); the sample sets the radii and nothing else."""
-    depth = max(0, int(np.ceil(np.log2(max(count, 1) / leaf_rows))))
+#: A level of a tree: vantage point, radius, bits looked at.
+Level = tuple[int, int, int]
+
+
+def plan_trees(sample: np.ndarray, count: int, leaf_rows: int, seed: int = 7) -> list[list[Level]]:
+    """For each third, the levels; the sample sets the radii and nothing else."""
     random = np.random.default_rng(seed)
     trees = []
     for mask in THIRDS:
-        points = random.integers(0, 2**63, depth, np.uint64) * np.uint64(2) + random.integers(0, 2, depth, np.uint64)
-        trees.append([(int(p), int(np.median(np.bitwise_count((sample ^ p) & np.uint64(mask)))) if len(sample) else 10) for p in points])
+        bits = random.permutation([b for b in range(64) if mask >> b & 1]).tolist()
+        depth = min(max(0, int(np.ceil(np.log2(max(count, 1) / leaf_rows)))), len(bits))
+        width = 3 if depth * 3 <= len(bits) else 1  # an odd number of bits parts evenly; of three bits fewer cross than of one
+        levels = []
+        for k in range(depth):
+            part = sum(1 << b for b in bits[k * width : (k + 1) * width])
+            point = int(random.integers(0, 2**63)) & part
+            d = np.bitwise_count((sample ^ np.uint64(point)) & np.uint64(part))
+            share = np.bincount(d, minlength=width + 1) / max(len(d), 1)
+            radius = min(range(width), key=lambda r: abs(share[: r + 1].sum() - 0.5))
+            levels.append((point, radius, part))
+        trees.append(levels)
     return trees
 
 
-def route(fps: np.ndarray, levels: list[tuple[int, int]], mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(fps: np.ndarray, levels: list[Level]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaf, index of the fingerprint and whether it is only a visitor there, of all shards that a fingerprint reaches."""
     at, leaf, visitor = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.zeros(len(fps), bool)
-    for point, radius in levels:
-        d = np.bitwise_count((fps[at] ^ np.uint64(point)) & np.uint64(mask)).astype(np.int64)
+    for point, radius, part in levels:
+        d = np.bitwise_count((fps[at] ^ np.uint64(point)) & np.uint64(part)).astype(np.int64)
         inside = d <= radius
-        cross = np.where(inside, d + 1 > radius, visitor & (d - 1 <= radius))
-        leaf = np.concatenate([leaf * 2 + ~inside, leaf[cross] * 2 + inside[cross]])
+        cross = inside & (d + 1 > radius) & ~visitor  # a visitor has spent its one bit on the level that it crossed
+        leaf = np.concatenate([leaf * 2 + ~inside, leaf[cross] * 2 + 1])
         at, visitor = np.concatenate([at, at[cross]]), np.concatenate([visitor, np.ones(cross.sum(), bool)])
     return leaf, at, visitor
 
@@ -140,8 +155,8 @@ def links(prints: DataFrame, *, max_bits: int = 4, leaf_rows: int = 2048, shard_
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for tree, (levels, mask) in enumerate(zip(trees, THIRDS, strict=True)):
-                leaf, at, visitor = route(fps, levels, mask)
+            for tree, levels in enumerate(trees):
+                leaf, at, visitor = route(fps, levels)
                 yield pd.DataFrame({"shard": leaf * 3 + tree, "fp": fps[at].view(np.int64), "visitor": visitor})
 
     placed = prints.mapInPandas(shards, "shard long, fp long, visitor boolean")
