@@ -330,7 +330,7 @@ def test_chain_beats_every_order():
             for path in itertools.combinations(sorted(range(n), key=lambda i: x[i]), size):
                 if all(x[a] < x[b] and y[a] < y[b] for a, b in zip(path, path[1:], strict=False)):
                     best = max(best, 8 * size - 0.05 * sum(x[b] - x[a] + y[b] - y[a] for a, b in zip(path, path[1:], strict=False)))
-        first = substring.chain(x, y, 8, 0.05, 1000)[0]
+        first = substring.chain(x, y, 8, 0.05, 1000)[0]  # no gap is too far here
         assert np.isclose(8 * first[4] - 0.05 * ((first[1] - 8 - first[0]) + (first[3] - 8 - first[2])), best)
 
 
@@ -345,12 +345,49 @@ def test_passages(spark):
     texts = {1: prose(100) + shared + prose(50), 2: prose(10) + shared + prose(300), 3: prose(40) + fuzzy, 4: changed + prose(60), 5: prose(200), 6: prose(30) + shared[:40] + prose(30), 7: prose(49), 8: None, 9: "", 10: shared}
     d = spark.createDataFrame([(k, None if t is None else " ".join(t)) for k, t in texts.items()] + [(None, " ".join(shared))], "doc_id long, text string").selectExpr("*", "1 as seed", "2 as id", "3 as t")
     rows = substring.passages(d).collect()
-    assert {(r["doc_id"], r["other_id"]) for r in rows} == {(1, 2), (2, 1), (1, 10), (10, 1), (3, 4), (4, 3)}
+    assert {(r["doc_id"], r["other_id"]) for r in rows} == {(1, 2), (2, 1), (1, 10), (10, 1), (2, 10), (10, 2), (3, 4), (4, 3)}
     spans = {(r["doc_id"], r["start"], r["end"]) for r in rows}
     assert spans == {(1, 100, 180), (2, 10, 90), (10, 0, 80), (3, 40, 130), (4, 0, 90)}
     assert substring.passages(d.limit(0)).count() == 0
 
 
+def test_passages_far_apart_are_chains_of_their_own():
+    x = np.concatenate([np.arange(0, 60, 4), np.arange(160, 220, 4), np.arange(420, 480, 4)])
+    for y in (x, np.concatenate([x[15:30], x[:15] + 900, x[30:]])):
+        chains = substring.chain(x, y, 5, 0.05, 60)
+        assert sorted((c[0], c[1], c[4]) for c in chains) == [(0, 61, 15), (160, 221, 15), (420, 481, 15)]
+
+
+def test_passages_among_edits_repeats_and_common_lines(spark):
+    """Edited passages are found, the parts of one whose parts stand elsewhere first too, and clean texts are left alone."""
+    random = np.random.default_rng(12)
+    prose = lambda n: [f"w{i}" for i in random.integers(0, 3000, n)]
+    texts, want = {}, set()
+    for i in range(60):
+        passage = prose(75 + i)
+        for k in (0, 1):
+            changed = [w if not k or random.random() > 0.1 else "changed" for w in passage]
+            texts[2 * i + k + 1] = prose(40) + changed + prose(40)
+            want.add(2 * i + k + 1)
+    common = [prose(20) for _ in range(3)]
+    for i in range(200, 260):  # lines that many share, and junk, but no passage
+        texts[i] = prose(150) + common[i % 3] + prose(30) + common[(i + 1) % 3] + ["ad"] * int(random.integers(5, 40)) + prose(30)
+    parts = [prose(30) for _ in range(3)]
+    for i in range(3):
+        texts[300 + i] = prose(60) + parts[i] + prose(60)
+    whole = parts[0] + parts[1] + parts[2]
+    texts[310], texts[311] = prose(20) + whole, whole + prose(20)
+    rows = [(k, " ".join(t)) for k, t in texts.items()] + [(1, "shorter")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.passages(d).collect()
+    seen = {r["doc_id"] for r in found}
+    assert len(want - seen) <= 2 and (310, 311) in {(r["doc_id"], r["other_id"]) for r in found}
+    assert not seen - want - {300, 301, 302, 310, 311}
+    # an id on several rows is one document, of which the longest text counts
+    again = substring.passages(d.union(spark.createDataFrame([(2, " ".join(texts[2])), (2, "x")], d.schema))).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
+
+
 def test_passages_of_the_table(spark, docs):
     """Every run of 60 words that two documents share is inside a reported passage of both."""
     texts = {r["doc_id"]: substring.words((r["text"] or "").encode()) for r in docs.collect()}
