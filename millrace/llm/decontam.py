@@ -7,7 +7,10 @@ benchmark. Where one is found, the few windows that can lie around it are cut ou
 benchmark's (the verification), so a hash collision cannot mark a word. Everything up to here happens where the document
 was read: only verified hits are shuffled.
 
-The benchmark's tables are broadcast while they hold at most `broadcast_rows` rows; beyond, Spark joins by a shuffle.
+The benchmark's tables are broadcast while they hold at most `broadcast_rows` runs and `broadcast_bytes` of phrases.
+Beyond, only (id, text hash, place, run hash) rows meet the benchmark's runs in a shuffle; what is found there goes back
+to its text, one row a document, and the windows cut out of it are compared in a second shuffle. No text is shuffled
+more than once, however large the benchmark.
 
 Defined results: null or empty text has no words and is never contaminated; a null id is an id of its own; items without
 words have no windows; repeated rows give repeated results; an empty benchmark marks nothing; columns other than the id,
@@ -21,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import lower_ascii
+from .util import lower_ascii, without_places
 
 #: What separates words, before or after lower-casing: ASCII characters that are no letters or digits.
 SEPARATORS = r"[^\p{Alnum}\P{ASCII}]+"
@@ -62,11 +65,12 @@ def _probe(length: int, run: int) -> Callable[[Column], Column]:
     return lambda at: F.struct(at.alias("at"), F.lit(length).alias("len"), _hash(F.slice("w", at, F.lit(run)), length).alias("h"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, broadcast_bytes: int = 128_000_000) -> DataFrame:
     """Per contaminated document: key columns `id` and `text_hash`, `spans` (array of struct(at, len)), `items`."""
     windows = benchmark_windows(benchmark, window)
-    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
-    small = sum(sizes.values()) * window <= broadcast_rows
+    counted = windows.groupBy("len").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase") + 64 * F.size("items")).alias("b")).collect()  # at most `window` rows
+    sizes = {r["len"]: r["n"] for r in counted}
+    small = sum(n * (k - _runs_at(k)[0] + 1) for k, n in sizes.items()) <= broadcast_rows and sum(r["b"] for r in counted) <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), words(docs[text_col]).alias("w"))
     probes, known = [], None
@@ -79,11 +83,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col
         inner = F.array(*(_hash(F.slice(p, i, run), length) for i in range(1, length - run + 2)))
         of = windows.where(F.col("len") == length).select(F.explode(inner).alias("h"))
         known = of if known is None else known.union(of)
-    found = (
-        rows.withColumn("p", F.explode(F.concat(*probes)))
-        .select("id", "text_hash", "w", "p.at", "p.len", "p.h")
-        .join(hint(known.distinct()), "h", "left_semi")
-    )
+    probed = rows.withColumn("p", F.explode(F.concat(*probes)))
+    if small:
+        found = probed.select("id", "text_hash", "w", "p.at", "p.len", "p.h").join(hint(known.distinct()), "h", "left_semi")
+    else:
+        met = probed.select("id", "text_hash", "p.at", "p.len", "p.h").join(known.distinct(), "h", "left_semi")
+        # a document has at most as many as words
+        places = met.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "len")).alias("p")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "p")
+        back = rows.join(places, rows["id"].eqNullSafe(places["_id"]) & (rows["text_hash"] == places["_hash"]))
+        found = back.withColumn("p", F.explode("p")).select("id", "text_hash", "w", "p.at", "p.len")
     run = F.floor((F.col("len") + 1) / 2).cast("int")
     first = F.greatest(F.col("at") + run - F.col("len"), F.lit(1))
     last = F.least(F.col("at"), F.size("w") - F.col("len") + 1)
@@ -124,5 +132,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_
     # each word with the separators that follow it, and what stands before the first word
     pieces = F.regexp_extract_all(text_col, F.lit(f"({CASED_WORD}{CASED_SEPARATORS})"), 1)
     lead = F.regexp_extract(text_col, f"^{CASED_SEPARATORS}", 0)
-    kept = F.filter(F.transform(pieces, lambda p, i: F.when(~F.array_contains("_hit_words", i + 1), p)), lambda p: p.isNotNull())
+    kept = without_places(pieces, F.transform(F.sort_array("_hit_words"), lambda i: i - 1))
     return joined.withColumn(text_col, F.when(F.col("_hit_words").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))).drop("_hit_words")

@@ -4,7 +4,8 @@ Each input partition yields one sorted run of (digest, best row, count). In ever
 exchange their entries by (target run, digest) and are merged; after log(runs) rounds one run is left, spread over all
 tasks by digest, so no task ever holds a run whole. Copies collapse inside their own partition before the first
 exchange, which is why a hot text costs each task one entry. The best row travels as a struct, for which Spark sorts
-and merges (SortAggregate) instead of hashing.
+and merges (SortAggregate) instead of hashing. A round moves every entry once, so `fan_in` 2, the binomial exchange of
+pairs, moves them log2(runs) times and 8, the default, a third as often.
 
 Equality is verified at every level: entries merge only when the SHA-256 digest, the length in bytes and a second,
 independent 64-bit hash agree.
@@ -38,8 +39,9 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def merge_runs(rows: DataFrame, runs: int, fan_in: int, keep: str) -> DataFrame:
+    """Digests with their best row and count, from runs numbered from 0 to runs - 1."""
     best = F.max if keep == "max" else F.min
-    level = rows.select(F.pmod("run", F.lit(runs)).alias("run"), *KEY, F.struct("id", "tag").alias("best"), F.lit(1).cast("long").alias("n"))
+    level = rows.select("run", *KEY, F.struct("id", "tag").alias("best"), F.lit(1).cast("long").alias("n"))
     while True:
         level = level.groupBy("run", *KEY).agg(best("best").alias("best"), F.sum("n").alias("n"))
         if runs == 1:
@@ -48,10 +50,10 @@ def merge_runs(rows: DataFrame, runs: int, fan_in: int, keep: str) -> DataFrame:
         level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int") if runs > 1 else F.lit(0))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", fan_in: int = 8) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256. `keep` says which id of a group stays."""
     rows = digest_rows(docs, id_col, text_col)
-    groups = merge_runs(rows, runs, fan_in, keep)
+    groups = merge_runs(rows, rows.rdd.getNumPartitions(), fan_in, keep)
     # a hot digest makes a skewed side here, which adaptive execution splits: nothing above needs a key's rows together
     return rows.join(groups, KEY).select(
         F.col("id").alias(id_col),

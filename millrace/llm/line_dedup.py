@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import checkpointed
+from .util import checkpointed, without_places
 
 VARIABLE = "<*>"
 #: Lines of one to four tokens with a digit in each.
@@ -91,17 +91,9 @@ def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int) -> Da
     return dropped.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
-def without_lines(text: Column, drop: Column) -> Column:
-    """The text without the lines at the sorted places `drop`: the stretches between them, each copied once."""
-    from_, to = F.concat(F.array(F.lit(-1)), drop), lambda lines: F.concat(drop, F.array(F.size(lines)))
-    kept = lambda lines: F.flatten(F.zip_with(from_, to(lines), lambda a, b: F.slice(lines, a + 2, b - a - 1)))
-    # the lines are the one element of an array, so the text is split once
-    return F.array_join(F.transform(F.array(F.split(text, "\n")), kept)[0], "\n")
-
-
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", **limits: float) -> DataFrame:
     """The documents, all columns, with recurring lines dropped from the text, and their places in `dropped_col`."""
     drop = recurring_lines(docs, id_col=id_col, text_col=text_col, **limits).select(F.col("id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash"), F.col("drop").alias("_drop"))
     joined = docs.join(drop, docs[id_col].eqNullSafe(drop["_drop_id"]) & (F.xxhash64(docs[text_col]) == drop["_drop_hash"]), "left")
     none = F.array().cast("array<int>")
-    return joined.withColumn(text_col, F.when(F.col("_drop").isNotNull(), without_lines(F.col(text_col), F.col("_drop"))).otherwise(F.col(text_col))).withColumn(dropped_col, F.coalesce("_drop", none)).drop("_drop_id", "_drop_hash", "_drop")
+    return joined.withColumn(text_col, F.when(F.col("_drop").isNotNull(), F.array_join(without_places(F.split(F.col(text_col), "\n"), F.col("_drop")), "\n")).otherwise(F.col(text_col))).withColumn(dropped_col, F.coalesce("_drop", none)).drop("_drop_id", "_drop_hash", "_drop")

@@ -6,8 +6,11 @@ labelled documents, whose lines all take the document's label; forward-backward
 length-weighted mean of the marginals, put through a one-variable logistic fit on the same training documents, is the
 document's score.
 
-Only the fit sees a bounded sample: `train_docs` labelled documents, the first by a hash of their id. Scoring reads every
-whole text, in one pass without a shuffle.
+As every line of a document takes its label, pairs of unlike lines are never seen, and moves between good and bad would be
+forbidden; their weights are kept within 1 (a factor of e), so that a line is smoothed by its neighbours and not ruled.
+
+Only the fit sees a bounded sample: `train_docs` labelled documents of at most `train_lines` lines, the first by a hash
+of their id. Scoring reads every whole text, in one pass without a shuffle.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; blank lines are lines; repeated
 rows get equal scores; duplicate or null labels count once or not at all; an empty table gives an empty result; without
@@ -27,8 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-#: Kinds of Latin-1 characters: lower (also all beyond Latin-1, which encode as ?), upper, digit, white space, sentence mark, symbol.
-KINDS = bytes(0 if c.islower() or c == "?" else 1 if c.isupper() else 2 if c.isdigit() else 3 if c.isspace() else 4 if c in ".,;:'\"" else 5 for c in map(chr, range(256)))
+#: What a question mark is written as before encoding, which makes ? of all characters beyond Latin-1.
+QUESTION = "\x01"
+#: Kinds of Latin-1 characters: lower (also all beyond Latin-1), upper, digit, white space, sentence mark, symbol.
+KINDS = bytes(0 if c.islower() or c == "?" else 1 if c.isupper() else 2 if c.isdigit() else 3 if c.isspace() else 4 if c in f".,;:'\"{QUESTION}" else 5 for c in map(chr, range(256)))
 FEATURES = 16
 RUNS = ("***", "###", "$$$", "%%%", "&&&", "...", "---", "===", "~~~")
 ENDS = frozenset(".!?:;\"')]")
@@ -46,7 +51,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if not k:
             out.append((log1p(n) / 8, *[0.0] * (FEATURES - 2), 1.0))
             continue
-        kinds = line.encode("latin-1", "replace").translate(KINDS)
+        kinds = line.replace("?", QUESTION).encode("latin-1", "replace").translate(KINDS)
         lower, upper, digit, space, mark, symbol = map(kinds.count, (b"\0", b"\1", b"\2", b"\3", b"\4", b"\5"))
         runs = sum(map(line.count, RUNS))
         out.append((
@@ -168,8 +173,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fits on at most `train_docs` labelled documents that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = 1500, train_lines: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Fits on at most `train_docs` labelled documents that aren't held out, without those of over `train_lines` lines."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(id_col), id_col).limit(train_docs)
     rows = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("t")).join(F.broadcast(chosen), id_col)  # train_docs rows at most
 
@@ -178,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = 1500, id_col:
         made = [line_features(t) for t in texts]
         return pd.DataFrame({"own": [o.tobytes() for o, _ in made], "sizes": [s.tobytes() for _, s in made]})
 
-    got = rows.select(id_col, "quality", features("t").alias("f")).select(id_col, "quality", "f.*").dropDuplicates([id_col]).orderBy(id_col).collect()
+    short = F.coalesce(F.length("t") - F.length(F.replace(F.col("t"), F.lit("\n"), F.lit(""))), F.lit(0)) < train_lines
+    got = rows.where(short).select(id_col, "quality", features("t").alias("f")).select(id_col, "quality", "f.*").dropDuplicates([id_col]).orderBy(id_col).collect()
     known = np.array([r["quality"] for r in got], np.float64)
     if len(set(known.tolist())) < 2:
         raise ValueError("labels of both kinds are needed")

@@ -81,8 +81,7 @@ def _rule_sql(column: int) -> str:
     return f"case {cases} end"
 
 
-def _term_sql(term: str) -> str:
-    return f"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){term}($|[^a-z0-9])')::int"
+_TERMS = ", ".join(f"('{term}', {weight:g})" for term, weight in url_filter.vocabulary().items())
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,8 +99,9 @@ ORACLE_SQL: dict[str, str] = {
         from doc d left join words using (doc_id) left join items using (doc_id)""",
     "op5_url_filter": f"""
         with split as (select page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
-        hits as (select *, {" + ".join(map(_term_sql, url_filter.STRICT))} as strict_hits, {" + ".join(map(_term_sql, url_filter.SOFT))} as soft_hits from split)
-        select page_id, host, path, {_rule_sql(0)} as rule, coalesce({_rule_sql(1)}, case when strict_hits > 0 or soft_hits >= 2 then 'block' else 'allow' end) as verdict from hits""",
+        term as (select * from (values {_TERMS}) v(term, weight)),
+        hit as (select page_id, sum(weight) as weight from (select distinct page_id, lower(coalesce(url, '')) as u from split), term where contains(u, term) and regexp_matches(u, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') group by 1)
+        select s.page_id, host, path, {_rule_sql(0)} as rule, coalesce({_rule_sql(1)}, case when weight >= 2 then 'block' else 'allow' end) as verdict from split s left join hit h on s.page_id = h.page_id""",
     "op9_exact_dedup": f"""
         with t as (select doc_id, {_LOWER} as t from documents),
         r as (select *, row_number() over (partition by t order by doc_id desc nulls last) as place, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from t)

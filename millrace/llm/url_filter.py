@@ -2,8 +2,9 @@
 
 A rule (host, path prefix, verdict) fits its host and all subdomains where the url's path starts with the rule's path;
 the longest fitting rule decides. Other urls are judged by vocabulary: all terms are found in one pass of the automaton
-over the url, a hit counts only between boundaries (no ASCII letter or digit on either side), and the url is blocked on
-one strict term or on `soft_hits` distinct soft terms.
+over the url, a hit counts only between boundaries (no ASCII letter or digit on either side), and the url is blocked when
+its distinct terms weigh `most` = 2 or more: one strict term (weight 2) or two soft ones (weight 1). The vocabulary is a
+table of (term, weight); `vocabulary()` reads the library's own from url_terms.tsv, or any other of that form.
 
 Defined results: null urls and urls without :// have an empty host and path, fit no rule and are judged by what text they
 have (null: allow); repeated rows are judged alike; each url is judged by itself, so an empty table gives an empty
@@ -12,7 +13,8 @@ result; other columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,8 +24,13 @@ from pyspark.sql.pandas.functions import pandas_udf
 from .util import UPPER
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-STRICT = ["porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "casino", "casinos", "viagra", "cialis", "warez", "adult-x", "spam-farm", "link-farm", "cheap-pills", "free-bets", "ads-track"]
-SOFT = ["adult", "sex", "nude", "bet", "bets", "betting", "poker", "slots", "gambling", "win", "bonus", "pills", "pharmacy", "cheap", "free", "loans", "spam", "farm", "ads", "track", "tracker", "popup", "crack", "torrent"]
+
+
+def vocabulary(path: str | None = None) -> dict[str, float]:
+    """Terms, lower-cased, and their weights from lines `term, tab, weight`; lines that begin with # are comments."""
+    text = Path(path or Path(__file__).with_name("url_terms.tsv")).read_text(encoding="utf-8")
+    rows = [line.split("\t") for line in text.splitlines() if line.strip() and not line.startswith("#")]
+    return {r[0].lower(): float(r[1]) for r in rows}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,11 +49,10 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return name, verdict
 
 
-def vocabulary_hits(strict: Sequence[str], soft: Sequence[str]) -> Column:
-    """A function of a url column: struct of the distinct strict and soft terms with boundaries on both sides."""
-    weights = {t.lower(): True for t in strict} | {t.lower(): False for t in soft if t.lower() not in set(strict)}
+def vocabulary_hits(weights: Mapping[str, float]) -> Column:
+    """A function of a url column: how many distinct terms with boundaries on both sides it has, and what they weigh."""
 
-    @pandas_udf("strict int, soft int")
+    @pandas_udf("terms int, weight double")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
@@ -63,18 +69,17 @@ def vocabulary_hits(strict: Sequence[str], soft: Sequence[str]) -> Column:
                     before, after = text[end - len(term) : end - len(term) + 1] if end >= len(term) else "", text[end + 1 : end + 2]
                     if not (before.isascii() and before.isalnum()) and not (after.isascii() and after.isalnum()):
                         hits.add(term)
-                n = sum(weights[t] for t in hits)
-                found.append((n, len(hits) - n))
-            yield pd.DataFrame(found, columns=["strict", "soft"])
+                found.append((len(hits), float(sum(weights[t] for t in hits))))
+            yield pd.DataFrame(found, columns=["terms", "weight"])
 
     return count
 
 
-def judge_urls(urls: DataFrame, url_col: str = "url", *, rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = 2) -> DataFrame:
-    """The rows, all columns, with host, path, rule, strict_hits, soft_hits and verdict (allow or block)."""
+def judge_urls(urls: DataFrame, url_col: str = "url", *, rules: Sequence[tuple[str, str, str]] = RULES, weights: Mapping[str, float] | None = None, most: float = 2) -> DataFrame:
+    """The rows, all columns, with host, path, rule, term_hits, term_weight and verdict (allow or block)."""
     host, path = host_and_path(F.col(url_col))
-    hits = vocabulary_hits(strict, soft).asNondeterministic()
+    hits = vocabulary_hits(weights or vocabulary()).asNondeterministic()
     split = urls.withColumn("_url", F.struct(host.alias("host"), path.alias("path"))).withColumn("_hits", hits(F.col(url_col)))
     rule, ruled = longest_rule(F.col("_url.host"), F.col("_url.path"), rules)
-    own = F.when((F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= soft_hits), "block").otherwise("allow")
-    return split.withColumns({"host": F.col("_url.host"), "path": F.col("_url.path"), "rule": rule, "strict_hits": F.col("_hits.strict"), "soft_hits": F.col("_hits.soft"), "verdict": F.coalesce(ruled, own)}).drop("_url", "_hits")
+    own = F.when(F.col("_hits.weight") >= most, "block").otherwise("allow")
+    return split.withColumns({"host": F.col("_url.host"), "path": F.col("_url.path"), "rule": rule, "term_hits": F.col("_hits.terms"), "term_weight": F.col("_hits.weight"), "verdict": F.coalesce(ruled, own)}).drop("_url", "_hits")

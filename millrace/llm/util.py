@@ -23,14 +23,28 @@ def lower_ascii(text: Column | str) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that spark.checkpoint.dir names; only where it is unset a folder is made."""
+    """Cuts the lineage in the shared folder that spark.checkpoint.dir names; where it is unset a folder is made, if all is on one machine."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def without_places(items: Column, drop: Column) -> Column:
+    """The array without the elements at the sorted places `drop` (from 0): the stretches between these, each copied once."""
+    from_ = F.concat(F.array(F.lit(-1)), drop)
+
+    def kept(array: Column) -> Column:
+        return F.flatten(F.zip_with(from_, F.concat(drop, F.array(F.size(array))), lambda a, b: F.slice(array, a + 2, b - a - 1)))
+
+    # as the one element of an array, `items` is evaluated once and not for every stretch
+    return F.transform(F.array(items), kept)[0]
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, split: int) -> DataFrame:
     """Adds `out`, the row's place from 0 in its group, without holding a group in one task.
 

@@ -1,5 +1,13 @@
 """The pipeline's stages hold what each decided, and agree with the operators' own queries."""
 
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+from test_operators import WORD, brute_components, brute_fingerprint, check_packing, lowered
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from millrace.llm import queries
 
@@ -20,8 +28,63 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def brute_stages(spark):
+    """What each stage leaves of the documents, as {doc_id: text}: one document at a time, all pairs, and SQL for the lines."""
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    field = queries.quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    score = lambda t: 1 / (1 + np.exp(-(field.scale * queries.quality._logit(queries.quality.document_means(field, [queries.quality.line_features(t)])) + field.shift)))[0]
+    rows = {k: t for k, t in rows.items() if score(t) >= 0.3}
+    yield rows
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": list(rows), "text": list(rows.values())}))
+    cleaned = queries.ORACLE_SQL["op8_line_templates"].replace("sha256(t) as text_sha256", "t")
+    rows = {k: t for k, t in con.sql(f"select doc_id, t from ({cleaned})").fetchall()}
+    yield rows
+    of = brute_components({k: brute_fingerprint(t) for k, t in rows.items()})
+    rows = {k: t for k, t in rows.items() if of[k] == k}
+    yield rows
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {}
+    for _, text in items:
+        w = WORD.findall(lowered(text))
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(n, set()).add(tuple(w[i : i + n]))
+    held = lambda w: any(tuple(w[i : i + n]) in known for n, known in windows.items() for i in range(len(w) - n + 1))
+    yield {k: t for k, t in rows.items() if not held(WORD.findall(lowered(t)))}
+
+
+def test_stages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for (name, stage), want in zip(corpus_pipeline.STAGES, brute_stages(spark), strict=False):
+        docs = stage(spark, docs, SF).cache()
+        got = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert got == want, name
+    rows = corpus_pipeline.run(spark, SF).collect()
+    check_packing([r.asDict() for r in rows], 2048)
+    assert {r["doc_id"] for r in rows} == set(want)
+    model = Tokenizer.from_file(queries.packing.vocabulary())
+    lengths = defaultdict(int)
+    for r in rows:
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {k: len(model.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in want.items()}
+
+
+def test_stages_on_edges(spark):
+    """Nulls, repeated ids, empty and long texts, clashing columns and an empty table go through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i % 997}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", 1), (3, long, "en", "a", 1), (3, "other words entirely", "en", "a", 1), (None, "no id here", "en", "a", 10), (None, "nor here, but of other words", None, "a", 10)]
+    edge = spark.createDataFrame(rows, schema).selectExpr("*", "1 as id", "2 as fp", "3 as at", "4 as w", "5 as rank", "6 as _score", "7 as _hash")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, edge, SF)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert out.count() == (5 if name == "near_duplicates" else 7), name
+        assert stage(spark, edge.limit(0), SF).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, edge, SF).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3, None}
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as id", "2 as quality", "3 as t").unionByName(edge.select("doc_id", "text", "lang", "source", "n_chars", "id"), allowMissingColumns=True)
+    assert corpus_pipeline.STAGES[0][1](spark, labelled, SF).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_short_lines_recur_too(spark):
