@@ -62,7 +62,24 @@ def _hash(run: Column, length: int) -> Column:
 
 
 def _probe(length: int, run: int) -> Callable[[Column], Column]:
-    return lambda at: F.struct(at.alias("at"), F.lit(length).alias("len"), _hash(F.slice("w", at, F.lit(run)), length).alias("h"))
+    """Place, window length, hash of the run, and the few words around it that its windows can cover with their first place.
+
+    A probe carries these words and not the document's, so a row is as short for a long text as for a short one.
+    """
+
+    def probe(at: Column) -> Column:
+        first = F.greatest(at - (length - run), F.lit(1))
+        return F.struct(at.alias("at"), F.lit(length).alias("len"), _hash(F.slice("w", at, F.lit(run)), length).alias("h"), first.alias("from"), F.slice("w", first, F.lit(2 * length - run)).alias("around"))
+
+    return probe
+
+
+def _windows(words_: Column, from_: Column | int, at: Column, length: Column) -> Column:
+    """Array of struct(at, len, phrase): the windows of `length` words that cover the run at `at`, of words that begin at `from_`."""
+    run = F.floor((length + 1) / 2).cast("int")
+    first = F.greatest(at + run - length, F.lit(1))
+    last = F.least(at, F.size(words_) + from_ - length)
+    return F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("at"), length.alias("len"), F.array_join(F.slice(words_, s - from_ + 1, length), " ").alias("phrase")))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, broadcast_bytes: int = 128_000_000) -> DataFrame:
@@ -78,27 +95,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col
         run, step = _runs_at(length)
 
         starts = F.sequence(F.lit(1), F.size("w") - run + 1, F.lit(step))
-        probes.append(F.when(F.size("w") >= length, F.transform(starts, _probe(length, run))).otherwise(F.array().cast("array<struct<at:int,len:int,h:bigint>>")))
+        probes.append(F.when(F.size("w") >= length, F.transform(starts, _probe(length, run))).otherwise(F.array().cast("array<struct<at:int,len:int,h:bigint,from:int,around:array<string>>>")))
         p = F.split("phrase", " ")
         inner = F.array(*(_hash(F.slice(p, i, run), length) for i in range(1, length - run + 2)))
         of = windows.where(F.col("len") == length).select(F.explode(inner).alias("h"))
         known = of if known is None else known.union(of)
-    probed = rows.withColumn("p", F.explode(F.concat(*probes)))
+    probed = rows.select("id", "text_hash", F.explode(F.concat(*probes)).alias("p"))
     if small:
-        found = probed.select("id", "text_hash", "w", "p.at", "p.len", "p.h").join(hint(known.distinct()), "h", "left_semi")
+        found = probed.select("id", "text_hash", "p.at", "p.len", "p.h", "p.from", "p.around").join(hint(known.distinct()), "h", "left_semi")
+        candidates = found.select("id", "text_hash", _windows(F.col("around"), F.col("from"), F.col("at"), F.col("len")).alias("c"))
     else:
         met = probed.select("id", "text_hash", "p.at", "p.len", "p.h").join(known.distinct(), "h", "left_semi")
         # a document has at most as many as words
         places = met.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "len")).alias("p")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "p")
         back = rows.join(places, rows["id"].eqNullSafe(places["_id"]) & (rows["text_hash"] == places["_hash"]))
-        found = back.withColumn("p", F.explode("p")).select("id", "text_hash", "w", "p.at", "p.len")
-    run = F.floor((F.col("len") + 1) / 2).cast("int")
-    first = F.greatest(F.col("at") + run - F.col("len"), F.lit(1))
-    last = F.least(F.col("at"), F.size("w") - F.col("len") + 1)
-    candidates = (
-        found.select("id", "text_hash", "len", F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("at"), F.array_join(F.slice("w", s, F.col("len")), " ").alias("phrase"))).alias("c"))
-        .select("id", "text_hash", "len", F.inline("c"))
-    )
+        cut = F.transform("p", lambda p: _windows(F.col("w"), F.lit(1), p["at"], p["len"]))
+        candidates = back.select("id", "text_hash", F.flatten(cut).alias("c"))
+    candidates = candidates.select("id", "text_hash", F.inline("c"))
     hits = candidates.join(hint(windows), ["phrase", "len"])
     # one document's hits are as many as its words at most
     return hits.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
