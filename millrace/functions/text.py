@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the feedback rules: masks and their order.
 PHONE, CARD = r"\+7[\s(-]*\d{3}[\s)-]*\d{3}[\s-]*\d{2}[\s-]*\d{2}", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"
-#: Secrets, in the order in which they are redacted.
+#: Names of secrets in JSON (fixed value).
+SECRET_NAMES = "provider_api_key|gemini_api_key|openrouter_api_key|x-goog-api-key|x-api-key|api_key"
+#: Secrets in JSON, in headers, after authorization and after bearer, in the order in which they are redacted.
 SECRETS = [
-    (r"(?i)bearer\s+[a-z0-9._~+/-]+=*", "Bearer [redacted]"),
-    (r"\bsk-[A-Za-z0-9_-]{8,}", "[redacted-key]"),
-    (r"(?i)\b(api[_-]?key|token|secret|password)\s*[:=]\s*\S+", "$1=[redacted]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[redacted-email]"),
+    (rf"""(?i)("(?:{SECRET_NAMES})"\s*:\s*")(?:\\.|[^"])*\"""", "$1***\""),
+    (rf"""(?i)('(?:{SECRET_NAMES})'\s*:\s*')(?:\\.|[^'])*'""", "$1***'"),
+    (r"""(?i)(?<![A-Za-z0-9_-])((?:x-goog-api-key|x-api-key)\s*[:=]\s*['"]?\s*)[A-Za-z0-9_\-./+=]+""", "$1***"),
+    (r"""(?i)(?<![A-Za-z0-9_])(authorization['"]?\s*[:=]\s*['"]?\s*(?:bearer\s+)?)(?!bearer\b)[A-Za-z0-9_\-./+=]+""", "$1***"),
+    (r"(?i)(?<![A-Za-z0-9_])(bearer\s+)[A-Za-z0-9_\-./+=]{8,}", "$1***"),
 ]
 SPACE = r"(?U)\s+"
 
@@ -30,10 +33,14 @@ def chunks(text: Column, size: int = 1800, overlap: int = 200) -> Column:
     """
     if overlap >= size:
         raise ValueError("overlap must be below the chunk size")
-    body = strip(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(body) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    cut = F.filter(F.transform(starts, lambda s: strip(F.substring(body, s + 1, F.lit(size)))), lambda c: c != "")
-    whole = F.when(F.length(body) <= size, F.array(body)).otherwise(cut)
+
+    def cut(body: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(body) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        parts = F.filter(F.transform(starts, lambda s: strip(F.substring(body, s + 1, F.lit(size)))), lambda c: c != "")
+        return F.when(F.length(body) <= size, F.array(body)).otherwise(parts)
+
+    # as the one element of an array the text is stripped once, and not for every chunk
+    whole = F.transform(F.array(strip(text)), cut)[0]
     return F.transform(whole, lambda c, i: F.struct(i.alias("chunk_index"), c.alias("chunk")))
 
 
@@ -42,7 +49,7 @@ def lexicon_key(text: Column) -> Column:
 
 
 def mask_pii(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, PHONE, "[phone]"), CARD, "[card]")
+    return F.regexp_replace(F.regexp_replace(text, PHONE, "[PHONE]"), CARD, "[CARD]")
 
 
 def redact_secrets(text: Column) -> Column:

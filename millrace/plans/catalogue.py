@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text
+from ..functions import arrays, rules, text
 from ..operators import access, metrics, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,12 +134,12 @@ def prev_next_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(order).alias("previous"), F.lead("role").over(order).alias("following"))
 
 
-@query("select conv_id, w as window_no, count(*) as n, md5(string_agg(text, chr(10) order by turn)) as text_md5 from (select conv_id, turn, text, unnest(range(greatest(0, (turn - 4 + 3) // 3), turn // 3 + 1)) as w from conversations) group by all having count(*) >= 2")
+@query("with s as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as p, count(*) over (partition by conv_id) as size from conversations) select conv_id, w as window_no, count(*) as n, md5(string_agg(text, chr(10) order by p)) as text_md5 from (select *, unnest(range(0, p // 6 + 1)) as w from s) where size >= 2 and p < w * 6 + 8 group by conv_id, w")
 def paragraph_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping windows of four turns, a new one every three."""
-    rows = _read(spark, sf_dir, "conversations").withColumn("window_no", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("turn") - 1) / 3)), F.floor(F.col("turn") / 3))))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("conv_id", "window_no").agg(F.count(F.lit(1)).alias("n"), F.md5(joined).alias("text_md5")).where("n >= 2")
+    """Overlapping windows of eight turns, a new one every six; none for a single turn."""
+    rows = retrieval.windows(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", size=8, step=6)
+    joined = F.array_join(F.transform("rows", lambda x: x["text"]), "\n")
+    return rows.select("conv_id", "window_no", F.size("rows").cast("long").alias("n"), F.md5(joined).alias("text_md5"))
 
 
 def _like(column: str, words: list[str]) -> str:
@@ -156,21 +156,17 @@ def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_intent(F.col("text"), INTENTS, "general").alias("intent"))
 
 
-@query(rf"select doc_id, md5(regexp_replace(regexp_replace(text, '{text.PHONE}', '[phone]', 'g'), '{text.CARD}', '[card]', 'g')) as masked_md5 from documents")
+@query(rf"select doc_id, md5(regexp_replace(regexp_replace(text, '{text.PHONE}', '[PHONE]', 'g'), '{text.CARD}', '[CARD]', 'g')) as masked_md5 from documents")
 def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.mask_pii(F.col("text"))).alias("masked_md5"))
 
 
-def _redacted_sql() -> str:
-    out = "text"
-    for pattern, tag in text.SECRETS:
-        out = f"regexp_replace({out}, '{pattern}', '{tag.replace('$1', chr(92) + '1')}', 'g')"
-    return f"select doc_id, md5({out}) as redacted_md5 from documents"
-
-
-@query(_redacted_sql())
+@query("""select doc_id, '{"api_key": "***", "note": 1} X-Api-Key: ***, Authorization: Bearer *** bearer *** bearer short ' || left(text, 200) as redacted from documents""")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact_secrets(F.col("text"))).alias("redacted_md5"))
+    """Log lines with secrets of all four kinds before a text; what should be left is written in the SQL."""
+    key = F.col("doc_id").cast("string")
+    line = F.concat(F.lit('{"api_key": "'), key, F.lit('\\"x", "note": 1} X-Api-Key: k'), key, F.lit(", Authorization: Bearer t."), key, F.lit(" bearer abcdefgh"), key, F.lit(" bearer short "), F.substring("text", 1, 200))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.redact_secrets(line).alias("redacted"))
 
 
 @query(r"select conv_id, turn, case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end::bigint as floor_tokens, greatest(1, (length(text) + 3) // 4)::bigint as ceil_tokens from conversations")
@@ -206,13 +202,16 @@ def lexicon_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("known"), "churn_signal").when(F.length("key") < 20, "noise").otherwise("feature").alias("rule_class"))
 
 
-@query("select doc_id, case when n > 1 then 'exact_duplicate' end as rule_reason, case when n > 1 then first end as duplicate_of from (select doc_id, row_number() over (partition by text order by doc_id) as n, min(doc_id) over (partition by text) as first from documents)")
+@query("with t as (select doc_id, coalesce(nfc_normalize(case when doc_id % 40 = 3 then null when doc_id % 40 = 5 then 'e' || chr(769) when doc_id % 40 = 7 then chr(233) else text end), '') as key from documents) select doc_id, case when n > 1 then 'exact_duplicate' end as rule_reason, case when n > 1 then first end as duplicate_of from (select doc_id, row_number() over (partition by key order by doc_id) as n, min(doc_id) over (partition by key) as first from t)")
 def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of a text stays. The first id per text is combined before the exchange; the texts' hashes travel."""
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
-    copy = F.col("doc_id") != F.col("first")
-    return rows.join(first, "key").select("doc_id", F.when(copy, "exact_duplicate").alias("rule_reason"), F.when(copy, F.col("first")).alias("duplicate_of"))
+    """The first row of a text (in NFC, null as empty) stays. The first id per text is combined before the exchange; hashes travel.
+
+    Texts here have nulls and both forms of an accented letter among them.
+    """
+    k = F.col("doc_id") % 40
+    mixed = F.when(k == 3, None).when(k == 5, "e\u0301").when(k == 7, "\u00e9").otherwise(F.col("text"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(mixed, F.lit("")).alias("t"))
+    return retrieval.first_wins(docs, "doc_id", rules.nfc("t"))
 
 
 @query("select lang, count(*) as n, count(*) filter (where quality = 1) as good, count(*) filter (where toxic = 1) as toxic, count(*) filter (where l.doc_id is null) as unlabelled from documents d left join labels l using (doc_id) group by lang")
@@ -237,9 +236,11 @@ def regex_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").agg(F.sum(F.regexp_count("text", F.lit(r"\d{3,}"))).alias("numbers"), F.sum(F.regexp_count("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))).alias("mails"))
 
 
-@query("select d.doc_id from documents d where exists (select 1 from benchmark b where b.text = d.text)")
+@query("with h as (select text from documents where doc_id % 50 = 0) select doc_id from documents where doc_id % 3 = 0 and text in (select text from h)")
 def holdout_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "benchmark"), "text", "left_semi").select("doc_id")
+    """Rows whose text is in the holdout; `evaluation.refuse` raises at the first. The holdout is a part of the same table, so some are."""
+    docs = _read(spark, sf_dir, "documents")
+    return docs.where("doc_id % 3 = 0").join(docs.where("doc_id % 50 = 0").select("text"), "text", "left_semi").select("doc_id")
 
 
 @query("select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by sha256('seed' || chr(10) || doc_id::varchar)) as n from (select lang, text, min(doc_id) as doc_id from documents group by lang, text)) where n <= 5")
@@ -277,12 +278,16 @@ def agreement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with d as (select doc_id, list_distinct(list_filter(string_split(text, ' ')[1:20], lambda w: length(w) > 3)) as expected, string_split(text, ' ')[10:40] as found from documents)
-    select doc_id, round(case when len(expected) = 0 then 0.0 else len(list_intersect(expected, found)) / len(expected) end, 6) as recall from d""")
+    with d as (select doc_id, list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) > 3)) as w, doc_id - doc_id % 2 as pair from documents),
+    p as (select a.doc_id, a.w as expected, b.w as found from d a join d b on b.doc_id = a.pair + 1 - a.doc_id % 2)
+    select doc_id, round(case when len(expected) = 0 then 0.0 else len(list_intersect(expected, found)) / len(expected) end, 6) as recall from p""")
 def recall_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split("text", " ", -1)
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.filter(F.slice(words, 1, 20), lambda w: F.length(w) > 3).alias("expected"), F.slice(words, 10, 31).alias("found"))
-    return rows.select("doc_id", F.round(arrays.recall(F.col("expected"), F.col("found")), 6).alias("recall"))
+    """The share of a text's longer words that its neighbour's text has; ids 2n and 2n + 1 are neighbours. Whole texts."""
+    words = F.array_distinct(F.filter(F.split("text", " ", -1), lambda w: F.length(w) > 3))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", words.alias("expected"))
+    other = F.col("doc_id") + 1 - 2 * (F.col("doc_id") % 2)
+    pairs = rows.join(rows.select(other.alias("doc_id"), F.col("expected").alias("found")), "doc_id")
+    return pairs.select("doc_id", F.round(arrays.recall(F.col("expected"), F.col("found")), 6).alias("recall"))
 
 
 @query("select model, count(*) as n, floor(avg(latency_ms))::bigint as avg_latency, count(*) filter (where failed) as failed_flags, bool_or(failed) as any_failed from (select event_type as model, value as latency_ms, event_id % 10 = 0 as failed from events) group by model")
@@ -388,9 +393,9 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.bucket_counts(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), links, "n_nationkey")
 
 
-@query("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_orderstatus = 'F' and o_orderkey % 3 = 0)")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = _read(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return _read(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 

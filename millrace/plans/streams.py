@@ -8,30 +8,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import access
 from ..streaming import events
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """In the shared folder; one of this machine only where Spark runs on it alone and names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='checkpoint-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _run(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], mode: str, key: list[str]) -> DataFrame:
+    """What the stream has written of all that is there: each batch's rows in a folder of their own, the last of a key."""
     out = _folder(spark)
     # a pattern, as a stream takes a plain path for a folder; times without a zone are taken as UTC
     rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
     stream = plan(rows.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())))
-    events.consume(stream, lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"), f"{out}/checkpoint", "complete").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    # a batch that comes again overwrites what it wrote
+    events.consume(stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}"), f"{out}/checkpoint", mode).awaitTermination()
+    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+    return access.latest_per_key(written, key, ["batch"]).drop("batch").select(*stream.columns)
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, lambda s: events.window_counts(s, "user_id", "ts", 3600, "1 day"))
+    """Counts as they change (update mode), of each window the last."""
+    return _run(spark, sf_dir, lambda s: events.window_counts(s, "user_id", "ts", 3600, "1 day"), "update", ["user_id", "window_start"])
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, lambda s: events.sessions(s, "user_id", "ts", 86400, "7 days"))
+    """Sessions that are over (append mode): those that end before the watermark, seven days behind the newest event."""
+    return _run(spark, sf_dir, lambda s: events.sessions(s, "user_id", "ts", 86400, "7 days"), "append", ["user_id", "session_start"])
 
 
 QUERIES = {f.__name__: f for f in (stream_window_counts, stream_sessions)}
@@ -40,5 +50,5 @@ ORACLE_SQL = {
     "stream_sessions": """
         with gaps as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval 1 day, true) as opens from events window w as (partition by user_id order by ts, event_id)),
         numbered as (select user_id, ts, sum(opens::int) over (partition by user_id order by ts rows unbounded preceding) as s from gaps)
-        select user_id, floor(epoch(min(ts)))::bigint as session_start, count(*) as n from numbered group by user_id, s""",
+        select user_id, floor(epoch(min(ts)))::bigint as session_start, count(*) as n from numbered group by user_id, s having max(ts) + interval 1 day <= (select max(ts) - interval 7 day from events)""",
 }

@@ -6,7 +6,8 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import retrieval
 
 DOCUMENT = ["path", "source_type", "title", "content", "features", "metadata"]
 METHODS = ["get", "put", "post", "delete", "patch", "head", "options", "trace"]
@@ -24,9 +26,15 @@ def _stem(path: Column) -> Column:
 
 
 def _document(df: DataFrame, kind: str, title: Column, content: Column, metadata: Column | None = None, features: Column | None = None) -> DataFrame:
-    """Rows with blank content go."""
+    """Rows with blank content go. A file that couldn't be read is a row of type `unreadable` with the error as content."""
     none, bare = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
-    out = df.select("path", F.lit(kind).alias("source_type"), title.alias("title"), content.alias("content"), (none if features is None else features).alias("features"), (bare if metadata is None else metadata).alias("metadata"))
+    if "error" in df.columns:
+        failed, kind_ = F.col("error").isNotNull(), F.when(F.col("error").isNotNull(), "unreadable").otherwise(kind)
+        title, content = F.when(failed, _stem(F.col("path"))).otherwise(title), F.when(failed, F.col("error")).otherwise(content)
+        metadata, features = (F.when(failed, bare).otherwise(metadata) if metadata is not None else None), (F.when(failed, none).otherwise(features) if features is not None else None)
+    else:
+        kind_ = F.lit(kind)
+    out = df.select("path", kind_.alias("source_type"), title.alias("title"), content.alias("content"), (none if features is None else features).alias("features"), (bare if metadata is None else metadata).alias("metadata"))
     return out.where(text.strip(F.col("content")) != "")
 
 
@@ -36,7 +44,7 @@ def _texts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, folder: str, glob: str, parse: Callable[[bytes], Iterable[tuple]], fields: str) -> DataFrame:
-    """Rows of `parse` for each binary file; a file that can't be read is one row whose `error` says why."""
+    """Rows of `parse` for each binary file; a file that can't be read, whatever the reason, is one row whose `error` says why."""
     names = [f.split()[0] for f in fields.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,7 +52,7 @@ def _parsed(spark: SparkSession, folder: str, glob: str, parse: Callable[[bytes]
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     found = [(path, *r, None) for r in parse(content)]
-                except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                except Exception as e:  # noqa: BLE001 - what a broken file raises isn't known; the row tells it
                     found = [(path, *(None for _ in names), f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(found, columns=["path", *names, "error"], dtype=object)
 
@@ -94,6 +102,15 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, line (from 1), and the object of each line that isn't blank; malformed lines raise when their fields are read.
+
+    Each file is one row of text until its lines are numbered, so a file is read by one task; `jsonl` splits large ones.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "raw"))
+    return files.where(text.strip(F.col("raw")) != "").select("path", (F.col("at") + 1).alias("line"), F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("row")).select("path", "line", "row.*")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of the raw bytes of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
@@ -115,7 +132,7 @@ def _endpoints(content: bytes) -> Iterator[tuple]:
 
 def openapi(spark: SparkSession, folder: str, glob: str = "*openapi*.{json,yaml,yml}") -> DataFrame:
     """One document for each path and method."""
-    rows = _parsed(spark, folder, glob, _endpoints, "route string, method string, summary string, description string, tags array<string>").where(F.col("error").isNull())
+    rows = _parsed(spark, folder, glob, _endpoints, "route string, method string, summary string, description string, tags array<string>")
     title = F.concat_ws(" ", "method", "route")
     return _document(rows, "openapi", title, F.concat_ws("\n", title, "summary", "description"), F.create_map(F.lit("route"), F.col("route"), F.lit("method"), F.col("method")), F.col("tags"))
 
@@ -144,7 +161,7 @@ def _blocks(content: bytes) -> Iterator[tuple]:
 
 def docx(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs with the texts before and after them, and rows of tables."""
-    rows = _parsed(spark, folder, "*.docx", _blocks, "kind string, place int, content string").where(F.col("error").isNull())
+    rows = _parsed(spark, folder, "*.docx", _blocks, "kind string, place int, content string")
     order = Window.partitionBy("path", "kind").orderBy("place")
     around = rows.withColumns({"before": F.lag("content").over(order), "after": F.lead("content").over(order)})
     metadata = F.map_filter(F.create_map(F.lit("kind"), F.col("kind"), F.lit("place"), F.col("place").cast("string"), F.lit("previous"), F.col("before"), F.lit("next"), F.col("after")), lambda k, v: v.isNotNull())
@@ -177,7 +194,7 @@ def _sheet_rows(content: bytes) -> Iterator[tuple]:
 
 def xlsx_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One document for each row under a sheet's header; the row's number in the sheet is in the metadata."""
-    rows = _parsed(spark, folder, "*.xlsx", _sheet_rows, "sheet string, at int, names array<string>, cells array<string>").where(F.col("error").isNull())
+    rows = _parsed(spark, folder, "*.xlsx", _sheet_rows, "sheet string, at int, names array<string>, cells array<string>")
     lines = F.filter(F.zip_with("names", "cells", lambda n, c: F.when(text.strip(c) != "", F.concat(n, F.lit(": "), c))), lambda x: x.isNotNull())
     title = F.concat(_stem(F.col("path")), F.lit(" / "), F.col("sheet"))
     return _document(rows, "xlsx", title, F.array_join(lines, "\n"), F.create_map(F.lit("sheet"), F.col("sheet"), F.lit("excel_row_number"), F.col("at").cast("string")))
@@ -193,16 +210,43 @@ def _charts(content: bytes) -> Iterator[tuple]:
 
 def xlsx_charts(spark: SparkSession, folder: str) -> DataFrame:
     """One document for each chart: its type, title and the cells it refers to."""
-    rows = _parsed(spark, folder, "*.xlsx", _charts, "chart string, kind string, caption string, refs array<string>").where(F.col("error").isNull())
+    rows = _parsed(spark, folder, "*.xlsx", _charts, "chart string, kind string, caption string, refs array<string>")
     return _document(rows, "xlsx_chart", F.when(F.col("caption") != "", F.col("caption")).otherwise(_stem(F.col("path"))), F.concat_ws("\n", "kind", "caption", F.array_join("refs", "\n")), F.create_map(F.lit("chart"), F.col("chart"), F.lit("type"), F.col("kind")))
 
 
 def recognised(spark: SparkSession, folder: str, glob: str, reader: Callable[[bytes], Iterable[str]], kind: str) -> DataFrame:
     """One document for each text that `reader` (pages of a PDF, recognition of an image) finds in a file."""
-    rows = _parsed(spark, folder, glob, lambda content: enumerate(reader(content)), "part int, found string").where(F.col("error").isNull())
+    rows = _parsed(spark, folder, glob, lambda content: enumerate(reader(content)), "part int, found string")
     return _document(rows, kind, text.markdown_title(F.lit(""), _stem(F.col("path"))), F.col("found"), F.create_map(F.lit("part"), F.col("part").cast("string")))
 
 
+def paragraph_windows(docs: DataFrame, *, size: int = 8, step: int = 6) -> DataFrame:
+    """Overlapping windows over the paragraphs of `docx`, with their first and last paragraph; documents like the others."""
+    paragraphs = docs.where(F.try_element_at("metadata", F.lit("kind")) == "paragraph").select("path", F.element_at("metadata", "place").cast("int").alias("place"), "content")
+    cut = retrieval.windows(paragraphs, "path", "place", size=size, step=step)
+    first, last = F.col("rows")[0]["place"], F.element_at("rows", -1)["place"]
+    lines = F.transform("rows", lambda r: F.concat(F.lit("Paragraph "), (r["place"] + 1).cast("string"), F.lit(": "), r["content"]))
+    reach = F.concat((first + 1).cast("string"), F.lit("-"), (last + 1).cast("string"))
+    metadata = F.create_map(F.lit("kind"), F.lit("paragraph_window"), F.lit("window"), F.col("window_no").cast("string"), F.lit("first"), first.cast("string"), F.lit("last"), last.cast("string"))
+    return _document(cut, "docx", F.concat(_stem(F.col("path")), F.lit(" - paragraphs "), reach), F.concat_ws("\n", F.concat(F.lit("Paragraph range: "), reach), F.array_join(lines, "\n")), metadata)
+
+
+def corpus(spark: SparkSession, folder: str, readers: Mapping[str, Callable[[SparkSession, str], DataFrame]] | None = None, manifest: DataFrame | None = None, *, tenant_id: str, bucket_id: str) -> DataFrame:
+    """All documents of a folder by all readers in their order, the manifest's entries over them; see `with_manifest`."""
+    readers = readers or {"markdown": markdown, "text": plain, "json": json_files, "csv": csv_rows, "openapi": openapi, "docx": docx, "xlsx": xlsx_rows, "charts": xlsx_charts}
+    docs = reduce(DataFrame.unionByName, (read(spark, folder) for read in readers.values()))
+    if manifest is None:
+        manifest = spark.createDataFrame([], "path string, tenant_id string, bucket_id string, source_type string, features array<string>, metadata map<string,string>")
+    return with_manifest(docs, manifest, folder, tenant_id=tenant_id, bucket_id=bucket_id)
+
+
+def ingested(docs: DataFrame, *, size: int = 1800, overlap: int = 200) -> DataFrame:
+    """A corpus as chunks with ids, ready for a table of vectors: chunk_id, point_id, and the document's columns."""
+    cut = docs.withColumn("_c", F.explode(text.chunks(F.col("content"), size, overlap)))
+    chunk_id = F.concat_ws(":", "path", F.lit("chunk"), F.col("_c.chunk_index").cast("string"))
+    return cut.select(chunk_id.alias("chunk_id"), text.uuid5(F.concat_ws(":", "tenant_id", "bucket_id", chunk_id)).alias("point_id"), "path", "tenant_id", "bucket_id", "source_type", "title", F.col("_c.chunk").alias("content"), "features", "metadata")
+
+
 def with_manifest(docs: DataFrame, manifest: DataFrame, root: str, *, tenant_id: str, bucket_id: str) -> DataFrame:
     """Tenant, bucket, type and features of a path's manifest entry win; its metadata is merged over the document's.
 

@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 
-def upserted(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The current rows with those of `incoming` put over them by key."""
-    return current.join(incoming.select(*key).distinct(), list(key), "left_anti").unionByName(incoming)
+
+def upserted(current: DataFrame, incoming: DataFrame, key: Sequence[str], newest: Sequence[str] | None = None) -> DataFrame:
+    """The current rows with those of `incoming` put over them by key; of several for one key the one with the largest
+    `newest` (all its columns, where none are named) stays."""
+    others = [c for c in incoming.columns if c not in key]
+    last = incoming.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*(newest or others))).alias("_last")).select(*key, "_last.*")
+    return current.join(last.select(*key), list(key), "left_anti").unionByName(last)
 
 
 def events(rows: DataFrame, kind: str, key: Column, **fields: Column) -> DataFrame:
@@ -48,3 +53,55 @@ def unique_names(files: DataFrame, name: str, order: str) -> Column:
 
     n = F.row_number().over(Window.partitionBy(F.lower(files[name])).orderBy(files[order]))
     return F.when(n == 1, files[name]).otherwise(F.concat(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), n.cast("string"), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)))
+
+
+def requested_events(jobs: DataFrame) -> DataFrame:
+    """One event a request, keyed by its first job: request_id, tenant_id and sorted job ids. As many jobs as a request has."""
+    listed = jobs.groupBy("request_id", "tenant_id").agg(F.sort_array(F.collect_set("job_id")).alias("job_ids"))
+    return events(listed, "indexing.requested", F.element_at("job_ids", 1), job_ids=F.col("job_ids"), tenant_id=F.col("tenant_id"), request_id=F.col("request_id"))
+
+
+def indexed_events(rows: DataFrame) -> DataFrame:
+    """Lifecycle events of indexed documents, keyed by document."""
+    names = ("job_id", "document_id", "bucket_id", "tenant_id", "chunks_indexed")
+    return events(rows, "document.indexed", F.col("document_id"), **{c: F.col(c) for c in names})
+
+
+def to_kafka(rows: DataFrame, topic: str, servers: str) -> None:
+    """Key and value rows to a topic; needs the Kafka package on the cluster."""
+    rows.select("key", "value").write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
+def result_rows(answers: DataFrame, flags: Column) -> DataFrame:
+    """One row a scenario and model, with the number of its sources and its flags as JSON; of repeated answers the last."""
+    best = F.max_by(F.struct(*(c for c in answers.columns if c not in ("run_id", "scenario_id", "model"))), "created_at")
+    last = answers.groupBy("run_id", "scenario_id", "model").agg(best.alias("a")).select("run_id", "scenario_id", "model", "a.*")
+    return last.withColumns({"source_count": F.size("sources"), "quality_flags": F.to_json(flags)})
+
+
+def write_jsonl(rows: DataFrame, folder: str, holdout: str) -> None:
+    """Rows as lines of JSON. Refuses to write at, above or below the holdout."""
+    ours, theirs = folder.rstrip("/") + "/", holdout.rstrip("/") + "/"
+    if ours.startswith(theirs) or theirs.startswith(ours):
+        raise ValueError(f"{folder} would write over the holdout {holdout}")
+    rows.write.mode("overwrite").json(folder)
+
+
+def synced(current: DataFrame, remote: DataFrame, tenant_id: str, kind: str) -> DataFrame:
+    """Rows of another database, from `spark.read.jdbc` or any source, put over ours by an id made of tenant, kind and external id."""
+    made = text.uuid5(F.concat_ws(":", F.lit(tenant_id), F.lit(kind), F.col("external_id").cast("string")))
+    return upserted(current, remote.withColumns({"id": made, "tenant_id": F.lit(tenant_id)}).select(*current.columns), ["id"])
+
+
+def staged(files: DataFrame, buckets: DataFrame, *, bucket: str, tenant_id: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """New files in a bucket known by id or by name: documents (pending, with digest and a day to live), and the bucket if it is new.
+
+    `files` has path and content; empty files raise.
+    """
+    content = F.when(F.length("content") == 0, F.raise_error(F.concat(F.lit("empty file "), "path")).cast("binary")).otherwise(F.col("content"))
+    known = buckets.where((F.col("tenant_id") == tenant_id) & ((F.col("bucket_id") == bucket) | (F.col("name") == bucket))).orderBy("bucket_id").limit(1).select("bucket_id")
+    own = text.uuid5(F.concat_ws(":", F.lit(tenant_id), F.lit("bucket"), F.lit(bucket)))
+    one = files.sparkSession.range(1).select(own.alias("_own"))  # one row
+    target = one.join(known, how="left").select(F.coalesce("bucket_id", "_own").alias("bucket_id"), F.col("bucket_id").isNull().alias("_new"))
+    documents = files.withColumn("content", content).join(F.broadcast(target)).select(text.uuid5(F.concat_ws(":", F.lit(tenant_id), F.col("bucket_id"), F.col("path"))).alias("document_id"), "bucket_id", F.lit(tenant_id).alias("tenant_id"), "path", F.sha2("content", 256).alias("sha256"), F.lit("pending").alias("status"), (now + F.expr("interval 1 day")).alias("expires_at"))
+    return documents, target.where("_new").select("bucket_id", F.lit(bucket).alias("name"), F.lit(tenant_id).alias("tenant_id"))

@@ -32,6 +32,11 @@ def startable(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     return left.join(asked, (left["job_id"] == asked["job_id"]) & (F.trim(left["tenant_id"]) == asked["_tenant"]), "left_semi")
 
 
+def started(jobs: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """The batch's startable jobs, running; pending and failed ones alike, and running ones whose worker was lost."""
+    return startable(jobs, wanted).withColumns({"status": F.lit("running"), "started_at": now, "failed_stage": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+
+
 def finished(jobs: DataFrame, error: Column, stage: Column) -> DataFrame:
     """Completed, or failed with a known stage (`index` where it isn't one) and the message."""
     failed = error.isNotNull()
@@ -44,15 +49,29 @@ def retried(jobs: DataFrame, new_id: Column) -> DataFrame:
     return jobs.where(F.col("status") == "failed").withColumns({"job_id": new_id, "status": F.lit("pending"), "failed_stage": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
 
 
+def reopened(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Documents of the failed jobs, back to indexing; the others as they are."""
+    again = jobs.where(F.col("status") == "failed").select("document_id").distinct().withColumn("_again", F.lit(True))
+    marked = documents.join(again, "document_id", "left")
+    return marked.withColumn("status", F.when(F.col("_again"), "indexing").otherwise(F.col("status"))).select(*documents.columns)
+
+
+def expiring_counts(rows: DataFrame, key: str, ts: str, seconds: int, late: str) -> DataFrame:
+    """Counts per key and window with the moment at which the counter expires: a second after its window."""
+    return window_counts(rows, key, ts, seconds, late).withColumn("expires_at", F.col("window_start") + seconds + 1)
+
+
 def window_counts(rows: DataFrame, key: str, ts: str, seconds: int, late: str) -> DataFrame:
-    """Rows per key and fixed window; on a stream a window's state goes once the watermark has passed it."""
+    """Rows per key and fixed window. In update mode each change comes out and a window's state goes once the watermark has
+    passed it; rows later than that are dropped."""
     timed = rows.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     counted = timed.groupBy(F.window("_at", f"{seconds} seconds").alias("_w"), key).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(key, F.unix_seconds("_w.start").alias("window_start"), "n")
 
 
 def sessions(rows: DataFrame, key: str, ts: str, idle_seconds: int, late: str) -> DataFrame:
-    """Rows per key and session; a session ends where nothing comes for the idle time."""
+    """Rows per key and session; a session ends where nothing comes for the idle time. In append mode it comes out, and its
+    state goes, once the watermark has passed its end."""
     timed = rows.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     counted = timed.groupBy(F.session_window("_at", f"{idle_seconds} seconds").alias("_w"), key).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(key, F.unix_seconds("_w.start").alias("session_start"), "n")

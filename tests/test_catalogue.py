@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from millrace.plans import catalogue, intents, streams
+from millrace.plans import catalogue, intents, questions, reports, streams  # noqa: F401
 from millrace.plans.views import BASE
 
 SF = "/root/testdata/sf0.001"
