@@ -212,6 +212,34 @@ def failed_flags(flags: Column) -> Column:
     return F.map_keys(F.map_filter(flags, lambda k, v: v == "false"))
 
 
+def quality_flags(answer: Column, source_types: Column, *, groups: Sequence[Sequence[str]] = (), forbidden: Sequence[str] = (), numbers: Sequence[str] = (), required_types: Sequence[str] = (), features: Mapping[str, Sequence[Column]] | None = None, provider: tuple[Column, str] | None = None) -> Column:
+    """A map of named checks on an answer and the types of its sources; checks that a scenario doesn't ask for are left out."""
+    checks: dict[str, Column] = {"response_is_not_empty": text.strip(F.coalesce(answer, F.lit(""))) != ""}
+    if groups:
+        checks["response_has_required_markers"] = text.groups_present(answer, groups)
+    if forbidden:
+        checks["response_has_no_forbidden_markers"] = ~contains_any(answer, forbidden)
+    if numbers:
+        checks["response_has_required_numbers"] = has_numbers(answer, numbers)
+    if required_types:
+        checks["sources_have_required_types"] = has_all(source_types, required_types)
+    for name, places in (features or {}).items():
+        checks[f"context_has_{name}"] = F.coalesce(F.exists(F.array(*(F.coalesce(F.array_contains(p, name), F.lit(False)) for p in places)), lambda x: x), F.lit(False))
+    if provider:
+        checks["provider_is_expected"] = F.coalesce(provider[0] == provider[1], F.lit(False))
+    return F.create_map(*(x for name, c in checks.items() for x in (F.lit(name), F.coalesce(c, F.lit(False)))))
+
+
+def has_all(values: Column, required: Sequence[str]) -> Column:
+    """The required values are a subset; of nothing required anything is."""
+    return F.size(F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), F.coalesce(values, F.array().cast("array<string>")))) == 0
+
+
+def sql_key(statement: Column) -> Column:
+    """A statement for comparison as text: out of its fence, one space between words, lower case, no last semicolon."""
+    return F.lower(F.regexp_replace(text.sql_in_fence(statement), text.SPACE, " "))
+
+
 # --- names, paths and dates
 
 

@@ -180,3 +180,15 @@ def windows(rows: DataFrame, key: str, place: str, *, size: int = 8, step: int =
     first = F.greatest(F.lit(0), F.ceil((F.col("_at") - size + 1) / step))
     dealt = numbered.withColumn("window_no", F.explode(F.sequence(first, F.floor(F.col("_at") / step))))
     return dealt.groupBy(key, "window_no").agg(F.array_sort(F.collect_list(F.struct("_at", *rows.columns))).alias("rows"))
+
+
+def best_upload(documents: DataFrame, *, owner: str, digest: str) -> DataFrame:
+    """At most one document of the owner with the digest in its JSON metadata: indexed ones first, then the newest."""
+    same = documents.where((F.col("owner_id") == owner) & (F.get_json_object("metadata", "$.content_sha256") == digest))
+    return same.orderBy(F.desc(F.coalesce(F.col("status") == "indexed", F.lit(False))), F.desc("created_at"), "document_id").limit(1)
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Each row as JSON, with dates and times in ISO form and nulls kept."""
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"}
+    return rows.select(F.to_json(F.struct(*rows.columns), options).alias("row"))

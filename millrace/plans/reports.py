@@ -395,3 +395,38 @@ def list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.select("doc_id", "text", "lang", "source", found.alias("f"), confined.alias("c"))
     merged = arrays.ordered_merge(F.array("lang"), F.array("source", "lang"))
     return rows.select("doc_id", F.array_join("f.kept", ",").alias("kept"), F.array_join("f.discarded", ",").alias("discarded"), (F.size(merged) >= 1).alias("merged"), F.array_join(text.clean_list(F.array(F.concat(F.lit("  "), "lang"), "source", "lang", F.lit(" "))), ",").alias("clean"), F.element_at("c", 1).alias("confined"), text.groups_present(F.col("text"), [["the ", "que "]]).alias("groups"))
+
+
+@query(
+    """select doc_id, length(trim(text, chr(10) || chr(9) || ' ')) > 0 as filled, contains(lower(text), 'the ') or contains(lower(text), 'que ') as marked, not contains(lower(text), 'zzz') as clean, lang = 'en' as typed, doc_id % 2 = 0 as known, doc_id % 3 = 0 as provided from documents"""
+)
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on an answer, as the columns of their map."""
+    docs, k = _read(spark, sf_dir, "documents"), F.col("doc_id")
+    known = [F.when(k % 2 == 0, F.array(F.lit("tasks"))), F.array(F.lit("search"))]
+    flags = rules.quality_flags(F.col("text"), F.array("lang", F.lit("x")), groups=[["the ", "que "]], forbidden=["ZZZ".lower()], required_types=["en"], features={"tasks": known}, provider=(F.when(k % 3 == 0, "local"), "local"))
+    names = {"filled": "response_is_not_empty", "marked": "response_has_required_markers", "clean": "response_has_no_forbidden_markers", "typed": "sources_have_required_types", "known": "context_has_tasks", "provided": "provider_is_expected"}
+    return docs.select("doc_id", flags.alias("f")).select("doc_id", *(F.col("f")[v].alias(k) for k, v in names.items()))
+
+
+@query("select o_orderkey from orders where o_custkey % 10 = 3 and o_orderkey % 4 = 1 order by o_orderstatus = 'O' desc, o_orderdate desc, o_orderkey limit 1")
+def best_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_of = lambda c: c.cast("string")
+    docs = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), text_of(F.col("o_custkey") % 10).alias("owner_id"), F.concat(F.lit('{"content_sha256": "h'), text_of(F.col("o_orderkey") % 4), F.lit('"}')).alias("metadata"), F.when(F.col("o_orderstatus") == "O", "indexed").otherwise("failed").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return retrieval.best_upload(docs, owner="3", digest="h1").select(F.col("document_id").alias("o_orderkey"))
+
+
+@query("""select '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","k":' || case when event_id % 2 = 0 then 'null' else '"' || event_type || '"' end || '}' as row from events""")
+def json_safe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.when(F.col("event_id") % 2 == 1, F.col("event_type")).alias("k"))
+    return retrieval.json_rows(rows)
+
+
+@query("select event_type as model, count(*) as n, count(*) filter (where event_id % 5 <> 0) as exact, count(*) filter (where event_id % 3 <> 0) as tables from events group by event_type")
+def statement_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a model's statement equals the wanted one as text, and names all wanted tables."""
+    k = F.col("event_id")
+    said = F.when(k % 5 == 0, "select 2").otherwise("```sql\nSELECT  1 ;\n```")
+    tables = F.when(k % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a")))
+    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (rules.sql_key(said) == "select 1").alias("exact"), rules.has_all(tables, ["a", "b"]).alias("tables"))
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("exact"), F.count_if("tables").alias("tables"))

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import rules, text
+from millrace.functions import resumes, rules, text
 from millrace.operators import access, evaluation, memory, metrics, retrieval, scope
 from millrace.plans import catalogue
 from millrace.sources import files, sinks
@@ -167,3 +167,35 @@ def test_broken_files_are_rows(spark, tmp_path):
     assert {(r["source_type"], r["tenant_id"]) for r in rows} == {("markdown", "t"), ("text", "t"), ("unreadable", "t")}
     docs = files.corpus(spark, str(tmp_path), {"markdown": files.markdown}, tenant_id="t", bucket_id="b")
     assert files.ingested(docs).first()["chunk_id"].endswith(":chunk:0")
+
+
+RESUME = ["Иван\u00a0Петров\nинженер", "Май 2020 — Июнь 2022\n2 года 1 месяц\nООО Ромашка\nДелал разное\nОсновные технологии:\nSpark, Java", "продолжение\nЯнварь 2018 — Апрель 2020\nЛютик\nНавыки\nPython\nОбо мне добрый"]
+
+
+def test_resume_sections(spark):
+    d = spark.createDataFrame([(1, RESUME), (2, ["Май 2020 — Июнь 2022", "x"]), (3, [])], "id int, pages array<string>")
+    got = {r["id"]: r["s"] for r in d.select("id", resumes.sections(F.col("pages")).alias("s")).collect()}
+    assert got[2] is None and got[3] is None
+    assert [(s["kind"], s["organization"], s["page"]) for s in got[1]] == [("profile", "", 1), ("employment", "ООО Ромашка", 2), ("employment", "Лютик", 3), ("skills", "", 3), ("about", "", 3)]
+    assert got[1][0]["content"] == "Иван Петров\nинженер" and got[1][1]["content"].endswith("продолжение")
+
+
+def test_resume_parts(spark):
+    job = "Май 2020\nРомашка\nТехнологии\nSpark\n" + "слово " * 1000
+    rows = spark.createDataFrame([(job, "employment", " Ромашка "), ("short", "skills", ""), ("", "about", "")], "content string, kind string, employer string")
+    got = [r["p"] for r in rows.select(resumes.parts(F.col("content"), F.col("kind"), F.col("employer")).alias("p")).collect()]
+    assert got[1] == ["short"] and got[2] == []
+    assert len(got[0]) == 3 and all(len(p) <= 2200 and p.startswith("Организация: Ромашка\nТехнологии\nSpark\n") for p in got[0])
+    assert one(spark, F.length(resumes.excerpt(F.repeat(F.lit("x"), 9000), F.col("k"), 50)), k="skills") == 8000
+    assert one(spark, F.length(resumes.excerpt(F.repeat(F.lit("x"), 9000), F.col("k"), 50)), k="page") == 50
+
+
+@pytest.mark.parametrize(("message", "want"), [("Уточни, что на фото", True), ("Уточни срок", False), ("Какой фон?", True), ("В каком формате?", False), ("Какая форма у листа?", True)])
+def test_picture_intent(spark, message, want):
+    assert one(spark, resumes.asks_picture_again(F.col("m")), m=message) is want
+
+
+def test_prompt(spark):
+    sources = F.array(F.struct(F.lit("T").alias("title"), F.lit("csv").alias("source_type"), F.lit("a.csv").alias("file_name"), F.array(F.lit("x")).alias("features"), F.lit(" body ").alias("content")))
+    got = one(spark, resumes.prompt(F.col("q"), sources, ["be short"], F.lit(" "), F.lit("copy numbers")), q="why?")
+    assert got == "Rules:\n- be short\n\nContext:\n\n[Source 1: csv | title=T | file=a.csv | feature=x]\nbody\n\nReminder:\ncopy numbers\n\nQuestion:\nwhy?"
