@@ -182,7 +182,7 @@ def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 6).alias("cost"), F.bool_or(F.col("cost").isNull()).alias("unknown"))
 
 
-@query()
+@query("with h as (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || doc_id)) as x from documents) select doc_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(x, 17, 1)) - 1) % 4 + 1, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) as point_id from h")
 def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", text.uuid5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("point_id"))
 
@@ -345,7 +345,7 @@ def summary_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("due", (F.col("n") >= 8) | (F.col("tokens") >= 600))
 
 
-@query()
+@query("with l as (select conv_id, list(case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end order by turn) as costs from conversations group by conv_id), r as (select conv_id, list_reduce(costs, lambda s, x: case when s // 100000 + x <= 350 then s + x * 100000 + 1 else s end, 0) as s from l) select conv_id, (s % 100000)::bigint as n_kept, (s // 100000)::bigint as used from r")
 def prompt_memory_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("turn", "role", text.tokens_floor(F.col("text")).alias("cost"))))
     rows = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("parts"))

@@ -288,15 +288,12 @@ def exact_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_number").alias("doc_id"), "list_no")
 
 
-@query(
-    """with m as (select *, len(list_filter(['tion', 'document2'], lambda x: contains(lower(text), x))) as n from documents where doc_id % 3 = 0 and doc_id % 4 <> 1)
-    select doc_id from m where contains(lower(text), 'tion2') or n > 0 and contains(lower(text), 'tion-2') order by n desc, doc_id % 50, doc_id limit 7"""
-)
+@query("select doc_id from (select *, contains(lower(text), 'tion')::int + contains(lower(text), '12,5')::int + contains(lower(text), '12.5')::int as n from documents where doc_id % 3 = 0 and doc_id % 4 <> 1) where n > 0 order by least(n, contains(lower(text), 'tion')::int + 1) desc, doc_id % 50, doc_id limit 7")
 def exact_sheet_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures anchored to cells; a question whose one term stands in no text finds none."""
+    """Pictures anchored to cells with most of the question's terms, by anchor row."""
     k = F.col("doc_id")
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.when(k % 3 == 0, "image_digest").otherwise("csv").alias("source_type"), F.lit("xlsx").alias("parent_source_type"), F.when(k % 4 == 1, "page").otherwise("xlsx_cell").alias("anchor_type"), (k % 50).alias("anchor_row"), k.alias("image_index"))
-    return retrieval.exact_images(rows, "tion2", 7).select("doc_id")
+    return retrieval.exact_images(rows, "tion or 12,5", 7).select("doc_id")
 
 
 _PARAGRAPHS = "select conv_id * 100 + turn as id, 'f' || conv_id as source_path, case when turn % 4 > 0 then turn end as paragraph_index, turn as first, turn + case when turn % 4 = 0 then 3 else 0 end as last, text, case when turn % 4 > 0 then 0 else 1 end as w from conversations"
