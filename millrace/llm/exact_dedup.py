@@ -53,7 +53,7 @@ def merge_runs(rows: DataFrame, runs: int, fan_in: int, keep: str) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", fan_in: int = 8) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256. `keep` says which id of a group stays."""
     rows = digest_rows(docs, id_col, text_col)
-    groups = merge_runs(rows, rows.rdd.getNumPartitions(), fan_in, keep)
+    groups = merge_runs(rows, max(rows.rdd.getNumPartitions(), 1), fan_in, keep)
     # a hot digest makes a skewed side here, which adaptive execution splits: nothing above needs a key's rows together
     return rows.join(groups, KEY).select(
         F.col("id").alias(id_col),
