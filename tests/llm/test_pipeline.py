@@ -14,20 +14,6 @@ from millrace.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).cache()
-        assert docs.columns == columns, name
-        sizes.append(docs.count())
-    assert sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[3] < sizes[2] and sizes[4] <= sizes[3]
-    found = queries.decontam.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
-    assert found.where("contaminated").isEmpty()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.select("doc_id").distinct().count() == docs.count()
-
-
 def brute_stages(spark):
     """What each stage leaves of the documents, as {doc_id: text}: one document at a time, all pairs, and SQL for the lines."""
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -56,10 +42,14 @@ def brute_stages(spark):
 
 def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, sizes = docs.columns, [docs.count()]
     for (name, stage), want in zip(corpus_pipeline.STAGES, brute_stages(spark), strict=False):
         docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+        sizes.append(len(want))
         got = {r["doc_id"]: r["text"] for r in docs.collect()}
         assert got == want, name
+    assert sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[3] < sizes[2] and sizes[4] <= sizes[3]
     rows = corpus_pipeline.run(spark, SF).collect()
     check_packing([r.asDict() for r in rows], 2048)
     assert {r["doc_id"] for r in rows} == set(want)
