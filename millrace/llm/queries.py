@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_extract, line_dedup, packing, quality, sharding, simhash, substring, url_filter
+from . import decontam, exact_dedup, html_extract, line_dedup, negatives, packing, quality, quality_rules, sharding, simhash, substring, url_filter, whitening
 from .util import table
 
 
@@ -60,6 +60,25 @@ def op10_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    made = whitening.whiten(rows, model).select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.get(F.array(*map(F.lit, model.explained.tolist())).cast("array<double>"), F.col("place"))
+    return made.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, forest).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "quality_score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_crf, op2_decontamination, op3_best_fit_packing, op4_html_main_text, op5_url_filter, op6_repeated_passages, op7_minimax_shards, op8_line_templates, op9_exact_dedup, op10_simhash_vp_trees, pipeline)
+    for f in (op1_quality_crf, op2_decontamination, op3_best_fit_packing, op4_html_main_text, op5_url_filter, op6_repeated_passages, op7_minimax_shards, op8_line_templates, op9_exact_dedup, op10_simhash_vp_trees, op11_whitening, op12_quality_rules, op13_hard_negatives, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,4 +145,14 @@ ORACLE_SQL: dict[str, str] = {
         dropped as (select doc_id, list(distinct pos) as gone from templated join recurring using (leaf, template) group by doc_id),
         cleaned as (select d.doc_id, coalesce(len(x.gone), 0) as n, case when x.gone is null then d.text else array_to_string(list_filter(d.l, lambda e, i: not list_contains(x.gone, i - 1)), chr(10)) end as t from doc d left join dropped x using (doc_id))
         select doc_id, n::bigint as n_dropped, length(t)::bigint as n_chars_left, sha256(t) as text_sha256 from cleaned""",
+    "op13_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+            from embeddings where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        score as (select a.vec_id as anchor_id, r.vec_id as other_id, a.label = r.label as same, list_inner_product(a.q, r.q)::bigint as s from v a, v r where a.vec_id % 100 = 0 and r.vec_id <> a.vec_id),
+        positive as (select anchor_id, other_id as positive_id, s as positive_score from score where same qualify row_number() over (partition by anchor_id order by s desc, other_id) <= 5),
+        negative as (
+            select p.*, row_number() over (partition by p.anchor_id, positive_id order by s desc, other_id) as rank, other_id as negative_id, s as negative_score
+            from positive p join score n on p.anchor_id = n.anchor_id where not same and 30 * positive_score <= 100 * s and 100 * s <= 90 * positive_score)
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from negative where rank <= 10""",
 }
