@@ -36,7 +36,7 @@ def edge(spark):
 
 def by_duckdb(name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con.sql(queries.ORACLE_SQL[name])
 
