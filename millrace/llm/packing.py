@@ -22,6 +22,7 @@ library, a text's literal <|endoftext|> being that token.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -52,6 +53,10 @@ def vocabulary() -> str:
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space that tiktoken's matcher, which backs up over them, may not have the stack for.
+LONG_RUN = 50_000
+RUN = re.compile(rf"\s{{{LONG_RUN}}}")
+
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, equal to those of the tokenizers library for the same file.
@@ -59,7 +64,8 @@ class Encoder:
     The byte-level vocabulary never joins a character to a single space after it, so a text is encoded by the parts that
     begin at such spaces, each looked up in a bounded cache. Texts with other white space around a part are encoded whole.
     The vocabulary file is the tokenizers library's; its merges are run by tiktoken, which takes a sixth of the time.
-    Texts that hold an added token literally are encoded by the library itself.
+    Texts that hold an added token literally, or a run of over LONG_RUN white-space characters, are encoded by the library
+    itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,7 +95,7 @@ class Encoder:
         return [np.array(encode(t), "<u4").tobytes() for t in texts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        marked = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        marked = [i for i, t in enumerate(texts) if any(x in t for x in self.special) or len(t) >= LONG_RUN and RUN.search(t)]
         if marked:
             rest = iter(self([t for i, t in enumerate(texts) if i not in set(marked)]))
             whole = {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() for i in marked}

@@ -198,6 +198,13 @@ def test_packing_round_trip(spark, docs):
     assert not got
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "\t" * 5_000_000, "\u00a0" * 1_000_000 + "x", "a" + " " * 5_000_000 + "b", " \n" * 300_000, "a" * 2_000_000, "." * 2_000_000], ids=lambda t: f"{t[:1]!r}{len(t)}")
+def test_long_runs_have_the_librarys_ids(text):
+    encode = packing.encoder(packing.vocabulary())
+    want = np.array(encode.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encode([text, "and a b"]) == [want, encode(["and a b"])[0]]
+
+
 def best_fit_one_by_one(lengths, tokens):
     """Sequences of best fit, longest first, one piece at a time."""
     gaps, opened = Counter(), 0
