@@ -4,7 +4,8 @@ A line's tokens are parsed down a tree of fixed depth: first by how many they ar
 tokens with a digit count as a variable field from the start. Within a leaf, a later token stays in the template where
 at least `min_docs` documents have it in that place; any other is a variable field and generalises. The template recurs
 if its fixed tokens are at least the share `similar` of all and it stands in at least `min_docs` documents, identical
-texts counting as one. Lines of recurring templates are dropped.
+texts counting as one. Lines of recurring templates are dropped. Where `units` says which texts are versions of one document
+(text_hash, unit), these count as one too, so a family of near copies doesn't lose the lines that it shares.
 
 A document loses every recurring line, whatever share of it that is: the heavier it carries boilerplate, the more goes.
 
@@ -22,6 +23,8 @@ document that loses lines the others are joined by \\n again.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_to
     return rows.withColumn("size", size).where((F.col("size") >= min_tokens) & (F.col("spaced") != "")).withColumn("leaf", leaf).drop("size")
 
 
-def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.7, min_docs: int = 8, min_tokens: int = 1, broadcast_rows: int = 500_000) -> DataFrame:
+def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.7, min_docs: int = 8, min_tokens: int = 1, broadcast_rows: int = 500_000, units: DataFrame | None = None) -> DataFrame:
     """Per document with such lines: id, text_hash, drop (places of the lines to drop, from 0)."""
     lines = parsed_lines(docs, id_col, text_col, depth, min_tokens)
     leaves = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
@@ -64,11 +67,14 @@ def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hint = F.broadcast if leaves.count() <= broadcast_rows else (lambda df: df)
     near = lines.join(hint(leaves), "leaf").select("id", "text_hash", "at", "leaf", fields(F.col("spaced"), F.col("spaced"), min_tokens).alias("masked"))
     near = near.select("id", "text_hash", "at", "leaf", F.xxhash64("masked").alias("line"), F.split("masked", " ").alias("tokens"))
-    return _recurring(checkpointed(near), depth, similar, min_docs)
+    return _recurring(checkpointed(near), depth, similar, min_docs, units)
 
 
-def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int) -> DataFrame:
+def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int, units: DataFrame | None) -> DataFrame:
     by_text = near.groupBy("leaf", "line", "text_hash").agg(F.any_value("tokens").alias("tokens"))
+    if units is not None:  # a text that no unit is given for is its own
+        named = by_text.join(units.select("text_hash", "unit"), "text_hash", "left").withColumn("text_hash", F.coalesce("unit", "text_hash"))
+        by_text = named.groupBy("leaf", "line", "text_hash").agg(F.any_value("tokens").alias("tokens"))
     distinct = by_text.groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     placed = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= depth)
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("n").alias("docs"))
@@ -91,7 +97,7 @@ def _recurring(near: DataFrame, depth: int, similar: float, min_docs: int) -> Da
     return dropped.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", **limits: float) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", **limits: Any) -> DataFrame:
     """The documents, all columns, with recurring lines dropped from the text, and their places in `dropped_col`."""
     drop = recurring_lines(docs, id_col=id_col, text_col=text_col, **limits).select(F.col("id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash"), F.col("drop").alias("_drop"))
     joined = docs.join(drop, docs[id_col].eqNullSafe(drop["_drop_id"]) & (F.xxhash64(docs[text_col]) == drop["_drop_hash"]), "left")

@@ -13,8 +13,9 @@ other: a fingerprint is sent to 1 + levels shards at most, not to a number that
 level parts, the inner one visits the outer side, so residents cross in one direction only. The radius of a level is the
 one that parts a bounded sample most evenly. The number of levels follows the logarithm of the number of fingerprints, so shards keep their size as the corpus grows, up to one level a bit.
 
-A shard with more than `shard_rows` residents (thousands of near copies) is cut into chunks, and its residents visit the
-chunks after their own: no task holds a shard whole. A task compares its rows by 64-bit exclusive-or and bit counts, in
+A shard with more than `shard_rows` residents or visitors (thousands of near copies) is cut into chunks of about that size,
+and a task gets two of them: two chunks of residents, or one of residents and one of visitors. No task holds a shard
+whole, however crowded it is. A task compares its rows by 64-bit exclusive-or and bit counts, in
 blocks, and returns a spanning forest of the links it finds, never the pairs, which within a group grow with its square.
 The forests are joined to components by rounds of large-star and small-star over (fingerprint, fingerprint) rows.
 
@@ -160,19 +161,31 @@ def links(prints: DataFrame, *, max_bits: int = 4, leaf_rows: int = 2048, shard_
                 yield pd.DataFrame({"shard": leaf * 3 + tree, "fp": fps[at].view(np.int64), "visitor": visitor})
 
     placed = prints.mapInPandas(shards, "shard long, fp long, visitor boolean")
-    crowded = placed.where("not visitor").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
-    chunks = F.coalesce(F.ceil(F.col("n") / shard_rows).cast("int"), F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    spread = placed.join(crowded, "shard", "left").withColumn("chunks", chunks).withColumn("own", F.when(~F.col("visitor"), own).otherwise(-1))
-    first = F.when(F.col("visitor"), 0).otherwise(F.col("own"))
-    dealt = spread.select("shard", "fp", "own", F.explode(F.sequence(first, F.col("chunks") - 1)).alias("chunk"))
-
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        fps, resident = rows["fp"].to_numpy(np.int64).view(np.uint64), (rows["own"] == rows["chunk"]).to_numpy()
+        fps, resident = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["resident"].to_numpy(bool)
         u, v = forest(fps[resident], fps[~resident], max_bits)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return dealt.groupBy("shard", "chunk").applyInPandas(compare, "u long, v long").distinct()
+    return in_pairs(placed, shard_rows).groupBy("shard", "a", "b").applyInPandas(compare, "u long, v long").distinct()
+
+
+def in_pairs(placed: DataFrame, shard_rows: int) -> DataFrame:
+    """Deals shards (shard, fp, visitor) out in groups (shard, a, b) of at most two chunks; `resident` says whose links to all
+    others of the group are looked for."""
+    crowd = placed.groupBy("shard").agg(F.count_if(~F.col("visitor")).alias("n"), F.count_if("visitor").alias("m")).where((F.col("n") > 0) & (F.greatest("n", "m") > shard_rows))
+    cut = crowd.select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("own"), F.ceil(F.col("m") / shard_rows).cast("int").alias("others"))
+    chunk = F.pmod(F.xxhash64("fp"), F.when(F.col("visitor"), F.col("others")).otherwise(F.col("own"))).cast("int")
+    dealt = placed.join(cut, "shard", "left").withColumn("chunk", chunk)
+    own, after = F.sequence(F.lit(0), F.col("own") - 1), F.col("own") + F.col("others")
+    # residents meet the chunks of residents before and after theirs, and of visitors; the latter have numbers after these
+    with_residents = F.transform(own, lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
+    with_visitors = F.transform(F.when(F.col("others") > 0, F.sequence(F.col("own"), after - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.col("chunk").alias("a"), k.alias("b")))
+    to_residents = F.transform(own, lambda k: F.struct(k.alias("a"), (F.col("own") + F.col("chunk")).alias("b")))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    groups = F.when(F.col("own").isNull(), whole).when(F.col("visitor"), to_residents).otherwise(F.concat(with_residents, with_visitors))
+    rows = dealt.select("shard", "fp", "visitor", "chunk", F.explode(groups).alias("g"))
+    resident = F.when(F.col("chunk").isNull(), ~F.col("visitor")).otherwise(~F.col("visitor") & (F.col("chunk") == F.col("g.a")))
+    return rows.select("shard", "g.a", "g.b", "fp", resident.alias("resident"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -215,12 +228,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A row is known by its id and its text's hash, so an id on several texts, or none, takes no other group's row along;
     null ids come last, and of one id the smaller hash first.
     """
-    texts = docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_hash"), docs[text_col].alias("t"))
+    hashed = "_hash"
+    while hashed in docs.columns:
+        hashed = f"_{hashed}"
+    docs = docs.withColumn(hashed, F.xxhash64(docs[text_col]))
+    texts = docs.select(docs[id_col].alias("_id"), docs[hashed].alias("_hash"), docs[text_col].alias("t"))
     prints = checkpointed(with_fingerprint(texts, "t").select("_id", "_hash", "fp"))
     key = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
     groups = checkpointed(_with_first(prints, F.min(key), **limits).select("_id", "_hash", "first"))
     is_first = F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_hash") == F.col("first.hash"))
     gone = groups.where(~is_first).select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_hash"]), "left_anti")
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (docs[hashed] == gone["_gone_hash"]), "left_anti")
     repeated = groups.where(is_first).groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, hashed])).drop(hashed)
+
+
+def text_groups(docs: DataFrame, text_col: str = "text", **limits: int) -> DataFrame:
+    """text_hash (xxhash64 of the text) and unit, one number for all texts of a near-duplicate group: one row a text."""
+    texts = docs.select(F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("t"))
+    prints = checkpointed(with_fingerprint(texts, "t").select("text_hash", "fp").distinct())
+    return _with_first(prints, F.min("text_hash"), **limits).select("text_hash", F.col("first").alias("unit"))
