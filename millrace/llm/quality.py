@@ -14,12 +14,14 @@ of their id. Scoring reads every whole text, in one pass without a shuffle.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; blank lines are lines; repeated
 rows get equal scores; duplicate or null labels count once or not at all; an empty table gives an empty result; without
-labels of both kinds nothing can be fitted and a ValueError says so; other columns are kept.
+labels of both kinds nothing can be learned and every text scores 0.5; other columns are kept. Of a text of many lines only a
+block of them is held as features at a time, besides two numbers a line.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import log1p
 from operator import eq
@@ -42,7 +44,22 @@ SPLIT = re.compile(r"\n")
 
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Own features (lines x FEATURES) and the lines' lengths in characters, 1 at least."""
-    lines = SPLIT.split(text or "")
+    return features_of(SPLIT.split(text or ""))
+
+
+def line_blocks(text: str, size: int) -> Iterator[list[str]]:
+    """The lines, at most `size` at a time; the text isn't cut as a whole."""
+    block, at = [], 0
+    while (end := text.find("\n", at)) >= 0:
+        block.append(text[at:end])
+        at = end + 1
+        if len(block) == size:
+            yield block
+            block = []
+    yield [*block, text[at:]]
+
+
+def features_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for line in lines:
         n = len(line)
@@ -114,7 +131,101 @@ def marginals(evidence: np.ndarray, at: np.ndarray, moves: np.ndarray) -> tuple[
     return flat, total, pairs
 
 
-def document_means(field: Field, docs: list[tuple[np.ndarray, np.ndarray]], group: int = 2_000_000) -> np.ndarray:
+def long_marginals(evidence: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one long chain. The chain is cut into about as many blocks as a block has steps: what a block
+    does to the message from either state is worked out for all blocks at once, then the messages into the blocks one by
+    one, then those inside, again for all blocks at once."""
+    steps = len(evidence) - 1
+    length = max(1, int(np.ceil(np.sqrt(steps))))
+    blocks = max(1, -(-steps // length))
+    node = np.zeros((length, blocks, 2))
+    padded = np.zeros(blocks * length)
+    padded[:steps] = evidence[1:]
+    node[..., 1] = padded.reshape(blocks, length).T
+    live = (np.arange(blocks * length) < steps).reshape(blocks, length).T[..., None]
+
+    def onward(x: np.ndarray, t: int) -> np.ndarray:
+        """Messages (blocks x ... x 2) one step on."""
+        at = (slice(None), *[None] * (x.ndim - 2))
+        y = np.logaddexp(x[..., 0, None] + moves[0], x[..., 1, None] + moves[1]) + node[t][at]
+        return np.where(live[t][at], y, x)
+
+    across = np.broadcast_to(np.where(np.eye(2) > 0, 0.0, -np.inf), (blocks, 2, 2))
+    for t in range(length):
+        across = onward(across, t)
+    first, last = np.zeros((blocks, 2)), np.zeros((blocks, 2))
+    x = np.array([0.0, evidence[0]])
+    for k in range(blocks):
+        first[k] = x
+        x = np.logaddexp(x[0] + across[k, 0], x[1] + across[k, 1])
+    total, y = np.logaddexp(*x), np.zeros(2)
+    for k in range(blocks - 1, -1, -1):
+        last[k] = y
+        y = np.logaddexp(across[k, :, 0] + y[0], across[k, :, 1] + y[1])
+    good = np.empty((length, blocks))
+    for t in range(length):
+        first = onward(first, t)
+        good[t] = first[:, 1]
+    for t in range(length - 1, -1, -1):
+        good[t] += last[:, 1]
+        z = node[t] + last
+        last = np.where(live[t], np.logaddexp(moves[:, 0] + z[:, 0, None], moves[:, 1] + z[:, 1, None]), last)
+    rest = good.T.ravel()[:steps]
+    return np.exp(np.minimum(np.concatenate([[evidence[0] + y[1]], rest]) - total, 0))
+
+
+def long_mean(field: Field, text: str, block: int = 20_000) -> float:
+    """document_means of a text of many lines: features live for a block of lines at a time, evidence and lengths for all."""
+    n = text.count("\n") + 1
+    evidence, sizes = np.empty(n), np.empty(n, np.float32)
+    at, before, held = 0, None, None
+
+    def judge(after: np.ndarray | None) -> None:
+        nonlocal at, before
+        rows = with_neighbours(np.vstack([x for x in (before, held, after) if x is not None]))
+        rows = rows[before is not None :][: len(held)]
+        rows[:, -4:] = (0, 0, 1 / n, 1)
+        rows[0, -4], rows[-1, -3] = before is None, after is None
+        evidence[at : at + len(held)] = rows @ field.weights
+        at += len(held)
+        before = held[-1:]
+
+    done = 0
+    for lines in line_blocks(text, block):
+        own, lengths = features_of(lines)
+        sizes[done : done + len(own)] = lengths
+        done += len(own)
+        if held is not None:
+            judge(own[:1])
+        held = own
+    judge(None)
+    return float((long_marginals(evidence, field.moves) * sizes).sum() / sizes.sum(dtype=np.float64))
+
+
+def text_means(field: Field, texts: Iterable[str | None], most_lines: int = 100_000, long_lines: int = 20_000) -> np.ndarray:
+    """document_means of texts, of which at most so many lines are held as features at a time."""
+    out, held, lines = [], [], 0
+
+    def flush() -> None:
+        nonlocal lines
+        out.extend(document_means(field, held).tolist() if held else [])
+        held.clear()
+        lines = 0
+
+    for text in texts:
+        n = (text or "").count("\n") + 1
+        if lines + n > most_lines or n > long_lines:
+            flush()
+        if n > long_lines:
+            out.append(long_mean(field, text))
+        else:
+            held.append(line_features(text))
+            lines += n
+    flush()
+    return np.array(out)
+
+
+def document_means(field: Field, docs: list[tuple[np.ndarray, np.ndarray]], group: int = 600_000) -> np.ndarray:
     """Length-weighted mean of the marginals. Documents of like lengths are padded together, in bounded batches."""
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: len(docs[i][1]))
@@ -187,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = 1500, train_l
     got = rows.where(short).select(id_col, "quality", features("t").alias("f")).select(id_col, "quality", "f.*").dropDuplicates([id_col]).orderBy(id_col).collect()
     known = np.array([r["quality"] for r in got], np.float64)
     if len(set(known.tolist())) < 2:
-        raise ValueError("labels of both kinds are needed")
+        return Field(np.zeros(with_neighbours(np.zeros((1, FEATURES))).shape[1]), np.zeros((2, 2)))
     return fit([(np.frombuffer(r["own"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["sizes"], np.float64)) for r in got], known)
 
 
@@ -196,8 +307,7 @@ def with_quality(docs: DataFrame, field: Field, *, text_col: str = "text", out:
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        means = [document_means(field, [line_features(t) for t in texts[i : i + 500]]) for i in range(0, len(texts), 500)]
-        x = field.scale * _logit(np.concatenate(means) if means else np.zeros(0)) + field.shift
+        x = field.scale * _logit(text_means(field, texts)) + field.shift
         return pd.Series(1 / (1 + np.exp(-x)))
 
     return docs.withColumn(out, score.asNondeterministic()(docs[text_col]))

@@ -2,11 +2,15 @@
 
 import hashlib
 import itertools
+import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -107,8 +111,38 @@ def test_quality_edges(spark, docs, edge):
     assert len(rows) == 9 and all(0 <= r["quality_score"] <= 1 for r in rows) and rows[0]["h"] == 2
     assert rows[0]["quality_score"] == rows[1]["quality_score"]
     assert quality.with_quality(edge.limit(0), field).count() == 0
-    with pytest.raises(ValueError):
-        quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    blank = quality.train(docs, spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int"))
+    assert {r["quality_score"] for r in quality.with_quality(edge, blank).collect()} == {0.5}
+
+
+def test_long_texts_are_scored_like_short_ones():
+    random = np.random.default_rng(8)
+    n = quality.with_neighbours(np.zeros((1, quality.FEATURES))).shape[1]
+    field = quality.Field(random.normal(size=n), np.array([[0.7, -0.4], [-0.6, 0.9]]))
+    lines = ["", "One two.", "SHOUT!! now!!", "a b a b a b", "x | y | z", "12 34 56"]
+    for size in (1, 2, 3, 50, 1003):
+        text = "\n".join(random.choice(lines, size))
+        want = quality.document_means(field, [quality.line_features(text)])[0]
+        for block in (1, 7, 20_000):
+            assert np.isclose(quality.long_mean(field, text, block), want, atol=1e-9), (size, block)
+    texts = ["\n".join(random.choice(lines, k)) for k in random.integers(1, 60, 100)] + [None, ""]
+    want = quality.document_means(field, [quality.line_features(t) for t in texts])
+    assert np.allclose(quality.text_means(field, texts, most_lines=100, long_lines=40), want, atol=1e-9)
+
+
+def test_five_million_lines_fit_into_a_gigabyte():
+    code = """
+import resource, numpy as np
+from millrace.llm import quality
+n = quality.with_neighbours(np.zeros((1, quality.FEATURES))).shape[1]
+field = quality.Field(np.full(n, 0.1), np.array([[0.5, -0.5], [-0.5, 0.5]]))
+text = "a b.\\n\\n" * 2_500_000
+assert 0 < quality.text_means(field, [text])[0] < 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": root}, check=True)
+    assert int(out.stdout) < 1_000_000, out.stdout
 
 
 # --- decontamination
