@@ -3,8 +3,8 @@
 Defined results of every stage: a null text counts as empty for scores, fingerprints, windows and tokens, and stays null in
 what is passed on; empty and very long texts are judged like any other; rows are known by id and text, so repeated ids, null
 ids and repeated rows take no other row along, and of repeated rows the near-duplicate stage keeps one; other columns than
-those of documents, whatever their names, are not passed on; an empty table gives an empty table (the first stage needs
-labels of both kinds among its documents and raises a ValueError without).
+those of documents, whatever their names, are not passed on; an empty table gives an empty table; without
+labels of both kinds the first stage has nothing to reject by and keeps all.
 """
 
 from __future__ import annotations
