@@ -1,0 +1,16 @@
+"""Where queries that store something keep it."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; one of this machine only where Spark runs on it alone and names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='checkpoint-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,19 +10,12 @@ from pyspark.sql import types as T
 
 from ..operators import access
 from ..streaming import events, keyed
-
-
-def _folder(spark: SparkSession) -> str:
-    """In the shared folder; one of this machine only where Spark runs on it alone and names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='checkpoint-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+from .folders import shared_folder
 
 
 def _run(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], mode: str, key: list[str]) -> DataFrame:
     """What the stream has written of all that is there: each batch's rows in a folder of their own, the last of a key."""
-    out = _folder(spark)
+    out = shared_folder(spark, "stream")
     # a pattern, as a stream takes a plain path for a folder; times without a zone are taken as UTC
     rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
     stream = plan(rows.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())))

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval
+from . import tables
 
 DOCUMENT = ["path", "source_type", "title", "content", "features", "metadata"]
+DOCUMENT_SCHEMA = "path string, source_type string, title string, content string, features array<string>, metadata map<string,string>"
+#: A folder, or the paths of files.
+Where = str | list[str]
 METHODS = ["get", "put", "post", "delete", "patch", "head", "options", "trace"]
 
 
@@ -38,12 +42,12 @@ def _document(df: DataFrame, kind: str, title: Column, content: Column, metadata
     return out.where(text.strip(F.col("content")) != "")
 
 
-def _texts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def _texts(spark: SparkSession, folder: Where, glob: str) -> DataFrame:
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     return read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def _parsed(spark: SparkSession, folder: str, glob: str, parse: Callable[[bytes], Iterable[tuple]], fields: str) -> DataFrame:
+def _parsed(spark: SparkSession, folder: Where, glob: str, parse: Callable[[bytes], Iterable[tuple]], fields: str) -> DataFrame:
     """Rows of `parse` for each binary file; a file that can't be read, whatever the reason, is one row whose `error` says why."""
     names = [f.split()[0] for f in fields.split(", ")]
 
@@ -60,13 +64,13 @@ def _parsed(spark: SparkSession, folder: str, glob: str, parse: Callable[[bytes]
     return files.select("path", "content").mapInPandas(rows, f"path string, {fields}, error string")
 
 
-def markdown(spark: SparkSession, folder: str) -> DataFrame:
+def markdown(spark: SparkSession, folder: Where) -> DataFrame:
     """The title is the first heading of the first level, else the file's name."""
     files = _texts(spark, folder, "*.md")
     return _document(files, "markdown", text.markdown_title(F.col("value"), _stem(F.col("path"))), F.col("value"))
 
 
-def plain(spark: SparkSession, folder: str) -> DataFrame:
+def plain(spark: SparkSession, folder: Where) -> DataFrame:
     return _document(_texts(spark, folder, "*.txt"), "text", text.markdown_title(F.lit(""), _stem(F.col("path"))), F.col("value"))
 
 
@@ -79,22 +83,24 @@ def _pretty(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "content"])
 
 
-def json_files(spark: SparkSession, folder: str, manifest: str = "ingestion_manifest.json") -> DataFrame:
+def json_files(spark: SparkSession, folder: Where, manifest: str = "ingestion_manifest.json") -> DataFrame:
     """Content is the dump with sorted keys; malformed files raise. The manifest isn't a document."""
     files = _texts(spark, folder, "*.json").where(~F.col("path").endswith(f"/{manifest}")).withColumn("p", F.pandas_udf(_pretty, "title string, content string")("value"))
     return _document(files, "json", F.coalesce("p.title", text.markdown_title(F.lit(""), _stem(F.col("path")))), F.col("p.content"))
 
 
-def csv_rows(spark: SparkSession, folder: str, *, title_col: str | None = None, features_col: str | None = "feature") -> DataFrame:
-    """One document for each row; files of one call share their header, else reading raises. Nulls are empty strings."""
-    read = spark.read.options(header=True, multiLine=True, escape='"', enforceSchema=False, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    rows = read.csv(folder)
-    columns = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns}
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.struct(*(v.alias(c) for c, v in columns.items())).alias("row"))
-    cells = {c: F.col(f"row.`{c}`") for c in columns}
-    title = cells[title_col] if title_col else next(iter(cells.values()))
-    listed = F.filter(F.transform(F.split(cells[features_col], ","), text.strip), lambda x: x != "") if features_col in cells else None
-    return _document(rows, "csv", title, text.row_to_text(cells), F.create_map(*(x for c, v in cells.items() for x in (F.lit(c), v))), listed)
+def csv_rows(spark: SparkSession, folder: Where, *, title_col: str | None = None, features_col: str | None = "feature") -> DataFrame:
+    """One document for each row, by the header of its own file. Nulls are empty strings; of equal names the last counts.
+
+    The title is the named column's, or the first's."""
+    rows = tables.read_csv(spark, folder).select("path", "names", F.slice("cells", 1, F.size("names")).alias("cells"))
+    last = F.transform_keys(F.map_from_entries(F.transform(F.array_distinct("names"), lambda n: F.struct(n, F.element_at("cells", F.size("names") + 1 - F.array_position(F.reverse("names"), n).cast("int"))))), lambda k, v: k)
+    rows = rows.withColumn("row", last)
+    cell = lambda name: F.try_element_at("row", F.lit(name))
+    title = F.coalesce(cell(title_col), F.col("cells")[0]) if title_col else F.col("cells")[0]
+    lines = F.filter(F.transform("names", lambda n: F.when(text.strip(F.element_at("row", n)) != "", F.concat(n, F.lit(": "), F.element_at("row", n)))), lambda x: x.isNotNull())
+    listed = F.filter(F.transform(F.split(F.coalesce(cell(features_col), F.lit("")), ","), text.strip), lambda x: x != "") if features_col else None
+    return _document(rows, "csv", title, F.array_join(F.array_distinct(lines), "\n"), F.col("row"), listed)
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -130,7 +136,7 @@ def _endpoints(content: bytes) -> Iterator[tuple]:
                 yield route, method.upper(), about.get("summary"), about.get("description"), [str(t) for t in about.get("tags") or []]
 
 
-def openapi(spark: SparkSession, folder: str, glob: str = "*openapi*.{json,yaml,yml}") -> DataFrame:
+def openapi(spark: SparkSession, folder: Where, glob: str = "*openapi*.{json,yaml,yml}") -> DataFrame:
     """One document for each path and method."""
     rows = _parsed(spark, folder, glob, _endpoints, "route string, method string, summary string, description string, tags array<string>")
     title = F.concat_ws(" ", "method", "route")
@@ -159,7 +165,7 @@ def _blocks(content: bytes) -> Iterator[tuple]:
             table += 1
 
 
-def docx(spark: SparkSession, folder: str) -> DataFrame:
+def docx(spark: SparkSession, folder: Where) -> DataFrame:
     """Paragraphs with the texts before and after them, and rows of tables."""
     rows = _parsed(spark, folder, "*.docx", _blocks, "kind string, place int, content string")
     order = Window.partitionBy("path", "kind").orderBy("place")
@@ -192,7 +198,7 @@ def _sheet_rows(content: bytes) -> Iterator[tuple]:
                     header = cells
 
 
-def xlsx_rows(spark: SparkSession, folder: str) -> DataFrame:
+def xlsx_rows(spark: SparkSession, folder: Where) -> DataFrame:
     """One document for each row under a sheet's header; the row's number in the sheet is in the metadata."""
     rows = _parsed(spark, folder, "*.xlsx", _sheet_rows, "sheet string, at int, names array<string>, cells array<string>")
     lines = F.filter(F.zip_with("names", "cells", lambda n, c: F.when(text.strip(c) != "", F.concat(n, F.lit(": "), c))), lambda x: x.isNotNull())
@@ -208,7 +214,7 @@ def _charts(content: bytes) -> Iterator[tuple]:
             yield name, kinds[0] if kinds else "unknown", " ".join(n.text or "" for n in nodes if _local(n.tag) == "t"), [n.text for n in nodes if _local(n.tag) == "f" and n.text]
 
 
-def xlsx_charts(spark: SparkSession, folder: str) -> DataFrame:
+def xlsx_charts(spark: SparkSession, folder: Where) -> DataFrame:
     """One document for each chart: its type, title and the cells it refers to."""
     rows = _parsed(spark, folder, "*.xlsx", _charts, "chart string, kind string, caption string, refs array<string>")
     return _document(rows, "xlsx_chart", F.when(F.col("caption") != "", F.col("caption")).otherwise(_stem(F.col("path"))), F.concat_ws("\n", "kind", "caption", F.array_join("refs", "\n")), F.create_map(F.lit("chart"), F.col("chart"), F.lit("type"), F.col("kind")))
@@ -231,10 +237,16 @@ def paragraph_windows(docs: DataFrame, *, size: int = 8, step: int = 6) -> DataF
     return _document(cut, "docx", F.concat(_stem(F.col("path")), F.lit(" - paragraphs "), reach), F.concat_ws("\n", F.concat(F.lit("Paragraph range: "), reach), F.array_join(lines, "\n")), metadata)
 
 
+def documents(spark: SparkSession, where: Where, readers: Mapping[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
+    """All documents of a folder, or of files, by all readers in their order."""
+    readers = readers or {"markdown": markdown, "text": plain, "json": json_files, "csv": csv_rows, "openapi": openapi, "docx": docx, "xlsx": xlsx_rows, "charts": xlsx_charts}
+    docs = reduce(DataFrame.unionByName, (read(spark, where) for read in readers.values()))
+    return docs.withColumn("path", tables.uri(F.col("path")))
+
+
 def corpus(spark: SparkSession, folder: str, readers: Mapping[str, Callable[[SparkSession, str], DataFrame]] | None = None, manifest: DataFrame | None = None, *, tenant_id: str, bucket_id: str) -> DataFrame:
     """All documents of a folder by all readers in their order, the manifest's entries over them; see `with_manifest`."""
-    readers = readers or {"markdown": markdown, "text": plain, "json": json_files, "csv": csv_rows, "openapi": openapi, "docx": docx, "xlsx": xlsx_rows, "charts": xlsx_charts}
-    docs = reduce(DataFrame.unionByName, (read(spark, folder) for read in readers.values()))
+    docs = documents(spark, folder, readers)
     if manifest is None:
         manifest = spark.createDataFrame([], "path string, tenant_id string, bucket_id string, source_type string, features array<string>, metadata map<string,string>")
     return with_manifest(docs, manifest, folder, tenant_id=tenant_id, bucket_id=bucket_id)

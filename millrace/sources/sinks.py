@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import memory
+from . import store
 
 
 def upserted(current: DataFrame, incoming: DataFrame, key: Sequence[str], newest: Sequence[str] | None = None) -> DataFrame:
@@ -49,8 +51,6 @@ def missing_assets(payloads: DataFrame, assets: DataFrame) -> DataFrame:
 
 def unique_names(files: DataFrame, name: str, order: str) -> Column:
     """Names in an archive: of those that differ only in case the second has -2 before its extension, and so on."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy(F.lower(files[name])).orderBy(files[order]))
     return F.when(n == 1, files[name]).otherwise(F.concat(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), n.cast("string"), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)))
 
@@ -87,6 +87,22 @@ def write_jsonl(rows: DataFrame, folder: str, holdout: str) -> None:
     rows.write.mode("overwrite").json(folder)
 
 
+def summarised(spark: SparkSession, path: str, messages: DataFrame, *, key: str, order: str, role: str = "role", content: str = "text", idle: Column | None = None, questions: int = 2, width: int = 40, buckets: int = 64) -> list[int]:
+    """Makes and stores a summary, one row a session, of the sessions for which `memory.summary_due` gives a reason; the
+    others keep the one they have. A summary is the beginnings of the last questions; `idle` is the seconds since the last
+    message, by a session's rows. Returns the buckets replaced."""
+    last = Window.partitionBy(key, role).orderBy(F.desc(order))
+    placed = messages.withColumns({"_place": F.row_number().over(last), "_idle": F.lit(0) if idle is None else idle})
+    asked = F.collect_list(F.when((F.col(role) == "user") & (F.col("_place") <= questions), F.struct(F.col(order).alias("at"), F.substring(content, 1, width).alias("said"))))  # `questions` at most
+    summary = F.array_join(F.transform(F.array_sort(asked), lambda x: x["said"]), " / ")
+    now = placed.groupBy(key).agg(F.count(F.lit(1)).alias("messages"), F.sum(text.tokens_floor(F.col(content))).alias("tokens"), summary.alias("summary"), F.max("_idle").alias("_idle"))
+    stored = store.read(spark, path, [key])
+    before = now.select(key, F.lit(None).cast("long").alias("_at")) if stored is None else stored.select(key, F.col("messages").alias("_at"))
+    reason = memory.summary_due(F.col("messages"), F.col("tokens"), F.col("_at"), F.col("_idle"))
+    due = now.join(before, key, "left").withColumn("reason", reason).where("reason is not null")
+    return store.merge(spark, path, due.select(key, "messages", "tokens", "summary", "reason"), [key], buckets=buckets)
+
+
 def synced(current: DataFrame, remote: DataFrame, tenant_id: str, kind: str) -> DataFrame:
     """Rows of another database, from `spark.read.jdbc` or any source, put over ours by an id made of tenant, kind and external id."""
     made = text.uuid5(F.concat_ws(":", F.lit(tenant_id), F.lit(kind), F.col("external_id").cast("string")))
