@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from . import numbering
 
 #: The classes in their order, and those that are indexed.
 CLASSES = ["noise", "churn_signal", "bug", "feature"]
@@ -57,18 +58,12 @@ def mismatches(rows: DataFrame, *, id_col: str, generated: str, ruled: str, reas
 def with_copies(parts: Sequence[DataFrame], order: str, copies: Mapping[int, int]) -> DataFrame:
     """Parts one after another, then the first rows of some again: number (from 1, without gaps), part, is_copy.
 
-    Numbers are the sizes of the parts before, summed on the driver, and the place in the own part.
+    All rows are numbered by ranges of (is_copy, part, order), however large a part is.
     """
     tagged = [df.select(F.lit(i).alias("part"), F.lit(False).alias("is_copy"), *df.columns) for i, df in enumerate(parts)]
     tagged += [parts[i].orderBy(order).limit(n).select(F.lit(i).alias("part"), F.lit(True).alias("is_copy"), *parts[i].columns) for i, n in copies.items()]
-    rows = reduce(DataFrame.unionByName, tagged)
-    sizes = {(r["is_copy"], r["part"]): r["n"] for r in rows.groupBy("is_copy", "part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a part
-    place, before, total = F.lit(0), {}, 0
-    for k in sorted(sizes):
-        before[k], total = total, total + sizes[k]
-    for (copy, part), n in before.items():
-        place = F.when((F.col("is_copy") == copy) & (F.col("part") == part), F.lit(n)).otherwise(place)
-    return rows.withColumn("number", place + F.row_number().over(Window.partitionBy("is_copy", "part").orderBy(order)))
+    placed = numbering.numbered(reduce(DataFrame.unionByName, tagged), ["is_copy", "part", order], "number")
+    return placed.withColumn("number", F.col("number") + 1)
 
 
 def differences(rows: DataFrame, frozen: DataFrame, key: str) -> DataFrame:

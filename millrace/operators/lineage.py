@@ -1,11 +1,11 @@
-"""Where queries that store something keep it."""
+"""Where Spark writes down what must not be computed twice: the folder that spark.checkpoint.dir names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -14,3 +14,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='checkpoint-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "lineage"))
+    return df.checkpoint()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from . import dictionary
 
 
 def name_key(name: Column) -> Column:
@@ -35,36 +36,33 @@ def requested_files(messages: DataFrame, documents: DataFrame, *, key: str = "me
     return found.withColumn("_n", first).where(F.col(id_col).isNull() | (F.col("_n") == 1)).drop("_n")
 
 
-def documents_named(messages: DataFrame, documents: DataFrame, *, key: str = "message_id", message: str = "message", id_col: str = "document_id", name: str = "file_name", shortest: int = 3, longest: int = 64) -> DataFrame:
+def documents_named(messages: DataFrame, documents: DataFrame, *, key: str = "message_id", message: str = "message", id_col: str = "document_id", name: str = "file_name", shortest: int = 3, **limits: int) -> DataFrame:
     """Documents whose name without its extension stands in a message, with the place of it; letters and digits count.
 
-    Each message is cut into all pieces of `shortest` to `longest` characters, which meet the names by an equi-join; longer
-    names meet by their first `longest` characters and are then compared.
+    An automaton of the names reads each message once; rows are the names found, and then the documents of these names.
     """
     said = messages.select(key, name_key(F.col(message)).alias("_m"))
     stem = F.regexp_replace(text.strip(F.col(name)), r"(?<=.)\.[^.]*$", "")
-    have = documents.select(id_col, name_key(stem).alias("_stem")).where(F.length("_stem") >= shortest).withColumn("_head", F.substring("_stem", 1, longest))
-    sizes = have.select(F.length("_head").alias("_size")).distinct()  # at most `longest` rows
-    starts = said.join(F.broadcast(sizes), F.col("_size") <= F.length("_m")).select(key, "_m", "_size", F.explode(F.sequence(F.lit(1), F.length("_m") - F.col("_size") + 1)).alias("_at"))
-    pieces = starts.select(key, "_m", "_at", F.substring("_m", F.col("_at"), F.col("_size")).alias("_head"))
-    met = pieces.join(have, "_head").where(F.expr("substring(_m, _at, length(_stem)) = _stem"))
-    return met.groupBy(key, id_col).agg((F.min("_at") - 1).cast("int").alias("place"))
+    have = documents.select(id_col, name_key(stem).alias("_stem")).where(F.length("_stem") >= shortest)
+    met = dictionary.occurrences(said, have, text="_m", name="_stem", **limits)
+    return met.join(have, "_stem").groupBy(key, id_col).agg(F.min("place").alias("place"))
 
 
-def resolved_deal(messages: DataFrame, deals: DataFrame, *, key: str = "message_id", message: str = "message") -> DataFrame:
+def resolved_deal(messages: DataFrame, deals: DataFrame, *, key: str = "message_id", message: str = "message", **limits: int) -> DataFrame:
     """The deal whose code, title or alias is the longest that stands in the message; none where two deals tie.
 
-    `deals` has bucket_id, deal_code, title, aliases. The needles are a small table, broadcast while Spark finds them so.
+    `deals` has bucket_id, deal_code, title, aliases. Of the needles that an automaton finds in a message only the longest
+    are looked up.
     """
-    said = messages.select(key, text.deal_code(F.col(message)).alias("_m")).where("_m <> ''")
+    said = messages.select(key, text.deal_code(F.col(message)).alias("_m"))
     needles = deals.select("bucket_id", "deal_code", F.explode(F.concat(F.array("deal_code", "title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_raw"))
     needles = needles.select("bucket_id", "deal_code", text.deal_code(F.col("_raw")).alias("_needle")).where("_needle <> ''").distinct()
-    sizes = needles.select(F.length("_needle").alias("_size")).distinct()
-    starts = said.join(F.broadcast(sizes), F.col("_size") <= F.length("_m")).select(key, "_size", F.explode(F.transform(F.sequence(F.lit(1), F.length("_m") - F.col("_size") + 1), lambda i: F.substring(F.col("_m"), i, F.col("_size")))).alias("_needle"))
-    met = starts.distinct().join(needles, "_needle").groupBy(key, "bucket_id", "deal_code").agg(F.max("_size").alias("_size"))
-    best = met.groupBy(key).agg(F.max(F.struct("_size", "bucket_id", "deal_code")).alias("_best"), F.max("_size").alias("_most"))
-    tied = met.join(best, key).where("_size = _most").groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("_best").alias("_best"))
-    return tied.where("_n = 1").select(key, "_best.bucket_id", "_best.deal_code")
+    met = dictionary.occurrences(said, needles, text="_m", name="_needle", longest_only=True, **limits).withColumn("_size", F.length("_needle"))
+    # the longest of each block of names, of which the longest of all are left
+    most = met.groupBy(key).agg(F.max("_size").alias("_most"))
+    longest = met.join(most, key).where("_size = _most").select(key, "_needle").join(needles, "_needle").select(key, F.struct("bucket_id", "deal_code").alias("_deal"))
+    one = longest.groupBy(key).agg(F.min("_deal").alias("_least"), F.max("_deal").alias("_deal")).where("_least = _deal")
+    return one.select(key, "_deal.bucket_id", "_deal.deal_code")
 
 
 def deal_card(deals: DataFrame, tenant: str, buckets: Sequence[str], code: str) -> DataFrame:

@@ -68,13 +68,13 @@ def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with c as (select doc_id, generated from ({_CORPUS}) where lang = 'en'), p as (select *, {_CLASSES} as k from c),
+    f"""with c as (select doc_id, generated from ({_CORPUS})), p as (select *, {_CLASSES} as k from c),
     s as (select 0 as copy, generated, doc_id, list_position(k, generated) as part from p union all select 1, generated, doc_id, list_position(k, generated) from (select *, row_number() over (partition by generated order by doc_id) as r from p) where (generated = 'bug' and r <= 8) or (generated = 'feature' and r <= 2))
     select row_number() over (order by copy, part, doc_id)::int as number, generated, doc_id, copy = 1 as is_copy from s"""
 )
 def appended_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts one after another, then the first 8 bugs and 2 features again, numbered without gaps."""
-    rows = corpus(spark, sf_dir).where("lang = 'en'").select("doc_id", "generated")
+    rows = corpus(spark, sf_dir).select("doc_id", "generated")
     parts = [rows.where(F.col("generated") == c) for c in evaluation.CLASSES]
     return evaluation.with_copies(parts, "doc_id", {2: 8, 3: 2}).select(F.col("number").cast("int").alias("number"), "generated", "doc_id", "is_copy")
 

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
 from ..sources import ingest, sinks, store, tables
-from .folders import shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

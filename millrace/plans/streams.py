@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import access
+from ..operators.lineage import shared_folder
 from ..streaming import events, keyed
-from .folders import shared_folder
 
 
 def _run(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], mode: str, key: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval
+from ..operators import numbering, retrieval
 from . import tables
 
 DOCUMENT = ["path", "source_type", "title", "content", "features", "metadata"]
@@ -111,10 +111,11 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """path, line (from 1), and the object of each line that isn't blank; malformed lines raise when their fields are read.
 
-    Each file is one row of text until its lines are numbered, so a file is read by one task; `jsonl` splits large ones.
+    Files split at line ends; the lines are numbered by ranges of (file, split, place in it), so a large file is many tasks'.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "raw"))
-    return files.where(text.strip(F.col("raw")) != "").select("path", (F.col("at") + 1).alias("line"), F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("row")).select("path", "line", "row.*")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_in_split"), F.col("value").alias("raw"))
+    placed = numbering.numbered(lines, ["_split", "_in_split"], "at", group=["path"])
+    return placed.where(text.strip(F.col("raw")) != "").select("path", (F.col("at") + 1).cast("int").alias("line"), F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("row")).select("path", "line", "row.*")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
