@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from . import arrays, text
 
@@ -168,9 +167,9 @@ def corpus_id(number: Column) -> Column:
     return F.format_string("fb-v1-%04d", number)
 
 
-@pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFC")
+def nfc(value: Column | str) -> Column:
+    """The composed normal form; a text that is all ASCII is its own and isn't handed to Python."""
+    return text.beyond_ascii(value, lambda t: unicodedata.normalize("NFC", t))
 
 
 def named_ids(answer: Column, vocabulary: Sequence[str]) -> Column:
@@ -180,8 +179,9 @@ def named_ids(answer: Column, vocabulary: Sequence[str]) -> Column:
 
 def must_not_hits(answer: Column, phrases: Sequence[str]) -> Column:
     """The phrases, as written, that stand in the answer in any case; blank ones never do."""
-    low = F.lower(answer)
-    return F.filter(F.array(*(F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in phrases if p)), lambda p: p.isNotNull())
+    low = F.lower(nfc(answer))
+    composed = {p: unicodedata.normalize("NFC", p).lower() for p in phrases if p.strip()}
+    return F.filter(F.array(*(F.when(F.contains(low, F.lit(c)), F.lit(p)) for p, c in composed.items())).cast("array<string>"), lambda p: p.isNotNull())
 
 
 def marker_scores(answer: Column, retrieved: Column, expected: Sequence[str], must_not: Sequence[str], vocabulary: Sequence[str]) -> Column:
@@ -203,7 +203,7 @@ def marker_scores(answer: Column, retrieved: Column, expected: Sequence[str], mu
 
 def has_numbers(content: Column, required: Sequence[str]) -> Column:
     """All required numbers are in the text, whatever their separators."""
-    seen = F.transform(F.regexp_extract_all(content, F.lit(r"(\d[\d\s.,]*)"), 1), lambda x: text.numeric_normal_form(F.regexp_replace(x, r"[\s.,]+$", "")))
+    seen = F.transform(F.regexp_extract_all(content, F.lit(r"(?U)((?<!\w)\d[\d\s\u00a0.,]*\d|\b\d\b)"), 1), text.numeric_normal_form)
     return F.size(F.array_except(F.array(*(text.numeric_normal_form(F.lit(x)) for x in required)), seen)) == 0
 
 
@@ -307,9 +307,15 @@ def allowed_topics(topics: Column, allowed: Sequence[str]) -> Column:
 
 
 def contexts(content: Column, word: str, around: int = 100) -> Column:
-    """The text around each mention of a word, in any case."""
-    pieces = F.regexp_extract_all(F.lower(content), F.lit(rf"(?s)(?=(.{{0,{around}}}{word.lower()}.{{0,{around}}}))"), 1)
-    return F.filter(pieces, lambda p: F.contains(F.substring(p, 1, around + len(word)), F.lit(word.lower())))
+    """For each mention of a word, in any case and none inside another, the text from `around` characters before it to as many
+    after it, lower-cased: one piece a mention."""
+    low = re.sub(r"([^\w\s])", r"\\\1", word.lower())
+    if not low:
+        raise ValueError("a word is asked for")
+    # what stands before is looked for backwards: the whole beginning of the text, or `around` characters
+    pattern = F.lit(rf"(?s)(?<=(\A.{{0,{around - 1}}}|.{{{around}}})){low}(?=(.{{0,{around}}}))")
+    pieces = lambda body: F.zip_with(F.regexp_extract_all(body, pattern, 1), F.regexp_extract_all(body, pattern, 2), lambda a, b: F.concat(a, F.lit(word.lower()), b))
+    return F.transform(F.array(F.lower(content)), pieces)[0]
 
 
 # --- conversations

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import unicodedata
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,8 +46,21 @@ def chunks(text: Column, size: int = 1800, overlap: int = 200) -> Column:
     return F.transform(whole, lambda c, i: F.struct(i.alias("chunk_index"), c.alias("chunk")))
 
 
+def beyond_ascii(value: Column | str, change: Callable[[str], str]) -> Column:
+    """`change` of the texts that aren't all ASCII; the others stay as they are and aren't handed to Python."""
+    column = F.col(value) if isinstance(value, str) else value
+
+    @F.pandas_udf("string")
+    def changed(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or t != t else change(t) for t in texts], dtype=object)
+
+    return F.coalesce(changed(F.when(F.octet_length(column) != F.length(column), column)), column)
+
+
 def lexicon_key(text: Column) -> Column:
-    return F.lower(F.regexp_replace(strip(text), SPACE, " "))
+    """Composed, stripped, case-folded, with single spaces."""
+    folded = beyond_ascii(text, lambda t: unicodedata.normalize("NFC", t).casefold())
+    return F.lower(F.regexp_replace(strip(folded), SPACE, " "))
 
 
 def mask_pii(text: Column) -> Column:
@@ -82,14 +97,27 @@ def deal_code(text: Column) -> Column:
 
 
 def numeric_normal_form(text: Column) -> Column:
-    """1 250 000, 1,250,000.00 and 1250000 have one normal form; null where the text isn't a number."""
-    bare = F.regexp_replace(text, r"[\s  _]", "")
-    comma, dot = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
-    one_kind = F.when(F.regexp_like(bare, F.lit(r"^-?\d{1,3}(,\d{3})+$")), F.replace(bare, F.lit(","), F.lit(""))).when(F.regexp_like(bare, F.lit(r"^-?\d{1,3}(\.\d{3}){2,}$")), F.replace(bare, F.lit("."), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
-    both = F.when(comma < dot, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    plain = F.when((comma > 0) & (dot > 0), both).otherwise(one_kind)
-    short = F.when(F.instr(plain, ".") > 0, F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
-    return F.when(F.regexp_like(plain, F.lit(r"^-?\d+(\.\d+)?$")), short)
+    """1 250 000, € 1.250.000,00 and 01250000 have one normal form, without sign, leading zeros and whatever is no digit or
+    separator; null where there is no digit.
+
+    The last separator parts decimals, unless it is one of several of a kind with three characters behind each, or the only one
+    with up to three digits before it and three behind.
+    """
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    whole = lambda c: F.coalesce(F.nullif(F.ltrim(digits(c), F.lit("0")), F.lit("")), F.lit("0"))
+
+    def normal(x: Column) -> Column:
+        both = F.contains(x, F.lit(",")) & F.contains(x, F.lit("."))
+        grouped = ~both & F.regexp_like(x, F.lit(r"^[^,.]*(?:[,.][^,.]{3}){2,}$"))
+        thousands = F.regexp_like(F.replace(x, F.lit("-"), F.lit("")), F.lit(r"^\d{1,3}[,.]\d{3}$"))
+        decimals = F.rtrim(digits(F.regexp_extract(x, r"[,.]([^,.]*)$", 1)), F.lit("0"))
+        before = whole(F.regexp_extract(x, r"^(.*)[,.][^,.]*$", 1))
+        parted = F.when(decimals == "", before).otherwise(F.concat(before, F.lit("."), decimals))
+        value = F.when(grouped | thousands | ~F.regexp_like(x, F.lit("[,.]")), whole(x)).otherwise(parted)
+        return F.when(F.regexp_like(x, F.lit("[0-9]")), value)
+
+    # as the one element of an array the cleaned text is bound once
+    return F.transform(F.array(F.ltrim(F.regexp_replace(text, r"[^0-9,.-]", ""), F.lit("-"))), normal)[0]
 
 
 def terms(text: Column, pattern: str, stop: Sequence[str] = ()) -> Column:

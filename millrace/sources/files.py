@@ -74,19 +74,16 @@ def plain(spark: SparkSession, folder: Where) -> DataFrame:
     return _document(_texts(spark, folder, "*.txt"), "text", text.markdown_title(F.lit(""), _stem(F.col("path"))), F.col("value"))
 
 
-def _pretty(values: pd.Series) -> pd.DataFrame:
-    rows = []
-    for value in values:
-        found = json.loads(value)
-        named = [str(found[k]) for k in ("title", "name", "id") if isinstance(found, dict) and found.get(k)]
-        rows.append((named[0] if named else None, json.dumps(found, ensure_ascii=False, indent=2, sort_keys=True)))
-    return pd.DataFrame(rows, columns=["title", "content"])
+def _pretty(content: bytes) -> Iterator[tuple]:
+    found = json.loads(content)
+    named = [str(found[k]) for k in ("title", "name", "id") if isinstance(found, dict) and found.get(k)]
+    yield named[0] if named else None, json.dumps(found, ensure_ascii=False, indent=2, sort_keys=True)
 
 
 def json_files(spark: SparkSession, folder: Where, manifest: str = "ingestion_manifest.json") -> DataFrame:
-    """Content is the dump with sorted keys; malformed files raise. The manifest isn't a document."""
-    files = _texts(spark, folder, "*.json").where(~F.col("path").endswith(f"/{manifest}")).withColumn("p", F.pandas_udf(_pretty, "title string, content string")("value"))
-    return _document(files, "json", F.coalesce("p.title", text.markdown_title(F.lit(""), _stem(F.col("path")))), F.col("p.content"))
+    """Content is the dump with sorted keys; a malformed file is a row of type unreadable. The manifest isn't a document."""
+    files = _parsed(spark, folder, "*.json", _pretty, "named string, body string").where(~F.col("path").endswith(f"/{manifest}"))
+    return _document(files, "json", F.coalesce("named", text.markdown_title(F.lit(""), _stem(F.col("path")))), F.col("body"))
 
 
 def csv_rows(spark: SparkSession, folder: Where, *, title_col: str | None = None, features_col: str | None = "feature") -> DataFrame:

@@ -56,6 +56,32 @@ def test_nfc_and_first_wins(spark):
     assert got == {1: None, 2: 1, 3: None, 4: 3, 5: None}
 
 
+NUMBERS = {
+    "-007.50": "7.5", "€ 1 250": "1250", "1 250 000": "1250000", "1,250,000.00": "1250000", "1.250.000,50": "1250000.5", "1,250": "1250", "12,50": "12.5", "1234,567": "1234.567", "0,000": "0", "0.5": "0.5", ".500": "0.5", "0012": "12",
+    "1,23,45": "123.45", "1.234.56": "1234.56", "none": None, "": None, "-": None, "+3,0": "3", "1\u00a0000,10 RUB": "1000.1", "000": "0", "12.": "12", "5%": "5", "1,250,0": "1250", None: None,
+}
+
+
+def test_numbers_have_one_form(spark):
+    rows = spark.createDataFrame(list(enumerate(NUMBERS)), "i int, t string")
+    got = dict(rows.select("t", text.numeric_normal_form(F.col("t"))).collect())
+    assert got == NUMBERS
+    plan = rows.select(text.numeric_normal_form(F.col("t")).alias("n"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(t") <= 2  # the cleaned text is bound once
+    for said, there in (("12.50 and 3,0", True), ("12,5", False), ("v12.5 3", False), ("3 of 1 012,50", False), ("(12,50) 3.", True)):
+        assert one(spark, rules.has_numbers(F.col("t"), ["12,5", "3"]), t=said) is there, said
+
+
+def test_lexicon_keys_are_folded_and_composed(spark):
+    import unicodedata as u
+
+    rows = [(1, "  STRASSE\t  a "), (2, "Straße A"), (3, "Cafe\u0301"), (4, "CAFÉ"), (5, None), (6, ""), (7, "ΣΑΣ ς"), (8, "plain\u00a0 text")]
+    got = dict(spark.createDataFrame(rows, "i int, t string").select("i", text.lexicon_key(F.col("t"))).collect())
+    assert got == {i: None if t is None else " ".join(u.normalize("NFC", t).casefold().split()) for i, t in rows}
+    hits = one(spark, rules.must_not_hits(F.col("t"), ["Cafe\u0301", " ", "ß", "x"]), t="am CAFÉ")
+    assert hits == ["Cafe\u0301"]
+
+
 @pytest.mark.parametrize("path", ["a.b/c", "x/y.tar.gz", "user_feedback/q.csv", "release_notes/incident.txt"])
 def test_source_types(spark, path):
     from pathlib import PurePosixPath
@@ -72,7 +98,12 @@ def test_file_names(spark):
 
 
 def test_contexts_and_topics(spark):
-    assert one(spark, F.size(rules.contexts(F.col("t"), "webhook", 5)), t="no Webhook here, a webhook there") >= 2
+    for said, word, around in (("no Webhook here, a webhook there", "webhook", 5), ("webhookwebhook", "webhook", 3), ("ab" * 200 + "c++" + "d" * 300, "C++", 100), ("x" * 100 + "c++" + "y" * 100, "c++", 100), ("nothing", "webhook", 5), ("aaaa", "aa", 1), ("line\none webhook\ntwo", "webhook", 10)):
+        low, w, want, at = said.lower(), word.lower(), [], 0
+        while (at := low.find(w, at)) >= 0:
+            want.append(low[max(0, at - around) : at + len(w) + around])
+            at += len(w)
+        assert one(spark, rules.contexts(F.col("t"), word, around), t=said) == want, said
     found = spark.range(1).select(rules.allowed_topics(F.array(F.lit("TASKS"), F.lit("x"), F.lit("tasks")), ["tasks"]).alias("f")).first()["f"]
     assert (found["kept"], found["discarded"]) == (["tasks"], ["x"])
 

@@ -107,3 +107,12 @@ def test_jobs(spark):
     assert [(r.job_id, r.status) for r in events.retried(done, F.lit("9")).collect()] == [("9", "pending")]
     staged = spark.sql("select 1 as id, timestamp'2024-01-01' as expires_at union all select 2, timestamp'2024-01-03' union all select 3, null")
     assert sorted(r.id for r in events.unexpired(staged, F.lit("2024-01-02").cast("timestamp")).collect()) == [2, 3]
+
+
+def test_malformed_json_is_a_row(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"a": ')
+    (tmp_path / "good.json").write_text('{"title": "T"}')
+    (tmp_path / "list.json").write_text("[1]")
+    (tmp_path / "bytes.json").write_bytes(b"\xff\xfe\x00")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["source_type"], r["title"]) for r in files.json_files(spark, str(tmp_path)).collect()}
+    assert got == {"bad.json": ("unreadable", "bad"), "good.json": ("json", "T"), "list.json": ("json", "List"), "bytes.json": ("unreadable", "bytes")}
