@@ -151,6 +151,16 @@ def docx_match_count(content: Column, wanted: Column) -> Column:
     return F.transform(F.array(body), lambda b: F.size(F.filter(wanted, lambda t: F.contains(b, t))))[0]
 
 
+def asks_inventory(message: Column) -> Column:
+    """Whether a question is about which files there are."""
+    return contains_any(message, INVENTORY_MARKERS)
+
+
+def cost(prompt: Column, completion: Column, input_price: Column, output_price: Column) -> Column:
+    """In dollars, by prices of a million tokens; a missing count is none, a missing price makes the cost unknown."""
+    return (F.coalesce(prompt, F.lit(0)) * input_price + F.coalesce(completion, F.lit(0)) * output_price) / 1_000_000
+
+
 # --- texts of the feedback corpus
 
 
@@ -201,10 +211,14 @@ def marker_scores(answer: Column, retrieved: Column, expected: Sequence[str], mu
     )
 
 
+def numbers_in(content: Column) -> Column:
+    """Normal forms of the numbers in a text."""
+    return F.transform(F.regexp_extract_all(content, F.lit(r"(?U)((?<!\w)\d[\d\s\u00a0.,]*\d|\b\d\b)"), 1), text.numeric_normal_form)
+
+
 def has_numbers(content: Column, required: Sequence[str]) -> Column:
     """All required numbers are in the text, whatever their separators."""
-    seen = F.transform(F.regexp_extract_all(content, F.lit(r"(?U)((?<!\w)\d[\d\s\u00a0.,]*\d|\b\d\b)"), 1), text.numeric_normal_form)
-    return F.size(F.array_except(F.array(*(text.numeric_normal_form(F.lit(x)) for x in required)), seen)) == 0
+    return F.size(F.array_except(F.array(*(text.numeric_normal_form(F.lit(x)) for x in required)), numbers_in(content))) == 0
 
 
 def failed_flags(flags: Column) -> Column:

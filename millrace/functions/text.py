@@ -187,7 +187,8 @@ def markdown_title(text: Column, stem: Column) -> Column:
 
 
 def display_name(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}[_-]?", "")
+    """The file's name without the id of 36 characters and the underscore that storage puts before it."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"^[0-9A-Fa-f-]{36}_(?=.)", "")
 
 
 def row_to_text(row: Mapping[str, Column]) -> Column:
@@ -202,10 +203,21 @@ def clean_list(values: Column, limit: int = 240, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.filter(cleaned, lambda v: v != "")), 1, most)
 
 
+def id_list(values: Column) -> Column:
+    """Stripped, without blank ones, each once, where it came first."""
+    return F.array_distinct(F.filter(F.transform(values, strip), lambda v: v != ""))
+
+
 def is_russian(text: Column) -> Column:
-    cyrillic = F.regexp_count(text, F.lit(r"[Ѐ-ӿ]"))
-    other = F.regexp_count(text, F.lit(r"[A-Za-z一-鿿]"))
-    return (cyrillic > 20) & (cyrillic >= other)
+    """Over 20 Cyrillic letters, and no fewer than Latin and Chinese ones."""
+    low = F.lower(text)
+    cyrillic = F.regexp_count(low, F.lit(r"[а-яё]"))
+    return (cyrillic > 20) & (cyrillic >= F.regexp_count(low, F.lit(r"[a-z一-鿿]")))
+
+
+def pii_counts(text: Column) -> Column:
+    """struct(phones, cards): how often each stands in the text."""
+    return F.struct(F.regexp_count(text, F.lit(PHONE)).alias("phones"), F.regexp_count(text, F.lit(CARD)).alias("cards"))
 
 
 def without_metric_lines(text: Column, markers: Sequence[str], fallback: str) -> Column:

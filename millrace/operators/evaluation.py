@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, text
 from . import numbering
 
 #: The classes in their order, and those that are indexed.
@@ -116,6 +116,59 @@ def ceiling_note(rows: DataFrame, *, search: str, scenario: str, expected: Seque
     return total.select(F.lit(capacity).alias("capacity"), F.coalesce("mean", F.lit(0.0)).alias("mean_unique"), F.sort_array(never).alias("never_found"), needed.alias("needed"))
 
 
+def lexicon_classes(rows: DataFrame, noise: DataFrame, churn: DataFrame, *, content: str, fallback: str, phrase: str = "phrase") -> DataFrame:
+    """Adds rule_class and rule_reason: a text whose key is a phrase of churn, also if it is one of noise, then of noise alone;
+    any other keeps the class in `fallback`, and one outside of the classes raises. Phrases are joined by their keys, each once."""
+    lists = [df.select(text.lexicon_key(F.col(phrase)).alias(f"_{name}_key")).distinct().withColumn(f"_{name}", F.lit(True)) for name, df in (("churn", churn), ("noise", noise))]
+    keyed = rows.withColumn("_key", text.lexicon_key(F.col(content)))
+    for listed in lists:
+        keyed = keyed.join(listed, F.col("_key") == F.col(listed.columns[0]), "left")
+    outside = F.raise_error(F.concat(F.lit("class outside of the classes: "), F.coalesce(F.col(fallback), F.lit("null")))).cast("string")
+    kept = F.when(F.col(fallback).isin(*CLASSES), F.col(fallback)).otherwise(outside)
+    found = F.when(F.col("_churn"), F.lit("churn_signal")).when(F.col("_noise"), F.lit("noise"))
+    reason = F.when(F.col("_churn"), "lexicon_churn").when(F.col("_noise"), "lexicon_noise").otherwise("keep_generator")
+    return keyed.withColumns({"rule_class": F.coalesce(found, kept), "rule_reason": reason}).select(*rows.columns, "rule_class", "rule_reason")
+
+
+def stratified(rows: DataFrame, holdout: DataFrame, *, id_col: str, content: str, label: str, per_class: int, seed: str, classes: Sequence[str] = CLASSES, held: str = "text") -> tuple[DataFrame, DataFrame]:
+    """An equal share of each class: (class, id, rank from 1), and (class, shortfall) of those with fewer rows.
+
+    Texts that have a key on the holdout are out, equal keys of a class count once, by the smallest id, and ranks go by
+    the SHA-256 of seed and id. Keys travel as hashes.
+    """
+    key = lambda c: F.sha2(text.lexicon_key(F.col(c)).cast("binary"), 256).alias("_key")
+    known = rows.where(F.col(label).isin(*classes)).select(F.col(label).alias("class"), F.col(id_col).alias("id"), key(content)).where(F.col("_key").isNotNull())
+    left = known.join(holdout.select(key(held)).distinct(), "_key", "left_anti").groupBy("class", "_key").agg(F.min("id").alias("id"))
+    order = F.sha2(F.concat(F.lit(f"{seed}\n"), F.col("id").cast("string")).cast("binary"), 256)
+    ranked = left.select("class", "id", F.row_number().over(Window.partitionBy("class").orderBy(order, "id")).alias("rank")).where(F.col("rank") <= per_class)
+    all_ = rows.sparkSession.createDataFrame([(c,) for c in classes], "class string")
+    counted = all_.join(ranked.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class", "left")
+    short = counted.select("class", (F.lit(per_class) - F.coalesce("n", F.lit(0))).cast("int").alias("shortfall")).where("shortfall > 0")
+    return ranked, short
+
+
+def with_cost(rows: DataFrame, prices: DataFrame, *, out: str = "cost") -> DataFrame:
+    """Adds what a call costs by its provider, model, prompt_tokens and completion_tokens; null for a model without prices.
+    `prices` has provider, model, input and output, for a million tokens each; a price list, of one row a model."""
+    listed = prices.select(F.col("provider").alias("_provider"), F.col("model").alias("_model"), F.col("input").alias("_in"), F.col("output").alias("_out"))
+    joined = rows.join(listed, (F.col("provider") == F.col("_provider")) & (F.col("model") == F.col("_model")), "left")
+    return joined.withColumn(out, rules.cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("_in"), F.col("_out"))).select(*rows.columns, out)
+
+
+def model_report(rows: DataFrame, key: str = "model") -> DataFrame:
+    """Per model: results, whole mean latency and mean sources (two digits, none counting as 0), skipped, and of the others
+    errors and false flags. Rows have latency_ms, source_count, error, skipped and flags."""
+    failed, skipped = F.size(rules.failed_flags(F.col("flags"))), F.coalesce("skipped", F.lit(False))
+    return rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.floor(F.avg("latency_ms")).cast("long").alias("avg_latency"),
+        F.bround(F.avg(F.coalesce("source_count", F.lit(0))), 2).alias("avg_sources"),
+        F.count_if((F.coalesce("error", F.lit("")) != "") & ~skipped).alias("errors"),
+        F.count_if(skipped).alias("skipped"),
+        F.sum(F.when(skipped, 0).otherwise(F.greatest(F.coalesce(failed, F.lit(0)), F.lit(0)))).cast("long").alias("failed_flags"),
+    )
+
+
 def scenario_summary(rows: DataFrame, key: str) -> DataFrame:
     """Per scenario: count, rows without sources, errors, skipped, false flags."""
     failed = F.size(rules.failed_flags(F.col("flags")))

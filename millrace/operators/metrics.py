@@ -25,6 +25,30 @@ def class_scores(rows: DataFrame, gold: str, predicted: str, classes: Sequence[o
     return scored.withColumn("macro_f1", F.avg("f1").over(Window.partitionBy()))  # as many rows as classes
 
 
+def confusion(rows: DataFrame, gold: str, predicted: str, classes: Sequence[str]) -> DataFrame:
+    """gold, predicted, n for each pair of classes, and for each class what wasn't parsed (null); empty pairs are 0. A gold
+    class outside of `classes` raises; another prediction is in no cell."""
+    outside = F.raise_error(F.concat(F.lit("gold class outside of the classes: "), F.coalesce(F.col(gold).cast("string"), F.lit("null")))).cast("boolean")
+    known = rows.where(F.when(F.col(gold).isin(*classes), F.lit(True)).otherwise(outside))
+    cells = [(g, p) for g in classes for p in (*classes, None)]
+    counts = [F.count_if((F.col(gold) == g) & (F.col(predicted).isNull() if p is None else F.col(predicted) == p)) for g, p in cells]
+    table = F.array(*(F.struct(F.lit(g).alias("gold"), F.lit("unparsed" if p is None else p).alias("predicted"), n.alias("n")) for (g, p), n in zip(cells, counts, strict=True)))
+    return known.agg(table.alias("cells")).select(F.inline("cells"))
+
+
+def split_score(rows: DataFrame, gold: str, predicted: str, classes: Sequence[str]) -> DataFrame:
+    """One row: rows, unparsed, accuracy (0 of no rows) and macro_f1 over all classes."""
+    by_class = class_scores(rows, gold, predicted, classes).agg(F.first("macro_f1").alias("macro_f1"))
+    counted = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(predicted).isNull()).alias("unparsed"), F.count_if(F.col(gold) == F.col(predicted)).alias("_right"))
+    return counted.withColumn("accuracy", ratio(F.col("_right"), F.col("rows"))).drop("_right").join(F.broadcast(by_class))  # one row and one row
+
+
+def mean(rows: DataFrame, metric: str) -> DataFrame:
+    """The mean of a metric; no rows, or none with a value, raise."""
+    empty = F.raise_error(F.lit(f"no values of {metric}")).cast("double")
+    return rows.agg(F.when(F.count(metric) == 0, empty).otherwise(F.avg(metric)).alias(f"mean_{metric}"))
+
+
 def agreement(rows: DataFrame, gold: str, rule: str, model: str) -> DataFrame:
     by_rule, by_model = F.col(rule) == F.col(gold), F.col(model) == F.col(gold)
     return rows.agg(F.count_if(by_rule & by_model).alias("both"), F.count_if(by_rule & ~by_model).alias("rules_only"), F.count_if(~by_rule & by_model).alias("model_only"), F.count_if(~by_rule & ~by_model).alias("neither"))
