@@ -242,9 +242,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     repeated = groups.where(is_first).groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, hashed])).drop(hashed)
 
-
-def text_groups(docs: DataFrame, text_col: str = "text", **limits: int) -> DataFrame:
-    """text_hash (xxhash64 of the text) and unit, one number for all texts of a near-duplicate group: one row a text."""
-    texts = docs.select(F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("t"))
-    prints = checkpointed(with_fingerprint(texts, "t").select("text_hash", "fp").distinct())
-    return _with_first(prints, F.min("text_hash"), **limits).select("text_hash", F.col("first").alias("unit"))

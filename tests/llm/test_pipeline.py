@@ -23,11 +23,16 @@ def brute_stages(spark):
     yield rows
     con = duckdb.connect()
     con.register("documents", pd.DataFrame({"doc_id": list(rows), "text": list(rows.values())}))
-    of = brute_components({k: brute_fingerprint(t) for k, t in rows.items()})
-    con.register("unit", pd.DataFrame({"text": [t or "" for t in rows.values()], "unit": [of[k] for k in rows]}).drop_duplicates("text"))
-    con.execute("set variable units = (select map(list(text), list(unit)) from unit)")
-    cleaned = queries.ORACLE_SQL["op8_line_templates"].replace("sha256(t) as text_sha256", "t").replace("count(distinct text)", "count(distinct getvariable('units')[text])")
-    assert cleaned.count("getvariable") == 3  # near copies count as one document
+    cleaned = queries.ORACLE_SQL["op8_line_templates"].replace("sha256(t) as text_sha256", "t")
+    # near copies count as one document: what recurs is counted again by units
+    counted = """recurring as (select leaf, template from templated join shared using (leaf, template) left join units using (text) group by all having count(distinct coalesce(unit, text)) >= 8),
+        dropped as"""
+    units = """shared as (select leaf, template from templated group by all having count(distinct text) >= 8),
+        held as (select distinct t.text, t.pos, strlen(replace(p.s, ' ', '')) as size, md5(array_to_string(t.tokens, ' ')) as mark from templated t join shared using (leaf, template) join parsed p using (doc_id, pos)),
+        units as (select text, min(mark) as unit from held group by text having sum(size) >= 0.8 * strlen(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]', '', 'g'))),
+        """
+    cleaned = cleaned.replace("n.leaf, g.template from near n", "n.leaf, n.tokens, g.template from near n").replace("recurring as (select leaf, template from templated group by all having count(distinct text) >= 8),\n        dropped as", units + counted)
+    assert "units using" in cleaned and "n.tokens" in cleaned
     rows = {k: t for k, t in con.sql(f"select doc_id, t from ({cleaned})").fetchall()}
     yield rows
     of = brute_components({k: brute_fingerprint(t) for k, t in rows.items()})
