@@ -27,10 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, however short; every document stays.
 
-    Texts of one near-duplicate group count as one document: of these the next stage keeps one, which must be whole.
+    Near copies, of which the next stage keeps one that must be whole, count as one document.
     """
-    units = checkpointed(simhash.text_groups(docs))
-    return line_dedup.dedup_lines(docs, dropped_col="_dropped", min_tokens=1, units=units).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return line_dedup.dedup_lines(docs, dropped_col="_dropped", min_tokens=1, copies=0.8).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
