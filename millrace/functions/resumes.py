@@ -1,11 +1,16 @@
-"""Résumés cut into sections and parts, and prompts put together from sources. All of it is Column code."""
+"""Résumés cut into sections and parts, and prompts put together from sources. Column code, but for the
+pages that sections begin on."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import text
 
@@ -37,6 +42,19 @@ def organization(section: Column) -> Column:
     return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
 
 
+@pandas_udf(ArrayType(IntegerType()))
+def _pages_of(sizes: pd.Series, lengths: pd.Series) -> pd.Series:
+    """The page (from 1) that each piece begins on: where it begins, by running sums, looked up among the pages' beginnings."""
+    out = []
+    for of_pages, of_pieces in zip(sizes, lengths, strict=True):
+        if of_pages is None or of_pieces is None:
+            out.append(None)
+            continue
+        pages, pieces = np.asarray(of_pages, np.int64), np.asarray(of_pieces, np.int64)
+        out.append(np.searchsorted(pages.cumsum() - pages, pieces.cumsum() - pieces, side="right").astype(np.int32))
+    return pd.Series(out, dtype=object)
+
+
 def sections(pages: Column) -> Column:
     """Array of struct(kind, content, organization, page) of a résumé's pages, or null where these aren't one.
 
@@ -44,25 +62,22 @@ def sections(pages: Column) -> Column:
     profile. A section's page is the one that it begins on.
     """
     clean = F.transform(pages, lambda p: text.strip(F.translate(F.coalesce(p, F.lit("")), "\u00a0\u202f", "  ")))
-    cut = lambda whole: F.split(whole, rf"(?iumU)(?={JOB_DATES})(?<!\w)|(?={HEADINGS})(?<![^\n])")
-    sizes = F.transform(clean, lambda p: F.length(p) + 1)
-
-    def described(pieces: Column) -> Column:
-        def one(piece: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, x: s + F.length(x))
-            page = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, 1, k - 1), F.lit(0), lambda s, x: s + x)), lambda start: start <= before))
-            head = F.lower(F.regexp_extract(piece, r"^([^\n]*)", 1))
-            kind = F.when(F.regexp_like(piece, F.lit(rf"(?iuU)^{JOB_DATES}")), "employment")
-            for word, name in KINDS.items():
-                kind = kind.when(head.startswith(word), name)
-            kind = F.when(i == 0, F.coalesce(kind, F.lit("profile"))).otherwise(F.coalesce(kind, F.lit("other")))
-            body = text.strip(piece)
-            return F.struct(kind.alias("kind"), body.alias("content"), F.when(kind == "employment", organization(body)).otherwise("").alias("organization"), page.alias("page"))
-
-        return F.filter(F.transform(pieces, one), lambda s: s["content"] != "")
-
     whole = F.array_join(clean, "\n")
-    return F.when(is_resume(whole), F.transform(F.array(cut(whole)), described)[0])
+    pieces = F.split(whole, rf"(?iumU)(?={JOB_DATES})(?<!\w)|(?={HEADINGS})(?<![^\n])")
+    numbers = _pages_of(F.transform(clean, lambda p: F.length(p) + 1), F.transform(pieces, F.length))
+
+    def one(z: Column, i: Column) -> Column:
+        piece = z["piece"]
+        head = F.lower(F.regexp_extract(piece, r"^([^\n]*)", 1))
+        kind = F.when(F.regexp_like(piece, F.lit(rf"(?iuU)^{JOB_DATES}")), "employment")
+        for word, name in KINDS.items():
+            kind = kind.when(head.startswith(word), name)
+        kind = F.when(i == 0, F.coalesce(kind, F.lit("profile"))).otherwise(F.coalesce(kind, F.lit("other")))
+        body = text.strip(piece)
+        return F.struct(kind.alias("kind"), body.alias("content"), F.when(kind == "employment", organization(body)).otherwise("").alias("organization"), z["page"].alias("page"))
+
+    described = F.transform(F.arrays_zip(pieces.alias("piece"), numbers.alias("page")), one)
+    return F.when(is_resume(whole), F.filter(described, lambda s: s["content"] != ""))
 
 
 def anchor(content: Column, employer: Column) -> Column:

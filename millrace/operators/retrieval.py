@@ -29,6 +29,13 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, *, id_col: str, ve
     return kept.withColumn("score", cosine(F.col(vector_col), query)).orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 
+def scroll(vectors: DataFrame, limit: int, *, id_col: str, where: Column | None = None, after: object = None) -> DataFrame:
+    """Rows that fit the filter, without a vector to compare: the first `limit` by id, or those after an id, with a null score."""
+    kept = vectors if where is None else vectors.where(where)
+    kept = kept if after is None else kept.where(F.col(id_col) > F.lit(after))
+    return kept.withColumn("score", F.lit(None).cast("double")).orderBy(id_col).limit(limit)
+
+
 def above_threshold(rows: DataFrame, threshold: float | None, score: str = "score") -> DataFrame:
     """Null threshold keeps all rows; otherwise the bound is inclusive and null scores go."""
     return rows if threshold is None else rows.where(F.col(score) >= threshold)

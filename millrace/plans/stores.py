@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cells, retrieval
 from ..operators.lineage import shared_folder
-from ..sources import ingest, sinks, store, tables
+from ..sources import archives, ingest, sinks, store, tables
+from . import catalogue
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +68,32 @@ def csv_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("source", F.col("c.names").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c.cells").alias("n_distinct"), F.min("c.cells").alias("least"), F.max("c.cells").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (stored_upsert, ingested_documents, summaries_upserted, csv_by_header)}
+def vector_topk_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ten rows as of a search through all vectors, from cells read in the order of their bounds."""
+    path = shared_folder(spark, "cells")
+    cells.build(_read(spark, sf_dir, "embeddings"), path, id_col="vec_id", cells=16)
+    found = cells.search(spark, path, catalogue.QUERY_VECTOR, 10, id_col="vec_id", where=F.col("label") != 4)
+    return found.rows.select("vec_id", "label", F.round("score", 4).alias("score"))
+
+
+def scroll_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of 40 rows with certain labels, by id."""
+    rows, where = _read(spark, sf_dir, "embeddings"), retrieval.payload_filter(among={"label": [1, 3, 5]})
+    first = retrieval.scroll(rows, 40, id_col="vec_id", where=where)
+    return retrieval.scroll(rows, 40, id_col="vec_id", where=where, after=first.agg(F.max("vec_id")).first()[0]).select("vec_id", "label", "score")
+
+
+def archived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as members of archives, with names that repeat, and read back from these."""
+    folder = shared_folder(spark, "archives")
+    docs = _read(spark, sf_dir, "documents")
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang")), F.lit("/"), (F.col("doc_id") % 20).cast("string"), F.lit(".md"))
+    archives.write_archives(docs.select(F.col("doc_id").alias("path"), name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), folder)
+    members = archives.read_archives(spark, folder)
+    return members.select("name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (stored_upsert, ingested_documents, summaries_upserted, csv_by_header, vector_topk_by_cells, scroll_filtered, archived_documents)}
 _CSV = " union all ".join(
     f"select '{table}' as source, '{name}' as name, count(*) as n, count(distinct {name}) as n_distinct, min({name}::varchar) as least, max({name}::varchar) as most from {table}"
     for table, names in (("nation", ("n_nationkey", "n_name", "n_regionkey")), ("supplier", ("s_suppkey", "s_name", "s_nationkey")))
@@ -97,4 +124,10 @@ ORACLE_SQL = {
         select conv_id, n as messages, tokens::bigint as tokens, summary, due as reason from whole where due is not null
         union all select conv_id, n, tokens::bigint, summary, due from half where due is not null and conv_id not in (select conv_id from whole where due is not null)""",
     "csv_by_header": _CSV,
+    "vector_topk_by_cells": catalogue.ORACLE_SQL["vector_topk"].replace("from embeddings", "from embeddings where label <> 4"),
+    "scroll_filtered": "select vec_id, label, null::double as score from embeddings where label in (1, 3, 5) order by vec_id limit 40 offset 40",
+    "archived_documents": """
+        with d as (select doc_id, case when doc_id % 2 = 0 then upper(lang) else lang end || '/' || (doc_id % 20) as stem, coalesce(text, '') as text from documents),
+        n as (select *, row_number() over (partition by lower(stem) order by doc_id) as n from d)
+        select stem || case when n > 1 then '-' || n else '' end || '.md' as name, strlen(text)::bigint as size, sha256(text) as sha256 from n""",
 }

@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import resumes, text
 from ..operators import numbering, retrieval
-from . import tables
+from . import tables, xls
 
 DOCUMENT = ["path", "source_type", "title", "content", "features", "metadata"]
 DOCUMENT_SCHEMA = "path string, source_type string, title string, content string, features array<string>, metadata map<string,string>"
 #: A folder, or the paths of files.
 Where = str | list[str]
+SHEET_ROW = "sheet string, at int, names array<string>, cells array<string>"
 METHODS = ["get", "put", "post", "delete", "patch", "head", "options", "trace"]
 
 
@@ -48,7 +49,7 @@ def _texts(spark: SparkSession, folder: Where, glob: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, folder: Where, glob: str, parse: Callable[[bytes], Iterable[tuple]], fields: str) -> DataFrame:
-    """Rows of `parse` for each binary file; a file that can't be read, whatever the reason, is one row whose `error` says why."""
+    """Rows of `parse` for each binary file that isn't empty; a file that can't be read, whatever the reason, is one row whose `error` says why."""
     names = [f.split()[0] for f in fields.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,12 +197,30 @@ def _sheet_rows(content: bytes) -> Iterator[tuple]:
                     header = cells
 
 
+def _old_sheet_rows(content: bytes) -> Iterator[tuple]:
+    for name, rows in xls.sheets(content):
+        header: dict[int, str] = {}
+        for at in sorted(rows):
+            if header:
+                yield name, at + 1, [header.get(c, str(c + 1)) for c in sorted(rows[at])], [rows[at][c] for c in sorted(rows[at])]
+            else:
+                header = rows[at]
+
+
+def xls_rows(spark: SparkSession, folder: Where) -> DataFrame:
+    """The same of old workbooks, as `xlsx_rows`."""
+    return _row_documents(_parsed(spark, folder, "*.xls", _old_sheet_rows, SHEET_ROW), "xls")
+
+
 def xlsx_rows(spark: SparkSession, folder: Where) -> DataFrame:
     """One document for each row under a sheet's header; the row's number in the sheet is in the metadata."""
-    rows = _parsed(spark, folder, "*.xlsx", _sheet_rows, "sheet string, at int, names array<string>, cells array<string>")
+    return _row_documents(_parsed(spark, folder, "*.xlsx", _sheet_rows, SHEET_ROW), "xlsx")
+
+
+def _row_documents(rows: DataFrame, kind: str) -> DataFrame:
     lines = F.filter(F.zip_with("names", "cells", lambda n, c: F.when(text.strip(c) != "", F.concat(n, F.lit(": "), c))), lambda x: x.isNotNull())
     title = F.concat(_stem(F.col("path")), F.lit(" / "), F.col("sheet"))
-    return _document(rows, "xlsx", title, F.array_join(lines, "\n"), F.create_map(F.lit("sheet"), F.col("sheet"), F.lit("excel_row_number"), F.col("at").cast("string")))
+    return _document(rows, kind, title, F.array_join(lines, "\n"), F.create_map(F.lit("sheet"), F.col("sheet"), F.lit("excel_row_number"), F.col("at").cast("string")))
 
 
 def _charts(content: bytes) -> Iterator[tuple]:
@@ -224,6 +243,20 @@ def recognised(spark: SparkSession, folder: str, glob: str, reader: Callable[[by
     return _document(rows, kind, text.markdown_title(F.lit(""), _stem(F.col("path"))), F.col("found"), F.create_map(F.lit("part"), F.col("part").cast("string")))
 
 
+def paged(spark: SparkSession, folder: Where, glob: str, reader: Callable[[bytes], Iterable[str]], kind: str = "pdf") -> DataFrame:
+    """One document for each page with text that `reader` finds in a file, or for each section where the pages are a résumé's;
+    with section_kind (page for a page), organization and page_number in the metadata."""
+    rows = _parsed(spark, folder, glob, lambda content: enumerate(reader(content)), "part int, found string")
+    read = F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("part", "found"))))  # the pages of one file
+    files = rows.groupBy("path").agg(F.max("error").alias("error"), F.transform(read, lambda p: p["found"]).alias("pages"))
+    page = F.transform("pages", lambda p, i: F.struct(F.lit("page").alias("kind"), F.coalesce(p, F.lit("")).alias("content"), F.lit("").alias("organization"), (i + 1).alias("page")))
+    cut = files.select("path", "error", F.explode_outer(F.coalesce(resumes.sections(F.col("pages")), page)).alias("s"))
+    facts = F.create_map(F.lit("section_kind"), F.col("s.kind"), F.lit("organization"), F.col("s.organization"), F.lit("page_number"), F.col("s.page").cast("string"))
+    stem = text.markdown_title(F.lit(""), _stem(F.col("path")))
+    title = F.when(F.col("s.kind") == "page", stem).otherwise(F.concat_ws(" - ", stem, F.coalesce(F.nullif(F.col("s.organization"), F.lit("")), "s.kind")))
+    return _document(cut, kind, title, F.col("s.content"), F.map_filter(facts, lambda k, v: v.isNotNull() & (v != "")))
+
+
 def paragraph_windows(docs: DataFrame, *, size: int = 8, step: int = 6) -> DataFrame:
     """Overlapping windows over the paragraphs of `docx`, with their first and last paragraph; documents like the others."""
     paragraphs = docs.where(F.try_element_at("metadata", F.lit("kind")) == "paragraph").select("path", F.element_at("metadata", "place").cast("int").alias("place"), "content")
@@ -237,7 +270,7 @@ def paragraph_windows(docs: DataFrame, *, size: int = 8, step: int = 6) -> DataF
 
 def documents(spark: SparkSession, where: Where, readers: Mapping[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
     """All documents of a folder, or of files, by all readers in their order."""
-    readers = readers or {"markdown": markdown, "text": plain, "json": json_files, "csv": csv_rows, "openapi": openapi, "docx": docx, "xlsx": xlsx_rows, "charts": xlsx_charts}
+    readers = readers or {"markdown": markdown, "text": plain, "json": json_files, "csv": csv_rows, "openapi": openapi, "docx": docx, "xlsx": xlsx_rows, "xls": xls_rows, "charts": xlsx_charts}
     docs = reduce(DataFrame.unionByName, (read(spark, where) for read in readers.values()))
     return docs.withColumn("path", tables.uri(F.col("path")))
 
@@ -251,8 +284,12 @@ def corpus(spark: SparkSession, folder: str, readers: Mapping[str, Callable[[Spa
 
 
 def ingested(docs: DataFrame, *, size: int = 1800, overlap: int = 200) -> DataFrame:
-    """A corpus as chunks with ids, ready for a table of vectors: chunk_id, point_id, and the document's columns."""
-    cut = docs.withColumn("_c", F.explode(text.chunks(F.col("content"), size, overlap)))
+    """A corpus as chunks with ids, ready for a table of vectors: chunk_id, point_id, and the document's columns.
+
+    Sections of a résumé are cut in parts of their own, which repeat a job's employer and technologies."""
+    kind = F.try_element_at("metadata", F.lit("section_kind"))
+    parts = F.transform(resumes.parts(F.col("content"), kind, F.coalesce(F.try_element_at("metadata", F.lit("organization")), F.lit(""))), lambda c, i: F.struct(i.alias("chunk_index"), c.alias("chunk")))
+    cut = docs.withColumn("_c", F.explode(F.when(kind != "page", parts).otherwise(text.chunks(F.col("content"), size, overlap))))
     chunk_id = F.concat_ws(":", "path", F.lit("chunk"), F.col("_c.chunk_index").cast("string"))
     return cut.select(chunk_id.alias("chunk_id"), text.uuid5(F.concat_ws(":", "tenant_id", "bucket_id", chunk_id)).alias("point_id"), "path", "tenant_id", "bucket_id", "source_type", "title", F.col("_c.chunk").alias("content"), "features", "metadata")
 
