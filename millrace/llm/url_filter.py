@@ -76,10 +76,15 @@ def vocabulary_hits(weights: Mapping[str, float]) -> Column:
 
 
 def judge_urls(urls: DataFrame, url_col: str = "url", *, rules: Sequence[tuple[str, str, str]] = RULES, weights: Mapping[str, float] | None = None, most: float = 2) -> DataFrame:
-    """The rows, all columns, with host, path, rule, term_hits, term_weight and verdict (allow or block)."""
+    """The rows with host, path, rule, term_hits, term_weight and verdict (allow or block); other columns are kept, and those
+    with the names of these results replaced."""
     host, path = host_and_path(F.col(url_col))
     hits = vocabulary_hits(weights or vocabulary()).asNondeterministic()
-    split = urls.withColumn("_url", F.struct(host.alias("host"), path.alias("path"))).withColumn("_hits", hits(F.col(url_col)))
-    rule, ruled = longest_rule(F.col("_url.host"), F.col("_url.path"), rules)
-    own = F.when(F.col("_hits.weight") >= most, "block").otherwise("allow")
-    return split.withColumns({"host": F.col("_url.host"), "path": F.col("_url.path"), "rule": rule, "term_hits": F.col("_hits.terms"), "term_weight": F.col("_hits.weight"), "verdict": F.coalesce(ruled, own)}).drop("_url", "_hits")
+    made = "_judged"
+    while made in urls.columns:
+        made = f"_{made}"
+    split = urls.withColumn(made, F.struct(host.alias("host"), path.alias("path"), hits(F.col(url_col)).alias("hits")))
+    rule, ruled = longest_rule(F.col(f"{made}.host"), F.col(f"{made}.path"), rules)
+    own = F.when(F.col(f"{made}.hits.weight") >= most, "block").otherwise("allow")
+    results = {"host": F.col(f"{made}.host"), "path": F.col(f"{made}.path"), "rule": rule, "term_hits": F.col(f"{made}.hits.terms"), "term_weight": F.col(f"{made}.hits.weight"), "verdict": F.coalesce(ruled, own)}
+    return split.withColumns(results).drop(made)

@@ -48,11 +48,12 @@ def without_places(items: Column, drop: Column) -> Column:
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, split: int) -> DataFrame:
     """Adds `out`, the row's place from 0 in its group, without holding a group in one task.
 
-    Each group is cut by a hash of the order columns into `split` parts; a part's rows are numbered by a window, and the
+    Each group is cut by a hash of the order columns, and of a tag for rows that are equal in all of them, into `split` parts; a part's rows are numbered by a window, and the
     parts before it are added as an offset from a table of `split` counts per group.
     """
     part = f"_{out}_part"
-    cut = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(split)))
+    # written down with the tag, which a second reading could give otherwise
+    cut = checkpointed(df.withColumn(part, F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.lit(split))))
     counts = cut.groupBy(*group, part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

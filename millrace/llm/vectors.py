@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -48,14 +49,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, dims: int) -> Iterato
             yield part, *matrix_of(part.column(column), dims)
 
 
-def tree_sum(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Any]) -> Any:
-    """Adds up what `partial` makes of each partition (things with +), by treeAggregate; None of an empty table."""
+def tree_sum(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Any], plus: Callable[[Any, Any], Any] = operator.add) -> Any:
+    """Adds up what `partial` makes of each partition, by treeAggregate; None of an empty table."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = partial(batches)
         yield pa.RecordBatch.from_pydict({"made": pa.array([] if made is None else [pickle.dumps(made)], pa.binary())})
 
     def add(a: Any, b: Any) -> Any:
-        return b if a is None else a if b is None else a + b
+        return b if a is None else a if b is None else plus(a, b)
 
     return rows.mapInArrow(one, "made binary").rdd.map(lambda row: pickle.loads(row[0])).treeAggregate(None, add, add)

@@ -433,6 +433,8 @@ def test_urls(spark):
     got = {r["page_id"]: (r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(d).collect()}
     assert got == dict(enumerate(cases))
     assert url_filter.judge_urls(d.limit(0)).count() == 0
+    named = url_filter.judge_urls(d.selectExpr("*", "7 as _url", "8 as _hits", "9 as host"))
+    assert {(r["_url"], r["_hits"]) for r in named.collect()} == {(7, 8)} and {r["host"] for r in named.collect()} == {c[1] for c in cases}
     long = "http://x.org/" + "free-" * 200_000
     rows = url_filter.judge_urls(spark.createDataFrame([(1, long), (1, long), (2, long + "bets")], "page_id long, url string")).collect()
     assert sorted(r["verdict"] for r in rows) == ["allow", "allow", "block"]
@@ -516,6 +518,45 @@ def test_passages_among_edits_repeats_and_common_lines(spark):
     assert sorted(map(repr, again)) == sorted(map(repr, found))
 
 
+@pytest.mark.parametrize(("share", "least"), [(0.1, 0.99), (0.15, 0.95), (0.18, 0.9)])
+def test_recall_of_edited_passages(spark, share, least):
+    """Passages of 60 to 120 words with words replaced, dropped and put in; those that stay similar enough are found."""
+    random = np.random.default_rng(int(share * 100))
+    prose = lambda n: [f"w{i}" for i in random.integers(0, 20_000, n)]
+    texts, similar = {}, set()
+    for i in range(300):
+        passage = prose(int(random.integers(60, 120)))
+        edited, kept = [], 0
+        for w in passage:
+            kind = random.random()
+            if kind >= share:
+                edited.append(w)
+                kept += 1
+            elif kind < share * 0.6:
+                edited.append("other")
+            elif kind > share * 0.8:
+                edited += [w, "more"]
+                kept += 1
+        texts[2 * i + 1], texts[2 * i + 2] = prose(60) + passage + prose(60), prose(50) + edited + prose(70)
+        if kept / max(len(passage), len(edited)) >= 0.8:
+            similar.add((2 * i + 1, 2 * i + 2))
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    found = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring.passages(d).collect()}
+    recall = len(found & similar) / len(similar)
+    print(f"recall of passages with {share:.0%} of words changed: {recall:.3f} of {len(similar)}")
+    assert recall >= least and all(b == a + 1 and a % 2 for a, b in found)
+
+
+@pytest.mark.parametrize("limits", [{"bucket_rows": 5}, {"filter_bits": 4}, {"bucket_rows": 3, "hot_rows": 0, "filter_bits": 20}])
+def test_buckets_and_filters_change_nothing(spark, docs, limits):
+    rows = lambda frame: sorted(map(repr, frame.collect()))
+    plain, dealt = rows(substring.passages(docs)), rows(substring.passages(docs, **limits))
+    if "bucket_rows" not in limits:
+        assert dealt == plain
+    covered = lambda found: {eval(r.replace("Row(", "dict("))["doc_id"] for r in found}  # noqa: E731, S307
+    assert covered(plain) == covered(dealt) and plain
+
+
 def test_passages_of_the_table(spark, docs):
     """Every run of 60 words that two documents share is inside a reported passage of both."""
     texts = {r["doc_id"]: substring.words((r["text"] or "").encode()) for r in docs.collect()}
@@ -640,7 +681,8 @@ def test_exact_edges(spark, edge):
     assert len(rows) == 9 and sum(r["kept"] for r in rows) == 5
     twice = exact_dedup.exact_groups(edge.where("doc_id = 4"), keep="min").collect()
     assert [r["kept"] for r in twice].count(True) == 1
-    assert rows[0]["text_sha256"] in {hashlib.sha256(x).hexdigest() for x in (b"", b" \n\t")} or rows
+    low = {r["doc_id"]: hashlib.sha256(lowered(r["text"]).encode()).hexdigest() for r in edge.collect()}
+    assert {(r["doc_id"], r["text_sha256"]) for r in rows} == set(low.items())
     assert exact_dedup.exact_groups(edge.limit(0)).count() == 0
 
 
