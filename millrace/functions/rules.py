@@ -13,6 +13,9 @@ from . import arrays, text
 
 # --- fixed values: words and names that the rules are made of
 
+#: What a rewritten question says before the topic, the summary and the features of the conversation so far.
+TOPIC_BEFORE, SUMMARY_BEFORE, FEATURES_BEFORE = "Предыдущая тема: ", "Summary предыдущего диалога: ", "Ключевые features из предыдущего контекста: "
+
 #: Keywords of a question's features, in the order in which features are listed.
 FEATURES = {
     "notifications": ["notification", "notifications", "уведом", "slack", "telegram", "delivery", "доставк"],
@@ -55,7 +58,7 @@ INTENT_REQUIRED = {"metric": "metric_row", "visual_chart": "excel_chart", "visua
 INTENT_THRESHOLDS = {"metric": 0.60, "technical_root_cause": 0.60, "visual_chart": 0.55, "visual_image": 0.55}
 INVENTORY_MARKERS = ["какие файл", "какой файл", "список файл", "что за файл", "доступные файл", "какие документ", "доступные документ", "что доступно"]
 HEADER_MARKERS = ["организац", "дата", "документ", "реквизит", "компан", "company", "document"]
-EXCEL_STOP = "xls xlsx excel hard_for_analis известно город срок годности объем объём цену цена кегу какой какая какие какую что про написано изображено картинке картинка продукта продукт указано алкоголь плотность".split()
+EXCEL_STOP = ["xls", "xlsx", "excel", "hard_for_analis", "известно", "город", "срок", "годности", "объем", "объём", "цену", "цена", "кегу", "какой", "какая", "какие", "какую", "что", "про", "написано", "изображено", "картинке", "картинка", "продукта", "продукт", "указано", "алкоголь", "плотность"]
 DOCX_STOP = ["docx", "document", "документ"]
 EXCEL_TERM, DOCX_TERM = r"[A-Za-zА-Яа-яЁё_#][A-Za-zА-Яа-яЁё0-9_#.-]{2,}|\b\d+(?:[,.]\d+)?\b", r"[A-Za-zА-Яа-я_#][A-Za-zА-Яа-я0-9_#.-]{2,}|\b\d{2,}\b"
 FILE_EXTENSIONS = "jpg|jpeg|png|gif|webp|bmp|pdf|docx|doc|xlsx|xls|txt|md|csv"

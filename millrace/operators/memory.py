@@ -51,9 +51,9 @@ def rewritten(messages: DataFrame, history: DataFrame, summaries: DataFrame, *,
     parts = F.concat_ws(
         " ",
         F.col(message),
-        text.strip(F.concat(F.lit("Предыдущая тема: "), last_two)),
-        F.when(by_summary & (F.col("_summary") != ""), F.concat(F.lit("Summary предыдущего диалога: "), F.col("_summary"))),
-        F.when(F.size("_effective") > 0, F.concat(F.lit("Ключевые features из предыдущего контекста: "), F.array_join("_effective", ", "), F.lit("."))),
+        text.strip(F.concat(F.lit(rules.TOPIC_BEFORE), last_two)),
+        F.when(by_summary & (F.col("_summary") != ""), F.concat(F.lit(rules.SUMMARY_BEFORE), F.col("_summary"))),
+        F.when(F.size("_effective") > 0, F.concat(F.lit(rules.FEATURES_BEFORE), F.array_join("_effective", ", "), F.lit("."))),
     )
     rewrite = F.col("mode") == "follow_up_rewrite"
     switched = rules.topic_query(F.col(message))

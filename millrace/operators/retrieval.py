@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.arrays import cosine, joint_caps
+from . import numbering
 
 
 def payload_filter(equal: dict[str, object] | None = None, among: dict[str, Sequence[object]] | None = None, overlap: dict[str, Sequence[str]] | None = None, either: dict[str, Sequence[object]] | None = None) -> Column:
@@ -142,11 +143,13 @@ def exact_paragraphs(candidates: DataFrame, found: DataFrame, message: str, limi
 
 
 def reranked(rows: DataFrame, message: str, *, pos: str = "pos") -> DataFrame:
-    """Rows by rerank score, ties in the order they had; only documents' rows get a boost, others keep their score or 0."""
+    """Rows with their rerank score and rank by it, ties in the order they had, counted by ranges; only documents' rows get a
+    boost, others keep their score or 0."""
     docx = F.col("source_type") == "docx"
     boosted = rerank_score(F.col("score"), rules.docx_match_count(F.col("content"), rules.docx_terms(F.lit(message))), F.col("block_type") == "paragraph_window")
     scored = rows.withColumn("rerank", F.when(docx, boosted).otherwise(F.coalesce("score", F.lit(0.0))))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank"), pos)))  # the rows of one search
+    placed = numbering.numbered(scored.withColumn("_falling", -F.col("rerank")), ["_falling", pos], "rank")
+    return placed.withColumn("rank", F.col("rank") + 1).drop("_falling")
 
 
 def truncated(rows: DataFrame, limit: int, order: Sequence[str]) -> DataFrame:

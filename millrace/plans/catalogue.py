@@ -161,11 +161,11 @@ def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.mask_pii(F.col("text"))).alias("masked_md5"))
 
 
-@query("""select doc_id, '{"api_key": "***", "note": 1} X-Api-Key: ***, Authorization: Bearer *** bearer *** bearer short ' || left(text, 200) as redacted from documents""")
+@query("""select doc_id, '{"api_key": "***", "note": 1} X-Api-Key: ***, Authorization: Bearer *** bearer *** bearer short ' || text as redacted from documents""")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines with secrets of all four kinds before a text; what should be left is written in the SQL."""
     key = F.col("doc_id").cast("string")
-    line = F.concat(F.lit('{"api_key": "'), key, F.lit('\\"x", "note": 1} X-Api-Key: k'), key, F.lit(", Authorization: Bearer t."), key, F.lit(" bearer abcdefgh"), key, F.lit(" bearer short "), F.substring("text", 1, 200))
+    line = F.concat(F.lit('{"api_key": "'), key, F.lit('\\"x", "note": 1} X-Api-Key: k'), key, F.lit(", Authorization: Bearer t."), key, F.lit(" bearer abcdefgh"), key, F.lit(" bearer short "), F.col("text"))
     return _read(spark, sf_dir, "documents").select("doc_id", text.redact_secrets(line).alias("redacted"))
 
 

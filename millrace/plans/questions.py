@@ -198,12 +198,12 @@ def request_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with d as (select doc_id from documents where doc_id % 4 <> 1 and lang = 'en'), r as (select doc_id from labels where quality = 1), b as (select doc_id from labels where toxic = 1)
+    """with d as (select doc_id from documents where doc_id % 4 <> 1), r as (select doc_id from labels where quality = 1), b as (select doc_id from labels where toxic = 1)
     select 1 as kind, doc_id from d where doc_id in (select doc_id from r) union all select 2, doc_id from d where doc_id in (select doc_id from b) union all select 3, doc_id from d"""
 )
 def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in reach by request, by buckets, and without either."""
-    docs = _read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 4 == 1, "failed").otherwise("indexed").alias("status"))
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 4 == 1, "failed").otherwise("indexed").alias("status"))
     labels = _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "document_id")
     asked, boxed = labels.where("quality = 1"), labels.where("toxic = 1")
     cases = [(1, asked, boxed), (2, asked.limit(0), boxed), (3, asked.limit(0), boxed.limit(0))]
@@ -260,11 +260,11 @@ REASONS = [(" STOP ", "stop"), ("max_tokens", "length"), ("length", "length"), (
 
 
 @query(
-    f"select d.doc_id, kind, domain, reason, 'fb-v1-' || lpad(d.doc_id::varchar, 4, '0') as corpus_id, left(text, 120) as sliced, length(text) > 120 as truncated from documents d join {values([(i, *p) for i, p in enumerate(PATHS)], 'n, path, kind, domain')} on n = d.doc_id % {len(PATHS)} join {values([(i, r[1]) for i, r in enumerate(REASONS)], 'k, reason').replace(' v(', ' w(')} on k = d.doc_id % {len(REASONS)} where d.doc_id < 10000"
+    f"select d.doc_id, kind, domain, reason, 'fb-v1-' || format('{{:04d}}', d.doc_id) as corpus_id, left(text, 120) as sliced, length(text) > 120 as truncated from documents d join {values([(i, *p) for i, p in enumerate(PATHS)], 'n, path, kind, domain')} on n = d.doc_id % {len(PATHS)} join {values([(i, r[1]) for i, r in enumerate(REASONS)], 'k, reason').replace(' v(', ' w(')} on k = d.doc_id % {len(REASONS)}"
 )
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a file is by its path, finish reasons, corpus ids (of four digits) and slices."""
-    docs = _read(spark, sf_dir, "documents").where("doc_id < 10000")
+    """What a file is by its path, finish reasons, corpus ids (of four digits and more) and slices."""
+    docs = _read(spark, sf_dir, "documents")
     path, reason = pick([p[0] for p in PATHS], F.col("doc_id")), F.element_at(F.array(*(F.lit(r[0]).cast("string") for r in REASONS)), (F.col("doc_id") % len(REASONS) + 1).cast("int"))
     cut = rules.slice_flag(F.col("text"), 120)
     rows = docs.select("doc_id", path.alias("path"), reason.alias("r"), cut.alias("c"))

@@ -313,10 +313,10 @@ def exact_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.exact_paragraphs(rows, found, "tion", 3).select("id", "list_no")
 
 
-@query("with s as (select conv_id * 100 + turn as id, turn % 3 = 0 as docx, case when turn % 5 > 0 then (turn % 7) / 10.0 end as score, contains(lower(text), 'tion') as hit, turn % 4 = 0 as w from conversations where conv_id < 20), r as (select id, round(case when docx then coalesce(score, 0.75) + case when hit then 0.05 else 0 end + case when w then 0.03 else 0 end else coalesce(score, 0) end, 6)::double as rerank from s) select id, rerank, row_number() over (order by rerank desc, id) as rank from r")
+@query("with s as (select conv_id * 100 + turn as id, turn % 3 = 0 as docx, case when turn % 5 > 0 then (turn % 7) / 10.0 end as score, contains(lower(text), 'tion') as hit, turn % 4 = 0 as w from conversations), r as (select id, round(case when docx then coalesce(score, 0.75) + case when hit then 0.05 else 0 end + case when w then 0.03 else 0 end else coalesce(score, 0) end, 6)::double as rerank from s) select id, rerank, row_number() over (order by rerank desc, id) as rank from r")
 def reranked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn")
-    rows = _read(spark, sf_dir, "conversations").where("conv_id < 20").select((F.col("conv_id") * 100 + k).alias("id"), F.when(k % 3 == 0, "docx").otherwise("csv").alias("source_type"), F.when(k % 5 > 0, F.round((k % 7) / 10, 1)).alias("score"), F.col("text").alias("content"), F.when(k % 4 == 0, "paragraph_window").otherwise("paragraph").alias("block_type"))
+    rows = _read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + k).alias("id"), F.when(k % 3 == 0, "docx").otherwise("csv").alias("source_type"), F.when(k % 5 > 0, F.round((k % 7) / 10, 1)).alias("score"), F.col("text").alias("content"), F.when(k % 4 == 0, "paragraph_window").otherwise("paragraph").alias("block_type"))
     out = retrieval.reranked(rows, "tion", pos="id").select("id", F.round("rerank", 6).alias("rerank"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank"), "id")))
 
