@@ -46,22 +46,37 @@ THIRDS = (0x1FFFFF, 0x1FFFFF << 21, 0x3FFFFF << 42)
 CHUNK = 200_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def fingerprints(text: str | None, size: int = SHINGLE, prints: int = 1) -> np.ndarray:
+    """Of a text's shingles `prints` fingerprints: the first of their hashes, the others of these hashes mixed once more."""
     import xxhash
 
     found = WORD.findall((text or "").encode("utf-8", "replace").translate(LOWER))
     if not found:
-        return 0
+        return np.zeros(prints, np.uint64)
     joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found]) - 1
     size = min(size, len(found))
     starts = [0, *(ends[: len(found) - size] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    ones, total = np.zeros(64, np.int64), len(starts)
+    ones, total = np.zeros((prints, 64), np.int64), len(starts)
     stops = ends[size - 1 :].tolist()
     for at in range(0, total, CHUNK):
         h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
+        for k in range(prints):
+            mixed = h if not k else mixed_again(h, k)
+            ones[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def mixed_again(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes whose bits have nothing to do with those of h, nor with those of another k."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    return int(fingerprints(text, size)[0])
 
 
 @pandas_udf(T.LongType())
@@ -73,6 +88,16 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp") -
     return docs.withColumn(out, _fingerprints.asNondeterministic()(docs[text_col]))
 
 
+def with_fingerprints(docs: DataFrame, prints: int, shingle: int, text_col: str = "text", out: str = "fps") -> DataFrame:
+    """Adds an array of `prints` fingerprints of shingles of so many words."""
+
+    @pandas_udf(T.ArrayType(T.LongType()))
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprints(t, shingle, prints).view(np.int64) for t in texts], dtype=object)
+
+    return docs.withColumn(out, made.asNondeterministic()(docs[text_col]))
+
+
 #: A level of a tree: vantage point, radius, bits looked at.
 Level = tuple[int, int, int]
 
@@ -207,10 +232,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _with_first(prints: DataFrame, least: Column, **limits: int) -> DataFrame:
+def bits_of(similar: float, bits: int) -> int:
+    """Differing bits that texts of a Jaccard similarity of `similar` and more have of so many, but for the rarest of them.
+
+    Sets of like sizes have the cosine 2s / (1 + s), and a bit differs as often as a random plane parts the angle; two
+    standard deviations are added."""
+    share = float(np.arccos(2 * similar / (1 + similar)) / np.pi)
+    return int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
+
+
+def _more_links(prints: DataFrame, first: DataFrame, count: int, similar: float, **limits: int) -> DataFrame:
+    """Links (u, v) between first fingerprints `fp`, found by any of the fingerprints `fps` and kept where all of them together
+    differ by few enough bits."""
+    edges = first
+    for k in range(1, count):
+        pairs = checkpointed(prints.select("fp", F.col("fps")[k].alias("other")).distinct())
+        reps = checkpointed(pairs.groupBy("other").agg(F.min("fp").alias("rep")))
+        star = pairs.join(reps, "other").where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
+        forest = links(reps.select(F.col("other").alias("fp")), **limits)
+        left, right = (reps.select(F.col("other").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("u", "v"))
+        across = forest.join(left, "u").join(right, "v").select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).where("u <> v")
+        edges = edges.union(star).union(across)
+    sketch = prints.groupBy("fp").agg(F.min("fps").alias("fps"))
+    left, right = (sketch.select(F.col("fp").alias(c), F.col("fps").alias(f"{c}_fps")) for c in ("u", "v"))
+    both = edges.distinct().join(left, "u").join(right, "v")
+    differ = F.aggregate(F.zip_with("u_fps", "v_fps", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return checkpointed(both.where(differ <= bits_of(similar, 64 * count)).select("u", "v"))
+
+
+def _with_first(prints: DataFrame, least: Column, count: int = 1, similar: float = 0.0, **limits: int) -> DataFrame:
     """The rows of `prints` (with fp) and `first`, the smallest `least` of all fingerprints that links reach."""
     distinct = checkpointed(prints.groupBy("fp").agg(least.alias("first")))
-    roots = components(links(distinct.select("fp"), **limits))
+    found = links(distinct.select("fp"), **limits)
+    roots = components(found if count == 1 else _more_links(prints, found, count, similar, **limits))
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("first").alias("first"))
     return prints.join(of.select("fp", "root").join(smallest, "root").select("fp", "first"), "fp")
@@ -222,9 +276,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _with_first(prints, F.min(id_col), **limits).select(id_col, "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prints: int = 1, shingle: int = SHINGLE, similar: float = 0.8, **limits: int) -> DataFrame:
     """The documents, all columns, of which each near-duplicate group keeps the one with the smallest id.
 
+    With several `prints`, texts link where any one of their fingerprints differs by few bits, if all together differ by no
+    more bits than those of texts with the similarity `similar` do: of texts with one word in a hundred
+    changed (0.89 of their shingles in common) one fingerprint at four bits links 0.44, eight at five bits 0.9.
+
     A row is known by its id and its text's hash, so an id on several texts, or none, takes no other group's row along;
     null ids come last, and of one id the smaller hash first.
     """
@@ -233,9 +291,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         hashed = f"_{hashed}"
     docs = docs.withColumn(hashed, F.xxhash64(docs[text_col]))
     texts = docs.select(docs[id_col].alias("_id"), docs[hashed].alias("_hash"), docs[text_col].alias("t"))
-    prints = checkpointed(with_fingerprint(texts, "t").select("_id", "_hash", "fp"))
+    printed = with_fingerprint(texts, "t") if prints == 1 and shingle == SHINGLE else with_fingerprints(texts, prints, shingle, "t").withColumn("fp", F.col("fps")[0])
+    printed = checkpointed(printed.drop("t"))
     key = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
-    groups = checkpointed(_with_first(prints, F.min(key), **limits).select("_id", "_hash", "first"))
+    groups = checkpointed(_with_first(printed, F.min(key), prints, similar, **limits).select("_id", "_hash", "first"))
     is_first = F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_hash") == F.col("first.hash"))
     gone = groups.where(~is_first).select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash")).distinct()
     kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (docs[hashed] == gone["_gone_hash"]), "left_anti")

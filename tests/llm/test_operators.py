@@ -696,6 +696,41 @@ def brute_fingerprint(text):
     return sum(1 << b for b, n in ones.items() if n * 2 > len(shingles))
 
 
+def brute_sketch(text, size=5, prints=8):
+    """Fingerprints of mixed hashes, in Python's whole numbers."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+    shingles = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] or ([" ".join(w)] if w else [])
+    hashes, mask, out = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], 2**64 - 1, []
+    for k in range(prints):
+        ones = Counter()
+        for h in hashes:
+            if k:
+                h = (h + 0x9E3779B97F4A7C15 * k) & mask
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+                h ^= h >> 31
+            ones.update(b for b in range(64) if h >> b & 1)
+        out.append(sum(1 << b for b, n in ones.items() if n * 2 > len(shingles)))
+    return out
+
+
+def brute_sketch_components(sketches, bits=5):
+    """{key: smallest key reachable}, of all pairs of which one print differs by few bits and all by no more than of similar texts."""
+    parent = {k: k for k in sketches}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(sorted(sketches), 2):
+        d = [(x ^ y).bit_count() for x, y in zip(sketches[a], sketches[b], strict=True)]
+        if min(d) <= bits and sum(d) <= simhash.bits_of(0.8, 64 * len(d)):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    return {k: find(k) for k in sketches}
+
+
 def brute_components(prints):
     parent = {k: k for k in prints}
 
@@ -757,13 +792,33 @@ def test_no_group_holds_over_two_chunks(spark):
     assert sorted(groups[8, 0, 0]) == sorted((f, not v) for s, f, v in rows if s == 8)
 
 
+def test_several_fingerprints_link_more(spark):
+    random = np.random.default_rng(13)
+    texts = {}
+    for i in range(60):
+        w = [f"w{x}" for x in random.integers(0, 5000, 300)]
+        texts[3 * i] = " ".join(w)
+        for k, share in ((1, 0.01), (2, 0.2)):  # a near copy, and a text that has half of its words
+            texts[3 * i + k] = " ".join("other" if random.random() < share else x for x in w)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sketches = {k: brute_sketch(t) for k, t in texts.items()}
+    of = brute_sketch_components(sketches)
+    assert all(np.array_equal(simhash.fingerprints(t, 5, 8), np.array(sketches[k], np.uint64)) for k, t in list(texts.items())[:30])
+    kept = {r["doc_id"] for r in simhash.keep_one(d, prints=8, shingle=5, max_bits=5).collect()}
+    assert kept == {k for k in texts if of[k] == k}
+    assert len({3 * i + 1 for i in range(60)} - kept) >= 50 and {3 * i + 2 for i in range(60)} <= kept
+    assert len({3 * i + 1 for i in range(60)} - {r["doc_id"] for r in simhash.keep_one(d).collect()}) < 45
+
+
 def test_simhash_edges(spark, edge):
     rows = {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(edge).collect()}
     assert rows >= {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6)}
     edge = edge.selectExpr("*", "16 as _hash", "17 as _id", "18 as _gone_id")
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 6, None} and kept.count() == 4
-    assert simhash.near_groups(edge.limit(0)).count() == 0
+    several = simhash.keep_one(edge, prints=3, shingle=5, max_bits=5)
+    assert several.columns == edge.columns and sorted(map(repr, several.collect())) == sorted(map(repr, kept.collect()))
+    assert simhash.near_groups(edge.limit(0)).count() == 0 and simhash.keep_one(edge.limit(0), prints=3).count() == 0
 
 
 def test_one_of_each_group_stays_whatever_the_ids(spark):

@@ -5,7 +5,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
-from test_operators import WORD, brute_components, brute_fingerprint, check_packing, lowered
+from test_operators import WORD, brute_sketch, brute_sketch_components, check_packing, lowered
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -35,7 +35,7 @@ def brute_stages(spark):
     assert "units using" in cleaned and "n.tokens" in cleaned
     rows = {k: t for k, t in con.sql(f"select doc_id, t from ({cleaned})").fetchall()}
     yield rows
-    of = brute_components({k: brute_fingerprint(t) for k, t in rows.items()})
+    of = brute_sketch_components({k: brute_sketch(t) for k, t in rows.items()})
     rows = {k: t for k, t in rows.items() if of[k] == k}
     yield rows
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
