@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, retrieval
+from ..operators import cells, evaluation, retrieval
 from ..operators.lineage import shared_folder
-from ..sources import archives, ingest, sinks, store, tables
-from . import catalogue
+from ..sources import archives, files, ingest, sinks, store, tables
+from . import catalogue, reports
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,19 @@ def archived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (stored_upsert, ingested_documents, summaries_upserted, csv_by_header, vector_topk_by_cells, scroll_filtered, archived_documents)}
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus written as files, and its manifest, report and cleaned rows read back from these."""
+    folder = shared_folder(spark, "corpus")
+    rows = reports.corpus(spark, sf_dir)
+    named = {"content": "text", "generated": "generated", "ruled": "ruled", "is_copy": "is_copy", "scenario": "scenario", "flag": "flag"}
+    sinks.write_corpus(rows.select("doc_id", "generated", "text"), rows, f"{folder}/out", f"{folder}/holdout", id_col="doc_id", **named)
+    manifest = files.jsonl(spark, f"{folder}/out/manifest", "name string, label string, n long")
+    report = files.jsonl(spark, f"{folder}/out/report", "kind string").groupBy(F.lit("report").alias("name"), F.col("kind").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    cleaned = files.jsonl(spark, f"{folder}/out/cleaned", "doc_id long, text string").agg(F.lit("cleaned").alias("name"), F.lit("characters").alias("label"), F.sum(F.length("text")).cast("long").alias("n"))
+    return manifest.unionByName(report).unionByName(cleaned)
+
+
+QUERIES = {f.__name__: f for f in (stored_upsert, ingested_documents, summaries_upserted, csv_by_header, vector_topk_by_cells, scroll_filtered, archived_documents, corpus_files)}
 _CSV = " union all ".join(
     f"select '{table}' as source, '{name}' as name, count(*) as n, count(distinct {name}) as n_distinct, min({name}::varchar) as least, max({name}::varchar) as most from {table}"
     for table, names in (("nation", ("n_nationkey", "n_name", "n_regionkey")), ("supplier", ("s_suppkey", "s_name", "s_nationkey")))
@@ -125,6 +137,18 @@ ORACLE_SQL = {
         union all select conv_id, n, tokens::bigint, summary, due from half where due is not null and conv_id not in (select conv_id from whole where due is not null)""",
     "csv_by_header": _CSV,
     "vector_topk_by_cells": catalogue.ORACLE_SQL["vector_topk"].replace("from embeddings", "from embeddings where label <> 4"),
+    "corpus_files": f"""
+        with c as ({reports._CORPUS}), k as (select unnest({list(evaluation.CLASSES)}) as label),
+        t as (select len(regexp_extract_all(text, '\\+7[\\s(-]*\\d{{3}}[\\s)-]*\\d{{3}}[\\s-]*\\d{{2}}[\\s-]*\\d{{2}}')) as phones, len(regexp_extract_all(text, '\\b\\d{{4}}[ -]?\\d{{4}}[ -]?\\d{{4}}[ -]?\\d{{4}}\\b')) as cards from c),
+        m as (
+            select 'total' as name, 'before' as label, (select count(*) from c where not is_copy) as n union all select 'total', 'after', (select count(*) from c)
+            union all select 'before', label, (select count(*) from c where generated = label and not is_copy) from k union all select 'after', label, (select count(*) from c where ruled = label) from k
+            union all select 'shortest', label, (select min(length(text)) from c where ruled = label) from k union all select 'longest', label, (select max(length(text)) from c where ruled = label) from k
+            union all select 'indexed', label, (select count(*) from c where ruled = label and flag) from k where label in ('bug', 'feature') union all select 'scenarios', label, (select count(distinct scenario) from c where ruled = label) from k where label in ('bug', 'feature')
+            union all select 'missing_scenario', 'product', (select count(*) from c where ruled in ('bug', 'feature') and scenario is null) union all select 'pii', 'phone', (select sum(phones) from t) union all select 'pii', 'card', (select sum(cards) from t)
+            union all select 'report', 'mismatch', (select count(*) from c where generated <> ruled) union all select 'report', 'suppressed', (select count(*) from c where reason = 'exact_duplicate')
+            union all select 'cleaned', 'characters', (select sum(length(text)) from c))
+        select name, label, n::bigint as n from m where n is not null""",
     "scroll_filtered": "select vec_id, label, null::double as score from embeddings where label in (1, 3, 5) order by vec_id limit 40 offset 40",
     "archived_documents": """
         with d as (select doc_id, case when doc_id % 2 = 0 then upper(lang) else lang end || '/' || (doc_id % 20) as stem, coalesce(text, '') as text from documents),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -181,16 +183,24 @@ def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
             yield node.get("name", ""), target.removeprefix("/") if target.startswith("/") else f"xl/{target}"
 
 
+def _shared(z: zipfile.ZipFile) -> list[str]:
+    return [_inner(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+
+
+def _cell(cell: ElementTree.Element, shared: list[str]) -> str:
+    value = next((n.text or "" for n in cell if _local(n.tag) == "v"), _inner(cell))
+    return shared[int(value)] if cell.get("t") == "s" else value
+
+
 def _sheet_rows(content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = [_inner(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        shared = _shared(z)
         for name, file in _sheets(z):
             header: dict[str, str] = {}
             for row in (n for n in ElementTree.fromstring(z.read(file)).iter() if _local(n.tag) == "row"):
                 cells = {}
                 for cell in row:
-                    value = next((n.text or "" for n in cell if _local(n.tag) == "v"), _inner(cell))
-                    cells[re.sub(r"\d", "", cell.get("r", ""))] = shared[int(value)] if cell.get("t") == "s" else value
+                    cells[re.sub(r"\d", "", cell.get("r", ""))] = _cell(cell, shared)
                 if header:
                     yield name, int(row.get("r", 0)), [header.get(c, c) for c in cells], list(cells.values())
                 else:
@@ -223,18 +233,43 @@ def _row_documents(rows: DataFrame, kind: str) -> DataFrame:
     return _document(rows, kind, title, F.array_join(lines, "\n"), F.create_map(F.lit("sheet"), F.col("sheet"), F.lit("excel_row_number"), F.col("at").cast("string")))
 
 
-def _charts(content: bytes) -> Iterator[tuple]:
+def _linked(z: zipfile.ZipFile, file: str, kind: str) -> list[str]:
+    """The files of a kind that a file of the workbook refers to."""
+    folder, name = file.rsplit("/", 1)
+    links = f"{folder}/_rels/{name}.rels"
+    if links not in z.namelist():
+        return []
+    found = [r.get("Target", "") for r in ElementTree.fromstring(z.read(links)) if r.get("Type", "").endswith(f"/{kind}")]
+    return [posixpath.normpath(t[1:] if t.startswith("/") else f"{folder}/{t}") for t in found]
+
+
+def _visible(z: zipfile.ZipFile, file: str, shared: list[str], most: int) -> list[str]:
+    """The first rows of a sheet that aren't hidden, their cells joined."""
+    rows = (n for n in ElementTree.fromstring(z.read(file)).iter() if _local(n.tag) == "row" and n.get("hidden") not in ("1", "true"))
+    return [" | ".join(_cell(c, shared) for c in row) for row in islice(rows, most)]
+
+
+def _charts(content: bytes, most: int = 20) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = _shared(z)
+        on = {chart: (name, file) for name, file in (_sheets(z) if "xl/workbook.xml" in z.namelist() else ()) for drawing in _linked(z, file, "drawing") for chart in _linked(z, drawing, "chart")}
         for name in sorted(n for n in z.namelist() if re.fullmatch(r"xl/charts/chart\d*\.xml", n)):
             nodes = list(ElementTree.fromstring(z.read(name)).iter())
-            kinds = [_local(n.tag) for n in nodes if _local(n.tag).endswith("Chart")]
-            yield name, kinds[0] if kinds else "unknown", " ".join(n.text or "" for n in nodes if _local(n.tag) == "t"), [n.text for n in nodes if _local(n.tag) == "f" and n.text]
+            kinds = list(dict.fromkeys(_local(n.tag) for n in nodes if _local(n.tag).endswith("Chart")))
+            labels = [n.text.strip() for n in nodes if _local(n.tag) == "t" and (n.text or "").strip()]
+            refs = [n.text for n in nodes if _local(n.tag) == "f" and n.text]
+            sheet, file = on.get(name, (None, None))
+            yield name, sheet, kinds[0] if kinds else "unknown", labels[:most], refs[:most], _visible(z, file, shared, most) if file else []
 
 
 def xlsx_charts(spark: SparkSession, folder: Where) -> DataFrame:
-    """One document for each chart: its type, title and the cells it refers to."""
-    rows = _parsed(spark, folder, "*.xlsx", _charts, "chart string, kind string, caption string, refs array<string>")
-    return _document(rows, "xlsx_chart", F.when(F.col("caption") != "", F.col("caption")).otherwise(_stem(F.col("path"))), F.concat_ws("\n", "kind", "caption", F.array_join("refs", "\n")), F.create_map(F.lit("chart"), F.col("chart"), F.lit("type"), F.col("kind")))
+    """One document for each chart: its type, first 20 labels and references, and the first 20 rows of its sheet that aren't hidden;
+    of a chart that no sheet refers to what its own file says."""
+    rows = _parsed(spark, folder, "*.xlsx", _charts, "chart string, sheet string, kind string, labels array<string>, refs array<string>, shown array<string>")
+    title = F.coalesce(F.try_element_at("labels", F.lit(1)), _stem(F.col("path")))
+    lines = F.filter(F.concat(F.array("kind"), F.array(F.array_join("labels", " ")), "refs", "shown"), lambda x: x != "")
+    facts = F.create_map(F.lit("chart"), F.col("chart"), F.lit("type"), F.col("kind"), F.lit("sheet"), F.col("sheet"))
+    return _document(rows, "xlsx_chart", title, F.array_join(lines, "\n"), F.map_filter(facts, lambda k, v: v.isNotNull()))
 
 
 def recognised(spark: SparkSession, folder: str, glob: str, reader: Callable[[bytes], Iterable[str]], kind: str) -> DataFrame:

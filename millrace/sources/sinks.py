@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import memory
+from ..operators import evaluation, memory
 from . import store
 
 
@@ -87,6 +87,32 @@ def write_jsonl(rows: DataFrame, folder: str, holdout: str) -> None:
     rows.write.mode("overwrite").json(folder)
 
 
+def corpus_manifest(rows: DataFrame, *, content: str, generated: str, ruled: str, is_copy: str, scenario: str, flag: str) -> DataFrame:
+    """What a corpus holds, as (name, label, n): rows by class before and after the rules (copies only after), indexed rows by
+    class, shortest and longest texts, scenarios of the product classes, phones and cards. One pass, some rows."""
+    kinds = [F.lit(c) for c in evaluation.CLASSES]
+    found, size, product = text.pii_counts(F.col(content)), F.length(content), F.col(ruled).isin(*evaluation.INDEXED)
+    counted = [("total", F.lit("before"), F.count_if(~F.col(is_copy))), ("total", F.lit("after"), F.count(F.lit(1)))]
+    for c, k in zip(evaluation.CLASSES, kinds, strict=True):
+        own = F.col(ruled) == c
+        counted += [("before", k, F.count_if((F.col(generated) == c) & ~F.col(is_copy))), ("after", k, F.count_if(own)), ("shortest", k, F.min(F.when(own, size))), ("longest", k, F.max(F.when(own, size)))]
+        if c in evaluation.INDEXED:
+            counted.append(("indexed", k, F.count_if(own & F.col(flag))))
+            counted.append(("scenarios", k, F.count_distinct(F.when(own, F.col(scenario)))))
+    counted += [("missing_scenario", F.lit("product"), F.count_if(product & F.col(scenario).isNull())), ("pii", F.lit("phone"), F.sum(found["phones"])), ("pii", F.lit("card"), F.sum(found["cards"]))]
+    cells = F.array(*(F.struct(F.lit(name).alias("name"), label.alias("label"), n.cast("long").alias("n")) for name, label, n in counted))
+    return rows.agg(cells.alias("cells")).select(F.inline("cells")).where("n is not null")
+
+
+def write_corpus(raw: DataFrame, cleaned: DataFrame, folder: str, holdout: str, *, id_col: str, reason: str = "reason", **columns: str) -> None:
+    """The corpus as raw and cleaned lines of JSON, and beside them its manifest and the report on what the rules changed.
+
+    The manifest comes last: a folder without one isn't whole."""
+    content, generated, ruled = (columns[c] for c in ("content", "generated", "ruled"))
+    for name, rows in (("raw", raw), ("cleaned", cleaned), ("report", evaluation.mismatches(cleaned, id_col=id_col, generated=generated, ruled=ruled, reason=reason, content=content)), ("manifest", corpus_manifest(cleaned, **columns).coalesce(1))):
+        write_jsonl(rows, f"{folder.rstrip('/')}/{name}", holdout)
+
+
 def summarised(spark: SparkSession, path: str, messages: DataFrame, *, key: str, order: str, role: str = "role", content: str = "text", idle: Column | None = None, questions: int = 2, width: int = 40, buckets: int = 64) -> list[int]:
     """Makes and stores a summary, one row a session, of the sessions for which `memory.summary_due` gives a reason; the
     others keep the one they have. A summary is the beginnings of the last questions; `idle` is the seconds since the last

@@ -116,3 +116,22 @@ def test_malformed_json_is_a_row(spark, tmp_path):
     (tmp_path / "bytes.json").write_bytes(b"\xff\xfe\x00")
     got = {r["path"].rsplit("/", 1)[-1]: (r["source_type"], r["title"]) for r in files.json_files(spark, str(tmp_path)).collect()}
     assert got == {"bad.json": ("unreadable", "bad"), "good.json": ("json", "T"), "list.json": ("json", "List"), "bytes.json": ("unreadable", "bytes")}
+
+
+def test_charts_with_their_sheets(spark, tmp_path):
+    rel = lambda kind, target: f'<Relationships><Relationship Id="x1" Type="http://x/{kind}" Target="{target}"/></Relationships>'
+    rows = "".join(f'<row r="{i}"{" hidden=" + chr(34) + "1" + chr(34) if i == 2 else ""}><c r="A{i}"><v>{i}</v></c><c r="B{i}"><v>b{i}</v></c></row>' for i in range(1, 40))
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="x1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", rel("worksheet", "worksheets/sheet1.xml"))
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{rows}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", rel("drawing", "../drawings/drawing1.xml"))
+        z.writestr("xl/drawings/drawing1.xml", "<x/>")
+        z.writestr("xl/drawings/_rels/drawing1.xml.rels", rel("chart", "/xl/charts/chart1.xml"))
+        z.writestr("xl/charts/chart1.xml", "<c><t>Sales</t><barChart>" + "".join(f"<f>S!A{i}</f>" for i in range(30)) + "</barChart><lineChart/></c>")
+        z.writestr("xl/charts/chart2.xml", "<c>" + "".join(f"<t>l{i}</t>" for i in range(30)) + "</c>")
+    one, two = sorted(files.xlsx_charts(spark, str(tmp_path)).collect(), key=lambda r: r["metadata"]["chart"])
+    assert one["metadata"] == {"chart": "xl/charts/chart1.xml", "type": "barChart", "sheet": "S"} and one["title"] == "Sales"
+    shown = [f"{i} | b{i}" for i in range(1, 40) if i != 2][:20]
+    assert one["content"].split("\n") == ["barChart", "Sales", *(f"S!A{i}" for i in range(20)), *shown]
+    assert two["metadata"] == {"chart": "xl/charts/chart2.xml", "type": "unknown"} and two["content"].split("\n")[1] == " ".join(f"l{i}" for i in range(20))
