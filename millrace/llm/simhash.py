@@ -281,7 +281,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
     With several `prints`, texts link where any one of their fingerprints differs by few bits, if all together differ by no
     more bits than those of texts with the similarity `similar` do: of texts with one word in a hundred
-    changed (0.89 of their shingles in common) one fingerprint at four bits links 0.44, eight at five bits 0.9.
+    changed (0.89 of their shingles in common) one fingerprint at four bits links 0.44, eight of five words at five bits 0.93.
 
     A row is known by its id and its text's hash, so an id on several texts, or none, takes no other group's row along;
     null ids come last, and of one id the smaller hash first.
