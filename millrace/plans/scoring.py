@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import resumes, rules, text
-from ..operators import evaluation, flags, metrics
+from ..operators import evaluation, flags, metrics, retrieval
 from ..sources import sinks
 from .catalogue import Query
+from .questions import MESSAGES, literal
 from .reports import _CORPUS, corpus
 
 QUERIES: dict[str, Query] = {}
@@ -204,3 +205,95 @@ def outgoing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select round(avg(value), 6) as mean_value from events")
 def mean_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mean(_read(spark, sf_dir, "events"), "value").select(F.round("mean_value", 6).alias("mean_value"))
+
+
+# --- questions, terms and scores of whole texts
+
+
+def _has(words: list[str], of: str = "m") -> str:
+    return "(" + " or ".join(f"contains({of}, {literal(w.lower())})" for w in words) + ")"
+
+
+def _listed(cases: list[tuple[str, str]]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"case when {condition} then {literal(name)} end" for name, condition in cases) + "], lambda x: x is not null), ',')"
+
+
+_MARKED = {name: _has(words) for name, words in rules.INTENT_MARKERS.items()}
+_MARKED["metric"] = f"({_MARKED['metric']} and not {_has(rules.METRIC_REFUSALS)} and ({_has(rules.METRIC_QUESTIONS)} or not {_has(rules.STRONG_TECHNICAL)}))"
+_INTENT = "case " + " ".join(f"when {condition} then {literal(name)}" for name, condition in _MARKED.items()) + " end"
+_SAID = f"(select conv_id, turn, lower(coalesce(text, '') || ' ' || {[m[0] for m in MESSAGES]!r}[(conv_id * 5 + turn) % {len(MESSAGES)} + 1]) as m from conversations)".replace('"', "'")
+
+
+@query(f"""
+    select conv_id, turn, {_listed([(name, _has(words)) for name, words in rules.FEATURES.items()])} as features, {_listed([(name, _has([name])) for name in rules.INGEST_FEATURES])} as ingest,
+        coalesce(case when intent = 'visual_chart' and {_has(rules.INTENT_MARKERS['visual_image'])} then 'visual_chart,visual_image' else intent end, '') as intents, {_has(rules.INVENTORY_MARKERS)} as inventory
+    from (select *, {_INTENT} as intent from {_SAID})""")
+def routes_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and intents of what was said in the conversations, whole, with a question behind it."""
+    asked = F.element_at(F.array(*(F.lit(m[0]) for m in MESSAGES)), ((F.col("conv_id") * 5 + F.col("turn")) % len(MESSAGES) + 1).cast("int"))
+    said = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), asked).alias("m"))
+    lists = {"features": rules.question_features(F.col("m")), "ingest": rules.ingest_features(F.col("m")), "intents": rules.visual_intents(F.col("m"))}
+    return said.select("conv_id", "turn", *(F.array_join(c, ",").alias(n) for n, c in lists.items()), rules.asks_inventory(F.col("m")).alias("inventory"))
+
+
+_TRIM = r"'^[.,:;()\[\]{}]+|[.,:;()\[\]{}]+$'"
+_FOUND = "list_transform(regexp_extract_all(coalesce(text, ''), '{}'), lambda t: lower(regexp_replace(t, {}, '', 'g')))"
+
+
+@query(rf"""
+    with f as (select doc_id, coalesce(text, '') as t, {_FOUND.format(rules.EXCEL_TERM, _TRIM)} as e, {_FOUND.format(rules.DOCX_TERM, _TRIM)} as d from documents),
+    k as (
+        select doc_id, t, list_filter(e, lambda x: x <> '' and not list_contains({rules.EXCEL_STOP!r}, x) and (case when regexp_full_match(x, '\d+(?:[,.]\d+)?') then length(regexp_replace(x, '\D', '', 'g')) >= 2 else length(x) >= 4 end)) as e,
+            list_filter(d, lambda x: not list_contains({rules.DOCX_STOP!r}, x) and regexp_matches(x, '[a-z0-9#]')) as d from f)
+    select doc_id, len(list_distinct(e))::int as n_excel, coalesce(array_to_string(list_sort(list_distinct(e)), ','), '') as excel, len(list_distinct(d))::int as n_docx, coalesce(array_to_string(list_sort(list_distinct(d)), ','), '') as docx, array_to_string(regexp_extract_all(t, '\b\d{{6,}}\b'), ',') as numbers from k""")
+def terms_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact terms and long numbers of whole documents, sorted."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    found = docs.select("doc_id", rules.excel_terms(F.col("t")).alias("e"), rules.docx_terms(F.col("t")).alias("d"), rules.long_numbers(F.col("t")).alias("n"))
+    return found.select("doc_id", F.size("e").alias("n_excel"), F.array_join(F.sort_array("e"), ",").alias("excel"), F.size("d").alias("n_docx"), F.array_join(F.sort_array("d"), ",").alias("docx"), F.array_join("n", ",").alias("numbers"))
+
+
+_VOCABULARY = ["the", "and", "que", "les", "der", "und", "los", "con", "Ing"]
+_EXPECTED, _NEVER = ["the", "que", "und"], ["eauouon", " ", "THTH"]
+
+
+@query(f"""
+    with a as (select doc_id, lower(coalesce(text, '')) as low, list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: list_contains({_VOCABULARY!r}, x))) as named,
+        list_distinct(list_filter([case lang when 'en' then 'the' when 'fr' then 'que' when 'de' then 'und' else '' end, 'and', source], lambda x: x <> '')) as got from documents),
+    s as (select *, case when len(named) = 0 then 1.0 else len(list_intersect(named, got)) / len(named) end as support, contains(low, 'eauouon')::int + contains(low, 'thth')::int as hits from a)
+    select doc_id, round(len(list_intersect({_EXPECTED!r}, got)) / 3, 6) as retrieval_recall, round(case when hits > 0 then 0.0 else support end, 6) as faithfulness, round(len(list_intersect({_EXPECTED!r}, named)) / 3, 6) as answer_coverage,
+        len(list_intersect(named, got))::int as n_supported, (len(named) - len(list_intersect(named, got)))::int as n_unsupported, hits from s""")
+def scores_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers: which words of a vocabulary they name, and which of these their sources have."""
+    own = F.when(F.col("lang") == "en", "the").when(F.col("lang") == "fr", "que").when(F.col("lang") == "de", "und").otherwise("")
+    scored = _read(spark, sf_dir, "documents").select("doc_id", rules.marker_scores(F.coalesce("text", F.lit("")), F.array(own, F.lit("and"), F.col("source")), _EXPECTED, _NEVER, _VOCABULARY).alias("s"))
+    shares = [F.round(f"s.{c}", 6).alias(c) for c in ("retrieval_recall", "faithfulness", "answer_coverage")]
+    return scored.select("doc_id", *shares, F.size("s.supported").alias("n_supported"), F.size("s.unsupported").alias("n_unsupported"), F.size("s.must_not_hits").alias("hits"))
+
+
+@query("""
+    with n as (select o_orderkey, o_orderkey % 8 as k, round(o_totalprice * 100)::bigint as cents from orders),
+    p as (select *, (cents // 100)::varchar as whole, lpad((cents % 100)::varchar, 2, '0') as rest from n)
+    select o_orderkey, whole || case when k in (3, 7) or cents % 100 = 0 then '' when cents % 10 = 0 then '.' || left(rest, 1) else '.' || rest end as number, true as there from p where cents >= 100000""")
+def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices written in eight ways have one form, and are found in a sentence."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    whole, rest = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    plain = whole.cast("string")
+    grouped = lambda mark: F.replace(F.format_number(whole, 0), F.lit(","), F.lit(mark))
+    forms = [F.concat(plain, F.lit("."), rest), F.concat(grouped(" "), F.lit(","), rest, F.lit(" RUB")), F.concat(F.lit("€ "), grouped("."), F.lit(","), rest), F.concat(grouped(" "), F.lit(" pcs")), F.concat(F.lit("-00"), plain, F.lit(","), rest), F.concat(F.lit("+"), grouped(","), F.lit("."), rest), F.concat(plain, F.lit(","), rest, F.lit("000")), F.concat(F.lit("no "), plain)]
+    rows = _read(spark, sf_dir, "orders").where(cents >= 100000).select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("t"))
+    said = F.concat(F.lit("in all "), F.regexp_replace("t", "[^0-9.,  ]", ""), F.lit(" was paid"))
+    return rows.select("o_orderkey", text.numeric_normal_form(F.col("t")).alias("number"), F.array_contains(rules.numbers_in(said), text.numeric_normal_form(F.col("t"))).alias("there"))
+
+
+@query("""
+    with o as (select o_orderkey, o_custkey % 5 as tenant, o_orderstatus as kind, ['a' || o_custkey % 3, 'b' || o_orderkey % 4] as tags, 'd' || o_orderkey % 50 as document, 'p' || o_orderkey % 60 as path from orders)
+    select o_orderkey from o where tenant = 2 and kind in ('O', 'F') and list_has_any(tags, ['a1', 'b3']) and (document in ('d1', 'd2', 'd3', 'd7') or path in ('p5', 'p6', 'p7', 'p9', 'p11'))""")
+def payload_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality, list, overlap and one group of alternatives at once."""
+    key = F.col("o_orderkey")
+    named = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("tenant"), F.col("o_orderstatus").alias("kind"), F.array(named("a", F.col("o_custkey") % 3), named("b", key % 4)).alias("tags"), named("d", key % 50).alias("document"), named("p", key % 60).alias("path"))
+    where = retrieval.payload_filter(equal={"tenant": 2, "kind": None}, among={"kind": ["O", "F"], "path": []}, overlap={"tags": ["a1", "b3"]}, either={"document": ["d1", "d2", "d3", "d7"], "path": ["p5", "p6", "p7", "p9", "p11"]})
+    return rows.where(where).select("o_orderkey")
