@@ -158,7 +158,7 @@ def mine_block(rows: DataFrame, anchors: Anchors, bound: int, positives: int, ne
 
 def mine(
     rows: DataFrame, is_anchor: Column, *, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", scale: float = 256.0,
-    positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, anchor_rows: int = 1024, buckets: int = 256,
+    positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, anchor_rows: int = 4096, buckets: int = 64,
 ) -> DataFrame:
     """The hard negatives of all rows that `is_anchor` (a condition on the columns of `rows`) holds for."""
     parts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vector"), is_anchor.alias("is_anchor")).where("id is not null and label is not null and vector is not null")
