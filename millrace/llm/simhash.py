@@ -170,28 +170,35 @@ def forest(residents: np.ndarray, visitors: np.ndarray, max_bits: int, cells: in
     return nodes[linked], nodes[roots[linked]]
 
 
-def links(prints: DataFrame, *, max_bits: int = 4, leaf_rows: int = 2048, shard_rows: int = 16384, sample_rows: int = 4096) -> DataFrame:
-    """Forest rows (u, v) that join all fingerprints `fp` within max_bits of each other."""
+def links(prints: DataFrame, *, kinds: int | None = None, max_bits: int = 4, leaf_rows: int = 2048, shard_rows: int = 16384, sample_rows: int = 4096) -> DataFrame:
+    """Forest rows (u, v) that join all fingerprints `fp` within max_bits of each other.
+
+    With `kinds`, fingerprints have a kind `k` below that number, only those of one kind meet, and rows are (k, u, v); all kinds
+    go through the same trees at once."""
     if max_bits > 5:
         raise ValueError("three thirds leave one differing bit to one of them only up to 5 bits in all")
-    count = prints.count()
-    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()], np.int64).view(np.uint64)
+    by = kinds or 1
+    count = -(-prints.count() // by)
+    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp")).limit(sample_rows).select("fp").collect()], np.int64).view(np.uint64)
     trees = plan_trees(sample, count, leaf_rows)
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
+            kind = batch["k"].to_numpy(np.int64) if kinds else np.zeros(len(fps), np.int64)
             for tree, levels in enumerate(trees):
                 leaf, at, visitor = route(fps, levels)
-                yield pd.DataFrame({"shard": leaf * 3 + tree, "fp": fps[at].view(np.int64), "visitor": visitor})
+                yield pd.DataFrame({"shard": (leaf * 3 + tree) * by + kind[at], "fp": fps[at].view(np.int64), "visitor": visitor})
 
     placed = prints.mapInPandas(shards, "shard long, fp long, visitor boolean")
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fps, resident = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["resident"].to_numpy(bool)
         u, v = forest(fps[resident], fps[~resident], max_bits)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+        return pd.DataFrame({"k": int(key[0]) % by, "u": u.view(np.int64), "v": v.view(np.int64)}, index=range(len(u)))
 
-    return in_pairs(placed, shard_rows).groupBy("shard", "a", "b").applyInPandas(compare, "u long, v long").distinct()
+    found = in_pairs(placed, shard_rows).groupBy("shard", "a", "b").applyInPandas(compare, "k int, u long, v long")
+    return (found if kinds else found.select("u", "v")).distinct()
 
 
 def in_pairs(placed: DataFrame, shard_rows: int) -> DataFrame:
@@ -244,15 +251,13 @@ def bits_of(similar: float, bits: int) -> int:
 def _more_links(prints: DataFrame, first: DataFrame, count: int, similar: float, **limits: int) -> DataFrame:
     """Links (u, v) between first fingerprints `fp`, found by any of the fingerprints `fps` and kept where all of them together
     differ by few enough bits."""
-    edges = first
-    for k in range(1, count):
-        pairs = checkpointed(prints.select("fp", F.col("fps")[k].alias("other")).distinct())
-        reps = checkpointed(pairs.groupBy("other").agg(F.min("fp").alias("rep")))
-        star = pairs.join(reps, "other").where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
-        forest = links(reps.select(F.col("other").alias("fp")), **limits)
-        left, right = (reps.select(F.col("other").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("u", "v"))
-        across = forest.join(left, "u").join(right, "v").select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).where("u <> v")
-        edges = edges.union(star).union(across)
+    pairs = checkpointed(prints.select("fp", F.posexplode(F.slice("fps", 2, count - 1)).alias("k", "other")).distinct())
+    reps = checkpointed(pairs.groupBy("k", "other").agg(F.min("fp").alias("rep")))
+    star = pairs.join(reps, ["k", "other"]).where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
+    forest_ = links(reps.select("k", F.col("other").alias("fp")), kinds=count - 1, **limits)
+    left, right = (reps.select("k", F.col("other").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("u", "v"))
+    across = forest_.join(left, ["k", "u"]).join(right, ["k", "v"]).select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).where("u <> v")
+    edges = first.union(star).union(across)
     sketch = prints.groupBy("fp").agg(F.min("fps").alias("fps"))
     left, right = (sketch.select(F.col("fp").alias(c), F.col("fps").alias(f"{c}_fps")) for c in ("u", "v"))
     both = edges.distinct().join(left, "u").join(right, "v")

@@ -816,6 +816,7 @@ def test_simhash_edges(spark, edge):
     edge = edge.selectExpr("*", "16 as _hash", "17 as _id", "18 as _gone_id")
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 6, None} and kept.count() == 4
+    assert simhash.keep_one(edge, prints=2).count() == 4
     several = simhash.keep_one(edge, prints=3, shingle=5, max_bits=5)
     assert several.columns == edge.columns and sorted(map(repr, several.collect())) == sorted(map(repr, kept.collect()))
     assert simhash.near_groups(edge.limit(0)).count() == 0 and simhash.keep_one(edge.limit(0), prints=3).count() == 0
