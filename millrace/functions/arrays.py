@@ -35,6 +35,14 @@ def ordered_merge(*lists: Column) -> Column:
     return F.array_distinct(F.concat(*lists))
 
 
+def left_out(known: Column, *others: Column) -> Column:
+    """The values that are in none of the other lists, sorted, each once."""
+    out = known
+    for other in others:
+        out = F.array_except(out, other)
+    return F.sort_array(F.array_distinct(out))
+
+
 def budgeted(parts: Column, budget: int) -> Column:
     """Parts (structs with `cost`) that are taken in order while the total stays within the budget.
 

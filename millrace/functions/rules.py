@@ -329,8 +329,8 @@ def contexts(content: Column, word: str, around: int = 100) -> Column:
     low = re.sub(r"([^\w\s])", r"\\\1", word.lower())
     if not low:
         raise ValueError("a word is asked for")
-    # what stands before is looked for backwards: the whole beginning of the text, or `around` characters
-    pattern = F.lit(rf"(?s)(?<=(\A.{{0,{around - 1}}}|.{{{around}}})){low}(?=(.{{0,{around}}}))")
+    # where the word begins, what stands before is looked for backwards: the whole beginning of the text, or `around` characters
+    pattern = F.lit(rf"(?s)(?={low})(?<=(\A.{{0,{around - 1}}}|.{{{around}}})){low}(?=(.{{0,{around}}}))")
     pieces = lambda body: F.zip_with(F.regexp_extract_all(body, pattern, 1), F.regexp_extract_all(body, pattern, 2), lambda a, b: F.concat(a, F.lit(word.lower()), b))
     return F.transform(F.array(F.lower(content)), pieces)[0]
 
