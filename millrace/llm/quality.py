@@ -202,7 +202,7 @@ def long_mean(field: Field, text: str, block: int = 20_000) -> float:
     return float((long_marginals(evidence, field.moves) * sizes).sum() / sizes.sum(dtype=np.float64))
 
 
-def text_means(field: Field, texts: Iterable[str | None], most_lines: int = 100_000, long_lines: int = 20_000) -> np.ndarray:
+def text_means(field: Field, texts: Iterable[str | None], most_lines: int = 30_000, long_lines: int = 20_000) -> np.ndarray:
     """document_means of texts, of which at most so many lines are held as features at a time."""
     out, held, lines = [], [], 0
 
@@ -225,7 +225,7 @@ def text_means(field: Field, texts: Iterable[str | None], most_lines: int = 100_
     return np.array(out)
 
 
-def document_means(field: Field, docs: list[tuple[np.ndarray, np.ndarray]], group: int = 600_000) -> np.ndarray:
+def document_means(field: Field, docs: list[tuple[np.ndarray, np.ndarray]], group: int = 240_000) -> np.ndarray:
     """Length-weighted mean of the marginals. Documents of like lengths are padded together, in bounded batches."""
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: len(docs[i][1]))

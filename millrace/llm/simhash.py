@@ -43,7 +43,7 @@ LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 SHINGLE = 4
 #: The thirds of a fingerprint, as bit masks.
 THIRDS = (0x1FFFFF, 0x1FFFFF << 21, 0x3FFFFF << 42)
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 def fingerprints(text: str | None, size: int = SHINGLE, prints: int = 1) -> np.ndarray:
