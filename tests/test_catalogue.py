@@ -5,12 +5,13 @@ import math
 import duckdb
 import pytest
 
-from millrace.plans import catalogue, intents, questions, reports, streams  # noqa: F401
+from millrace.plans import catalogue, intents, questions, reports, scoring, services, stores, streams  # noqa: F401
 from millrace.plans.views import BASE
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalogue.QUERIES | intents.QUERIES | streams.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | intents.ORACLE_SQL | streams.ORACLE_SQL
+PLANS = (catalogue, intents, streams, stores, scoring, services)
+QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
 
 
 def plain(value):
