@@ -9,7 +9,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ def extent(rows: DataFrame, vector_col: str) -> tuple[int, float]:
 
 def matrix_of(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Usable vectors of `dims` entries as rows of doubles, and which rows of the column they are."""
+    import pyarrow.compute as pc  # some 20 MB, which operators without vectors don't need
+
     sized = pc.fill_null(pc.equal(pc.list_value_length(vectors), dims), False)
     flat = vectors.filter(sized).flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
     rows = flat.astype(np.float64).reshape(-1, dims)
