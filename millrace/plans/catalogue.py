@@ -197,8 +197,8 @@ def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with k as (select doc_id, lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) as key from documents), b as (select distinct lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) as key from benchmark) select doc_id, case when b.key is not null then 'churn_signal' when length(k.key) < 20 then 'noise' else 'feature' end as rule_class from k left join b using (key)")
 def lexicon_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = _read(spark, sf_dir, "benchmark").select(text.lexicon_key(F.col("text")).alias("key")).distinct().withColumn("known", F.lit(True))
-    rows = _read(spark, sf_dir, "documents").select("doc_id", text.lexicon_key(F.col("text")).alias("key")).join(phrases, "key", "left")
+    phrases = _read(spark, sf_dir, "benchmark").select(text.plain_key(F.col("text")).alias("key")).distinct().withColumn("known", F.lit(True))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", text.plain_key(F.col("text")).alias("key")).join(phrases, "key", "left")
     return rows.select("doc_id", F.when(F.col("known"), "churn_signal").when(F.length("key") < 20, "noise").otherwise("feature").alias("rule_class"))
 
 
