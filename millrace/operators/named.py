@@ -60,8 +60,11 @@ def resolved_deal(messages: DataFrame, deals: DataFrame, *, key: str = "message_
     met = dictionary.occurrences(said, needles, text="_m", name="_needle", longest_only=True, **limits).withColumn("_size", F.length("_needle"))
     # the longest of each block of names, of which the longest of all are left
     most = met.groupBy(key).agg(F.max("_size").alias("_most"))
-    longest = met.join(most, key).where("_size = _most").select(key, "_needle").join(needles, "_needle").select(key, F.struct("bucket_id", "deal_code").alias("_deal"))
-    one = longest.groupBy(key).agg(F.min("_deal").alias("_least"), F.max("_deal").alias("_deal")).where("_least = _deal")
+    # of a needle that many deals share the first and the last tell that they tie
+    deal = F.struct("bucket_id", "deal_code")
+    meant = needles.groupBy("_needle").agg(F.min(deal).alias("_first"), F.max(deal).alias("_last"))
+    longest = met.join(most, key).where("_size = _most").select(key, "_needle").join(meant, "_needle")
+    one = longest.groupBy(key).agg(F.min("_first").alias("_least"), F.max("_last").alias("_deal")).where("_least = _deal")
     return one.select(key, "_deal.bucket_id", "_deal.deal_code")
 
 
