@@ -323,15 +323,21 @@ def allowed_topics(topics: Column, allowed: Sequence[str]) -> Column:
     return F.struct(kept.alias("kept"), F.array_distinct(F.filter(clean, lambda t: ~F.lower(t).isin(*names))).alias("discarded"))
 
 
+BEYOND = "\U0001f600"  # any letter beyond U+FFFF
+
+
 def contexts(content: Column, word: str, around: int = 100) -> Column:
     """For each mention of a word, in any case and none inside another, the text from `around` characters before it to as many
     after it, lower-cased: one piece a mention."""
     low = re.sub(r"([^\w\s])", r"\\\1", word.lower())
     if not low:
         raise ValueError("a word is asked for")
-    # where the word begins, what stands before is looked for backwards: the whole beginning of the text, or `around` characters
-    pattern = F.lit(rf"(?s)(?={low})(?<=(\A.{{0,{around - 1}}}|.{{{around}}})){low}(?=(.{{0,{around}}}))")
-    pieces = lambda body: F.zip_with(F.regexp_extract_all(body, pattern, 1), F.regexp_extract_all(body, pattern, 2), lambda a, b: F.concat(a, F.lit(word.lower()), b))
+    # What stands before is looked for backwards: `around` characters by one step, or, near its beginning, all of the text. Java
+    # counts the pairs of letters beyond U+FFFF as one character each where such a letter is in the pattern.
+    pattern = F.lit(rf"(?s)(?={low})(?:(?<=(.{{{around}}}|{BEYOND}{{{around}}}))|(?<=(\A.{{0,{around - 1}}}|\A{BEYOND}{{0}}))){low}(?=(.{{0,{around}}}))")
+    group = lambda body, n: F.regexp_extract_all(body, pattern, n)
+    before = lambda body: F.zip_with(group(body, 1), group(body, 2), lambda a, b: F.concat(a, b))
+    pieces = lambda body: F.zip_with(before(body), group(body, 3), lambda a, b: F.concat(a, F.lit(word.lower()), b))
     return F.transform(F.array(F.lower(content)), pieces)[0]
 
 
