@@ -61,7 +61,7 @@ def _checks() -> dict[str, Callable[[Column], Column]]:
     buckets, tenants = _known(F.transform(sources, lambda s: s["bucket"])), _known(F.transform(sources, lambda s: s["tenant"]))
     same = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
     return {
-        "response_filled": lambda r: text.strip(response) != "",
+        "response_filled": lambda r: F.regexp_like(response, F.lit(r"(?U)\S")),
         "response_has": lambda r: _groups(response, r["args"]),
         "response_has_any": lambda r: _any(response, r["args"]),
         "response_lacks": lambda r: ~_any(response, r["args"]),
@@ -99,6 +99,8 @@ KINDS = (
     "response_filled", "response_has", "response_has_any", "response_lacks", "response_numbers", "response_value", "fact_filled", "fact_is", "fact_is_not", "fact_above", "fact_within", "list_has", "list_lacks", "list_is", "feature",
     "sources_any", "source_types", "source_path_ends", "source_buckets_known", "source_meta_filled", "source_meta_is", "source_meta_starts", "source_meta_has", "buckets_known", "buckets_within", "buckets_without", "tenants_are", "all_of",
 )
+#: The kinds that look at the numbers in an answer.
+NUMERIC = ("response_numbers", "response_value")
 
 
 def flagged(answers: DataFrame, rules: DataFrame, out: str = "flags") -> DataFrame:
@@ -108,10 +110,10 @@ def flagged(answers: DataFrame, rules: DataFrame, out: str = "flags") -> DataFra
     known = rules.select("scenario", F.struct("flag", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(unknown).alias("kind"), "field", F.coalesce("args", F.array().cast("array<array<string>>")).alias("args")).alias("r"))
     listed = known.groupBy("scenario").agg(F.collect_list("r").alias("_rules"))  # as many as a scenario has
     every = known.where(F.col("scenario") == EVERY).agg(F.collect_list("r").alias("_every"))  # one row
-    rows = answers.join(listed.withColumnRenamed("scenario", "_scenario").where(F.col("_scenario") != EVERY), F.col("scenario") == F.col("_scenario"), "left").join(F.broadcast(every))
+    # a table that people write, so answers stay where they are; by the scenarios they would be a few tasks'
+    rows = answers.join(F.broadcast(listed.withColumnRenamed("scenario", "_scenario").where(F.col("_scenario") != EVERY)), F.col("scenario") == F.col("_scenario"), "left").join(F.broadcast(every))
     response = F.lower(F.coalesce("response", F.lit("")))
     rows = rows.withColumns({"_response": response, "_sources": F.coalesce("sources", F.array().cast(SOURCES)), "_facts": F.coalesce("facts", F.create_map().cast("map<string,string>")), "_lists": F.coalesce("lists", F.create_map().cast("map<string,array<string>>"))})
-    rows = rows.withColumn("_numbers", F.filter(words.numbers_in(F.col("_response")), lambda n: n.isNotNull()))
     checks = _checks()
 
     def holds(r: Column) -> Column:
@@ -121,8 +123,12 @@ def flagged(answers: DataFrame, rules: DataFrame, out: str = "flags") -> DataFra
         return found
 
     asked = F.concat(F.coalesce("_rules", F.array().cast(listed.schema["_rules"].dataType)), F.col("_every"))
-    judged = F.transform(F.filter(asked, lambda r: r["kind"] != "all_of"), lambda r: F.struct(r["flag"].alias("flag"), holds(r).alias("ok")))
-    rows = rows.withColumns({"_asked": asked, "_judged": judged})
+    judged = F.transform(F.filter("_asked", lambda r: r["kind"] != "all_of"), lambda r: F.struct(r["flag"].alias("flag"), holds(r).alias("ok")))
+    # only answers that are asked for numbers are searched for them
+    numbers = F.filter(words.numbers_in(F.col("_response")), lambda n: n.isNotNull())
+    rows = rows.withColumn("_asked", asked)
+    rows = rows.withColumn("_numbers", F.when(F.exists("_asked", lambda r: r["kind"].isin(*NUMERIC)), numbers).otherwise(_none()))
+    rows = rows.withColumn("_judged", judged)
     failed = F.transform(F.filter("_judged", lambda j: ~j["ok"]), lambda j: j["flag"])
     names = F.array_distinct(F.transform("_judged", lambda j: j["flag"]))
     rows = rows.withColumns({"_failed": failed, "_names": names})
