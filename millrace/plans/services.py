@@ -180,9 +180,11 @@ def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their numbers, JSON and text files, and the manifest's word over the readers'."""
     folder = shared_folder(spark, "files")
     docs, suppliers = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "supplier")
-    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).coalesce(1).sortWithinPartitions("doc_id").write.json(f"{folder}/lines")
-    lines = files.numbered_lines(spark, f"{folder}/lines", "doc_id long, text string").select(F.lit("jsonl").alias("kind"), F.col("line").cast("long").alias("line"), F.col("doc_id").alias("number"), F.sha2(F.col("text").cast("binary"), 256).alias("content"))
-    keyed = suppliers.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).coalesce(1)
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.json(f"{folder}/lines")
+    lines = files.numbered_lines(spark, f"{folder}/lines", "doc_id long, text string", across=True).select(F.lit("jsonl").alias("kind"), F.col("line").cast("long").alias("line"), F.col("doc_id").alias("number"), F.sha2(F.col("text").cast("binary"), 256).alias("content"))
+    keyed = suppliers.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    # files of their own take longer to make than to fill, so they are made by all tasks
+    keyed = keyed.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
     keyed.write.partitionBy("k").json(f"{folder}/json")
     keyed.select("k", "name").write.partitionBy("k").text(f"{folder}/text")
     number = F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long")

@@ -54,14 +54,22 @@ def _parsed(spark: SparkSession, folder: Where, glob: str, parse: Callable[[byte
     """Rows of `parse` for each binary file that isn't empty; a file that can't be read, whatever the reason, is one row whose `error` says why."""
     names = [f.split()[0] for f in fields.split(", ")]
 
+    def table(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["path", *names, "error"], dtype=object)
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            made, size = [], 0  # of small files many make one table
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     found = [(path, *r, None) for r in parse(content)]
                 except Exception as e:  # noqa: BLE001 - what a broken file raises isn't known; the row tells it
                     found = [(path, *(None for _ in names), f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(found, columns=["path", *names, "error"], dtype=object)
+                made, size = made + found, size + len(content)
+                if size > 1_000_000 or len(made) > 500:
+                    yield table(made)
+                    made, size = [], 0
+            yield table(made)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     return files.select("path", "content").mapInPandas(rows, f"path string, {fields}, error string")
@@ -108,13 +116,14 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """path, line (from 1), and the object of each line that isn't blank; malformed lines raise when their fields are read.
+def numbered_lines(spark: SparkSession, path: str, schema: str, *, across: bool = False) -> DataFrame:
+    """path, line (from 1 in its file, or `across` all files in the order of their paths), and the object of each line that
+    isn't blank; malformed lines raise when their fields are read.
 
     Files split at line ends; the lines are numbered by ranges of (file, split, place in it), so a large file is many tasks'.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_in_split"), F.col("value").alias("raw"))
-    placed = numbering.numbered(lines, ["_split", "_in_split"], "at", group=["path"])
+    placed = numbering.numbered(lines, ["path", "_split", "_in_split"], "at") if across else numbering.numbered(lines, ["_split", "_in_split"], "at", group=["path"])
     return placed.where(text.strip(F.col("raw")) != "").select("path", (F.col("at") + 1).cast("int").alias("line"), F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("row")).select("path", "line", "row.*")
 
 
