@@ -181,8 +181,8 @@ def corpus_id(number: Column) -> Column:
 
 
 def nfc(value: Column | str) -> Column:
-    """The composed normal form; a text that is all ASCII is its own and isn't handed to Python."""
-    return text.beyond_ascii(value, lambda t: unicodedata.normalize("NFC", t))
+    """The composed normal form; a text that it can't change isn't handed to Python."""
+    return text.composed(value)
 
 
 def named_ids(answer: Column, vocabulary: Sequence[str]) -> Column:

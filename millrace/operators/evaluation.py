@@ -136,7 +136,7 @@ def stratified(rows: DataFrame, holdout: DataFrame, *, id_col: str, content: str
     Texts that have a key on the holdout are out, equal keys of a class count once, by the smallest id, and ranks go by
     the SHA-256 of seed and id. Keys travel as hashes.
     """
-    key = lambda c: F.sha2(text.lexicon_key(F.col(c)).cast("binary"), 256).alias("_key")
+    key = lambda c: F.sha2(text.composed_key(F.col(c)).cast("binary"), 256).alias("_key")
     known = rows.where(F.col(label).isin(*classes)).select(F.col(label).alias("class"), F.col(id_col).alias("id"), key(content)).where(F.col("_key").isNotNull())
     left = known.join(holdout.select(key(held)).distinct(), "_key", "left_anti").groupBy("class", "_key").agg(F.min("id").alias("id"))
     order = F.sha2(F.concat(F.lit(f"{seed}\n"), F.col("id").cast("string")).cast("binary"), 256)
