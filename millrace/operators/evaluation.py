@@ -118,9 +118,10 @@ def ceiling_note(rows: DataFrame, *, search: str, scenario: str, expected: Seque
 
 def lexicon_classes(rows: DataFrame, noise: DataFrame, churn: DataFrame, *, content: str, fallback: str, phrase: str = "phrase") -> DataFrame:
     """Adds rule_class and rule_reason: a text whose key is a phrase of churn, also if it is one of noise, then of noise alone;
-    any other keeps the class in `fallback`, and one outside of the classes raises. Phrases are joined by their keys, each once."""
-    lists = [df.select(text.lexicon_key(F.col(phrase)).alias(f"_{name}_key")).distinct().withColumn(f"_{name}", F.lit(True)) for name, df in (("churn", churn), ("noise", noise))]
-    keyed = rows.withColumn("_key", text.lexicon_key(F.col(content)))
+    any other keeps the class in `fallback`, and one outside of the classes raises. Phrases are joined by the hashes of their keys, each once."""
+    key = lambda c: F.sha2(text.composed_key(F.col(c)).cast("binary"), 256)
+    lists = [df.select(key(phrase).alias(f"_{name}_key")).distinct().withColumn(f"_{name}", F.lit(True)) for name, df in (("churn", churn), ("noise", noise))]
+    keyed = rows.withColumn("_key", key(content))
     for listed in lists:
         keyed = keyed.join(listed, F.col("_key") == F.col(listed.columns[0]), "left")
     outside = F.raise_error(F.concat(F.lit("class outside of the classes: "), F.coalesce(F.col(fallback), F.lit("null")))).cast("string")
