@@ -3,7 +3,7 @@ pages that sections begin on."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from . import text
 MONTH = r"(?:январ\w*|феврал\w*|март\w*|апрел\w*|ма[йя]|июн\w*|июл\w*|август\w*|сентябр\w*|октябр\w*|ноябр\w*|декабр\w*)"
 JOB_DATES = rf"{MONTH}\s+20\d{{2}}\s*[—–\-]\s*(?:\n\s*)?{MONTH}\s+20\d{{2}}"
 HEADINGS = r"^(?:Образование|Навыки|Опыт вождения|Дополнительная информация)\s*$|^Обо мне\b"
+#: What months and headings begin with in either case: a look at the letter, before the words are tried at its place.
+BEFORE = "(?=[\u0400-\u04ff\u1c80-\u1c8f])"
 KINDS = {"образование": "education", "навыки": "skills", "обо мне": "about"}
 DURATION = r"\d+\s+(?:год|года|лет|месяц|месяца|месяцев)\b.*"
 TECHNOLOGIES = r"(?:основные )?технологии"
@@ -29,16 +31,21 @@ ATTRIBUTE_MARKERS = ["цвет", "оттен", "форма", "размер", "р
 PICTURE_MARKERS = ["картин", "изображ", "фото", "picture", "image", "photo"]
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of a value that is computed once, as the one element of an array."""
+    return F.transform(F.array(value), make)[0]
+
+
 def is_resume(content: Column) -> Column:
     """At least two date ranges of jobs."""
-    return F.regexp_count(content, F.lit(f"(?iuU){JOB_DATES}")) >= 2
+    return F.regexp_count(content, F.lit(f"{BEFORE}(?iuU:{JOB_DATES})")) >= 2
 
 
 def organization(section: Column) -> Column:
     """The first line after the first that is no date, duration or dash; empty where there is none."""
     lines = F.filter(F.transform(F.split(section, "\n"), text.strip), lambda x: x != "")
-    dates = rf"(?iuU)(?s).*{JOB_DATES}.*|{MONTH}\s+20\d{{2}}\s*[—–\-]?|{DURATION}|[—–\-]+"
-    named = F.filter(F.slice(lines, 2, 10_000), lambda x: ~F.regexp_like(x, F.lit(f"^(?:{dates})$")))
+    dates = rf"{BEFORE}(?iuU:{JOB_DATES})|(?iuUs:^(?:{MONTH}\s+20\d{{2}}\s*[—–\-]?|{DURATION}|[—–\-]+)$)"
+    named = F.filter(F.slice(lines, 2, 10_000), lambda x: ~F.regexp_like(x, F.lit(dates)))
     return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
 
 
@@ -63,18 +70,18 @@ def sections(pages: Column) -> Column:
     """
     clean = F.transform(pages, lambda p: text.strip(F.translate(F.coalesce(p, F.lit("")), "\u00a0\u202f", "  ")))
     whole = F.array_join(clean, "\n")
-    pieces = F.split(whole, rf"(?iumU)(?={JOB_DATES})(?<!\w)|(?={HEADINGS})(?<![^\n])")
+    pieces = F.split(whole, rf"{BEFORE}(?iumU:(?<!\w)(?={JOB_DATES})|(?<![^\n])(?={HEADINGS}))")
     numbers = _pages_of(F.transform(clean, lambda p: F.length(p) + 1), F.transform(pieces, F.length))
 
     def one(z: Column, i: Column) -> Column:
         piece = z["piece"]
-        head = F.lower(F.regexp_extract(piece, r"^([^\n]*)", 1))
+        head = F.lower(F.regexp_extract(piece, r"\A([^\n]*)", 1))
         kind = F.when(F.regexp_like(piece, F.lit(rf"(?iuU)^{JOB_DATES}")), "employment")
         for word, name in KINDS.items():
             kind = kind.when(head.startswith(word), name)
-        kind = F.when(i == 0, F.coalesce(kind, F.lit("profile"))).otherwise(F.coalesce(kind, F.lit("other")))
-        body = text.strip(piece)
-        return F.struct(kind.alias("kind"), body.alias("content"), F.when(kind == "employment", organization(body)).otherwise("").alias("organization"), z["page"].alias("page"))
+        kind = F.coalesce(kind, F.when(i == 0, "profile").otherwise("other"))
+        known = F.struct(kind.alias("kind"), text.strip(piece).alias("content"))
+        return _bound(known, lambda k: F.struct(k["kind"].alias("kind"), k["content"].alias("content"), F.when(k["kind"] == "employment", organization(k["content"])).otherwise("").alias("organization"), z["page"].alias("page")))
 
     described = F.transform(F.arrays_zip(pieces.alias("piece"), numbers.alias("page")), one)
     return F.when(is_resume(whole), F.filter(described, lambda s: s["content"] != ""))
@@ -82,9 +89,11 @@ def sections(pages: Column) -> Column:
 
 def anchor(content: Column, employer: Column) -> Column:
     """The employer's name and the lines on technologies, which each part of a long job repeats."""
+    is_heading = lambda x: F.regexp_like(F.lower(x), F.lit(f"^{TECHNOLOGIES}"))
     lines = F.transform(F.split(content, "\n"), text.strip)
-    at = F.array_position(F.transform(lines, lambda x: F.regexp_like(F.lower(x), F.lit(f"^{TECHNOLOGIES}"))), True)
-    found = F.when(at > 0, F.filter(F.slice(lines, at.cast("int"), 2), lambda x: x != ""))
+    at = lambda x: F.array_position(F.transform(x, is_heading), True).cast("int")
+    two = _bound(lines, lambda x: _bound(at(x), lambda i: F.when(i > 0, F.slice(x, i, 2))))
+    found = F.filter(two, lambda x: x != "")
     name = F.when(F.trim(employer) != "", F.concat(F.lit("Организация: "), F.trim(employer)))
     return F.concat_ws("\n", name, F.array_join(found, "\n"))
 
@@ -92,7 +101,9 @@ def anchor(content: Column, employer: Column) -> Column:
 def parts(content: Column, kind: Column, employer: Column, size: int = 2200) -> Column:
     """A section in parts of at most `size` characters, without overlap; parts of a job begin with its anchor."""
     body = text.strip(content)
-    head = F.when((kind == "employment") & (F.length(anchor(content, employer)) < size), anchor(content, employer)).otherwise("")
+    # only a job that is cut needs what its parts repeat
+    long_job = (kind == "employment") & (F.length(content) > size)
+    head = _bound(F.when(long_job, anchor(content, employer)), lambda a: F.when(F.length(a) < size, a).otherwise(""))
 
     def cut(x: Column) -> Column:
         room = F.when(x["head"] == "", size).otherwise(size - F.length(x["head"]) - 1)
@@ -102,7 +113,7 @@ def parts(content: Column, kind: Column, employer: Column, size: int = 2200) ->
         whole = F.filter(F.array(x["body"]), lambda p: p != "")
         return F.when(F.length(x["body"]) <= size, whole).otherwise(F.transform(headed, lambda p: F.substring(p, 1, size)))
 
-    return F.transform(F.array(F.struct(body.alias("body"), head.alias("head"))), cut)[0]
+    return _bound(F.struct(body.alias("body"), head.alias("head")), cut)
 
 
 def excerpt(content: Column, kind: Column, limit: int, long: int = 8000) -> Column:

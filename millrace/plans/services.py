@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,13 +219,16 @@ _BODY = "replace(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), '  '
     select doc_id, kind, page, organization, (row_number() over (partition by doc_id, kind, page order by s) - 1)::int as part, sha256(case when cut and not contains(piece, head) then left(head || chr(10) || piece, 2200) else piece end) as content from c where piece <> ''""")
 def resume_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as the pages of a résumé, cut into sections, and long jobs into parts that repeat employer and technologies."""
-    body = F.trim(F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", ""), F.lit("  "), F.lit(" ")))
+    # letters one by one, which Java looks up in a table; ranges are tried one after another for every letter of a text
+    body = F.trim(F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), f"[^{string.ascii_letters} ]+", ""), F.lit("  "), F.lit(" ")))
     tool = F.when(F.col("doc_id") % 2 == 0, "Spark").otherwise("Java")
     second = F.concat(F.lit(f"{_JOBS[0]}\nFirm "), "lang", F.lit("\nТехнологии\n"), tool, F.lit("\nx"), body)
     third = F.concat(F.lit(f"{_JOBS[1]}\nOther\nwork\nНавыки\n"), tool)
     pages = F.array(F.concat(F.lit("Name "), _text("doc_id")), second, third)
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode(resumes.sections(pages)).alias("s")).select("doc_id", "s.*")
-    cut = rows.select("doc_id", "kind", "page", "organization", F.posexplode(resumes.parts(F.col("content"), F.col("kind"), F.col("organization"))).alias("part", "content"))
+    # the pages are a column of their own, so that they are made once however often the sections name them; of explode() Spark
+    # makes a filter that computes sections and parts another time, of explode_outer() it doesn't
+    rows = _read(spark, sf_dir, "documents").select("doc_id", pages.alias("pages")).select("doc_id", F.explode_outer(resumes.sections(F.col("pages"))).alias("s")).where("s is not null").select("doc_id", "s.*")
+    cut = rows.select("doc_id", "kind", "page", "organization", F.posexplode_outer(resumes.parts(F.col("content"), F.col("kind"), F.col("organization"))).alias("part", "content")).where("part is not null")
     return cut.select("doc_id", "kind", "page", "organization", "part", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
 
 
