@@ -40,9 +40,10 @@ def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     shorter = sources.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.substring("content", 1, 1000)).otherwise(F.col("content")))
     ingest.ingest_rows(spark, shorter, now=now(2), **where)
     ingest.ingest_rows(spark, shorter.where("doc_id % 7 <> 0"), now=now(3), **where)
-    points = store.read(spark, where["points"], ["point_id"])
+    # digests travel to the ledger, not the chunks
+    points = store.read(spark, where["points"], ["point_id"]).select("path", "chunk_index", F.md5("content").alias("chunk_md5"))
     ledger = ingest.known(spark, where["ledger"]).select("path", "n_chunks")
-    return points.join(ledger, "path").select(F.col("path").cast("long").alias("doc_id"), "chunk_index", F.md5("content").alias("chunk_md5"), "n_chunks")
+    return points.join(ledger, "path").select(F.col("path").cast("long").alias("doc_id"), "chunk_index", "chunk_md5", "n_chunks")
 
 
 def summaries_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,8 @@ def apply(spark: SparkSession, seen: DataFrame, chunks_of: Callable[[DataFrame],
     missing = before.join(there, "path", "left_anti").select("path") if whole else before.limit(0).select("path")
     # what was seen and is good isn't gone, even if it had expired before
     gone = before.join(expired.union(missing).distinct(), "path", "left_semi").join(good, "path", "left_anti").select("path", F.col("n_chunks").alias("_n")).persist()
-    made = chunks_of(fresh.select("path")).persist()
+    # where nothing is new no source is read again
+    made = chunks_of(fresh.select("path") if not fresh.isEmpty() else fresh.select("path").limit(0)).persist()
     try:
         counts = made.groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"))
         rows = fresh.join(counts, "path", "left").select("path", "stamp", "sha256", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "expires_at", "_path", "_n").persist()
