@@ -8,7 +8,6 @@ being written, no archive at all.
 
 from __future__ import annotations
 
-import io
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -24,6 +23,8 @@ from . import sinks
 from .tables import _opened
 
 MEMBER = "name string, content binary"
+#: Bytes of members that are read before they are handed on.
+HANDED_ON = 1 << 20
 #: What members are dated, so that equal members make equal archives.
 DATE = (1980, 1, 1, 0, 0, 0)
 
@@ -94,14 +95,23 @@ def write_archives(files: DataFrame, folder: str, *, name: str = "name", content
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """path of the archive, name and content of each member; an archive is read by one task."""
+    """path of the archive, name and content of each member; an archive is read by one task, member by member."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        yield pd.DataFrame({"path": [path], "name": [name], "content": [archive.read(name)]})
+            for path in batch["path"]:
+                system, inner = _opened(path)
+                rows: list[tuple[str, str, bytes]] = []
+                size = 0
+                with system.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
+                    for info in archive.infolist():
+                        rows.append((path, info.filename, archive.read(info)))
+                        size += info.file_size
+                        if size >= HANDED_ON:
+                            yield pd.DataFrame(rows, columns=["path", "name", "content"])
+                            rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "name", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
-    return files.select("path", "content").mapInPandas(members, f"path string, {MEMBER}")
+    return files.select("path").mapInPandas(members, f"path string, {MEMBER}")
