@@ -557,6 +557,41 @@ def test_buckets_and_filters_change_nothing(spark, docs, limits):
     assert covered(plain) == covered(dealt) and plain
 
 
+@pytest.mark.parametrize(("lines", "size", "holders", "limits"), [(3, 20, 5, {}), (3, 20, 40, {}), (4, 15, 7, {"pair_rows": 4, "chunk": 3}), (4, 15, 7, {"pair_rows": 4, "hot_rows": 0, "filter_bits": 4})])
+def test_passages_whose_parts_are_common_elsewhere(spark, lines, size, holders, limits):
+    """Texts that share a passage are linked though every part of it, and with four lines any three of them, stand in many others."""
+    random = np.random.default_rng(31)
+    prose = lambda n: [f"w{i}" for i in random.integers(0, 100_000, n)]
+    # a word of their own between parts, so no seed reaches over their edges
+    joined = lambda held: held[0] + [w for part in held[1:] for w in prose(1) + part]
+    parts = [prose(size) for _ in range(lines)]
+    texts = []
+    for _ in range(holders):
+        for i in range(lines):
+            held = [parts[i]] if lines == 3 else parts[:i] + parts[i + 1 :]
+            texts.append(prose(70) + joined(held) + prose(70))
+    both = [len(texts) // 3, 2 * len(texts) // 3]
+    for i in both:
+        texts[i] = prose(70) + joined(parts) + prose(70)
+    d = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    rows = substring.passages(d, **limits).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["other_id"]) for r in rows} == {(a, 70, 129 + lines, b) for a, b in (both, both[::-1])}
+
+
+@pytest.mark.parametrize("limits", [{"pair_rows": 2}, {"pair_rows": 4, "chunk": 5, "hot_rows": 0}, {"pair_rows": 1, "chunk": 7, "filter_bits": 4}])
+def test_no_link_between_texts_is_lost(spark, docs, limits):
+    """Each link of all pairs of occurrences is there, or both texts are linked to one at that place, or are copies of such."""
+    every, found = (substring.passages(docs, **x).collect() for x in ({"pair_rows": 10**9, "bucket_rows": 10**9}, limits))
+    linked = defaultdict(list)
+    for r in found:
+        linked[r["doc_id"]].append((r["start"], r["end"], r["other_id"]))
+    around = lambda i, a, b: {i} | {o for s, e, o in linked[i] if s < b and e > a}
+    assert len(every) >= len(found)
+    for r in every:
+        one, two = around(r["doc_id"], r["start"], r["end"]), around(r["other_id"], r["other_start"], r["other_end"])
+        assert one & two, r
+
+
 def test_passages_of_the_table(spark, docs):
     """Every run of 60 words that two documents share is inside a reported passage of both."""
     texts = {r["doc_id"]: substring.words((r["text"] or "").encode()) for r in docs.collect()}
